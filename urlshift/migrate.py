@@ -11,9 +11,10 @@ from urlshift import fixed_values as fixed
 from urlshift.functions import sanitize_domain
 from urlshift.operators import detection, mappings as maps, network, proxy, revisions, settings as conf
 from urlshift.operators.links import site_links
-from urlshift.operators.replace import apply_plan_by_site, dry_run_report, site_run_status
-from urlshift.operators.serialized import apply_plan_serialized
+from urlshift.operators.replace import dry_run_report, site_run_status
+from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
+from urlshift.session import keep
 from urlshift.sinks.statements import emit_delete_sql, emit_delete_sql_unlisted, emit_update_sql
 from urlshift.sinks.tables import write_tables
 from urlshift.sources.dump import read_sql_dump
@@ -132,16 +133,17 @@ def migrate(
 
     main_id = 1
     if is_network:
-        sites = _listed(blogs)
-        main_id = network.main_site(sites, blogs, tables.get("site")).first().blog_id
+        sites = keep(_listed(blogs), "sites")
+        main_id = network.main_site(sites, sites, tables.get("site")).first().blog_id
         if job.fill_missing_mappings:
             missing = maps.missing_mappings(sites, mappings)
             mappings = maps.upsert_mapping(
                 mappings, maps.suggest_mappings(missing, base=new_domain).withColumn("line_no", F.col("blog_id"))
             )
-        used = mappings
+        # Everything below reads these two small tables many times.
+        mappings = used = keep(mappings, "mappings")
         reports["summary"] = maps.mapping_summary(used, sites, main_id)
-        plan = replacement_plan(used, sites, main_id, job.escape_mode)
+        plan = keep(replacement_plan(used, sites, main_id, job.escape_mode), "plan")
         updates = network.plan_blog_updates(used, main_id, network_type)
         base = network.network_base(used, main_id)
         reports["update_statements"] = emit_update_sql(updates, base, main_id, job.prefix)
@@ -170,7 +172,7 @@ def migrate(
             if job.all_tables or "blog_id" not in tables[name].columns or not is_network:
                 tables[name] = apply_plan_serialized(tables[name], plan)
             else:
-                tables[name] = apply_plan_by_site(tables[name], plan)
+                tables[name] = apply_plan_by_site_serialized(tables[name], plan)
         reports["status"] = site_run_status(plan.select("blog_id", "pass", F.lit(True).alias("ok")))
         if "options" in tables:
             options = proxy.purge_transients(tables["options"], list(job.transient_patterns))

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark import cloudpickle
 
-try:
-    import ahocorasick
-except ImportError:  # the fold then runs as a higher-order function
-    ahocorasick = None
-
 # Shipped inside the function itself, so that workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+HEAD = 2
+
 
-def available() -> bool:
-    return ahocorasick is not None
+class Finder:
+    """Places of the patterns that occur in a text.
 
+    The patterns of a plan share their first characters (``//`` or an escaped form). The text is searched
+    for these heads only, and at each one a slice per pattern length is looked up.
+    """
 
-def _automaton(patterns):
-    import ahocorasick
+    def __init__(self, patterns):
+        self.heads = {}
+        for place, pattern in enumerate(patterns):
+            by_size = self.heads.setdefault(pattern[:HEAD], {})
+            by_size.setdefault(len(pattern), {}).setdefault(pattern, []).append(place)
 
-    found = ahocorasick.Automaton()
-    for place, pattern in enumerate(patterns):
-        if pattern not in found:
-            found.add_word(pattern, [])
-        found.get(pattern).append(place)
-    found.make_automaton()
-    return found
+    def __call__(self, text):
+        for head, by_size in self.heads.items():
+            at = text.find(head)
+            while at >= 0:
+                for size, known in by_size.items():
+                    places = known.get(text[at : at + size])
+                    if places:
+                        yield from places
+                at = text.find(head, at + 1)
 
 
 class Folder:
@@ -37,10 +43,10 @@ class Folder:
     def __init__(self, pairs, boundary=False):
         self.pairs = pairs
         self.boundary = boundary
-        self.find = _automaton([search for search, _ in pairs]).iter
+        self.find = Finder([search for search, _ in pairs])
 
     def _next(self, text, after):
-        return min((p for _, places in self.find(text) for p in places if p > after), default=None)
+        return min((place for place in self.find(text) if place > after), default=None)
 
     def __call__(self, text):
         place = self._next(text, -1)
@@ -52,8 +58,6 @@ class Folder:
 
     @staticmethod
     def _bounded(text, search, new):
-        import re
-
         return re.sub(re.escape(search) + r"(?![A-Za-z0-9.-])", lambda _: new, text)
 
 
@@ -62,10 +66,10 @@ class Counter:
 
     def __init__(self, pairs):
         self.pairs = pairs
-        self.find = _automaton([search for _, search in pairs]).iter
+        self.find = Finder([search for _, search in pairs])
 
     def __call__(self, text):
-        places = {p for _, found in self.find(text) for p in found}
         return [
-            {"seq": self.pairs[p][0], "replacements": text.count(self.pairs[p][1])} for p in sorted(places)
+            {"seq": self.pairs[place][0], "replacements": text.count(self.pairs[place][1])}
+            for place in sorted(set(self.find(text)))
         ]

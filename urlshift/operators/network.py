@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlshift import fixed_values as fixed
-from urlshift.functions import clean_string, host_of, is_empty, path_of
+from urlshift.functions import clean_string, host_of, is_empty, path_of, strip_scheme
 from urlshift.operators.mappings import drop_noop_mappings
 
 
@@ -96,38 +94,34 @@ def main_site(
     ``sites`` is the site list ``(blog_id, path, line_no[, url])``. ``networks`` counts only where it
     names its main site; ``answers`` are ids the application reports about itself.
     """
-    spark = sites.sparkSession
-    methods = fixed.MAIN_SITE_METHODS
     if not is_network:
-        return spark.createDataFrame([(1, "single")], "blog_id bigint, method string")
-
-    candidates: list[tuple[int, DataFrame]] = []
-
-    def offer(place: int, rows: DataFrame, answer: Column) -> None:
-        candidates.append((place, rows.agg(answer.cast("bigint").alias("blog_id"))))
+        return sites.sparkSession.range(1).select(F.lit(1).cast("bigint").alias("blog_id"), F.lit("single").alias("method"))
 
+    # One pass over the list, and one small look-up in each of the other tables.
+    root = clean_string("path") == "/"
+    listed = [F.min_by("blog_id", F.when(root, F.col("line_no"))).alias("root"), F.min("blog_id").alias("lowest")]
+    if network_url and "url" in sites.columns:
+        same_host = F.substring_index(strip_scheme("url"), "/", 1) == host_of(F.lit(network_url))
+        listed.append(F.min_by("blog_id", F.when(same_host, F.col("line_no"))).alias("host"))
+    else:
+        listed.append(F.lit(None).cast("bigint").alias("host"))
+    unknown = F.lit(None).cast("bigint")
+    named = unknown
     if networks is not None and "blog_id" in networks.columns:
-        offer(0, networks.where(F.col("id") == 1), F.min("blog_id"))
+        named = networks.where(F.col("id") == 1).agg(F.min("blog_id").alias("id")).scalar()
+    catalogued = unknown
     if blogs is not None:
-        offer(1, blogs.where(F.col("path") == "/"), F.min("blog_id"))
-    listed_root = sites.where(clean_string("path") == "/")
-    offer(2, listed_root, F.min_by("blog_id", "line_no"))
-    if network_url and "url" in sites.columns:
-        same_host = F.substring_index(F.regexp_replace("url", r"\A(?:http://)?(?:https://)?", ""), "/", 1)
-        offer(3, sites.where(same_host == host_of(F.lit(network_url))), F.min_by("blog_id", "line_no"))
-    known = spark.createDataFrame([answers], "first bigint, second bigint")
-    offer(4, known, F.min("first"))
-    offer(5, known, F.min("second"))
-    offer(7, sites, F.min("blog_id"))
-    offer(8, known, F.max(F.lit(1)))
-
-    united = reduce(
-        DataFrame.unionByName,
-        [rows.select("blog_id", F.lit(place).alias("place"), F.lit(methods[place]).alias("method"))
-         for place, rows in candidates],
+        catalogued = blogs.where(F.col("path") == "/").agg(F.min("blog_id").alias("id")).scalar()
+    answers = [F.lit(a).cast("bigint") for a in answers]
+    offered = {0: named, 1: catalogued, 2: F.col("root"), 3: F.col("host"), 4: answers[0], 5: answers[1], 7: F.col("lowest"), 8: F.lit(1)}
+    usable = {place: F.nullif(blog_id.cast("bigint"), F.lit(0)) for place, blog_id in offered.items()}
+    chosen = F.coalesce(
+        *(
+            F.when(blog_id.isNotNull(), F.struct(blog_id.alias("blog_id"), F.lit(fixed.MAIN_SITE_METHODS[place]).alias("method")))
+            for place, blog_id in usable.items()
+        )
     )
-    chosen = united.where(F.col("blog_id").isNotNull() & (F.col("blog_id") != 0))
-    return chosen.agg(F.min_by(F.struct("blog_id", "method"), "place").alias("chosen")).select("chosen.*")
+    return sites.agg(*listed).select(chosen.alias("chosen")).select("chosen.*")
 
 
 def main_site_url(

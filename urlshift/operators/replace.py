@@ -3,12 +3,14 @@
 Each pattern works on the result of the one before it. How the fold is run depends on the
 size of the plan:
 
-* up to ``NESTED_LIMIT`` patterns: nested ``replace`` expressions inside code generation;
-* more: an Arrow function that finds the patterns present in a text with one automaton pass
-  and applies only those, in order;
-* more, without the automaton library: the same fold as a higher-order function;
+* up to ``NESTED_LIMIT`` patterns: nested ``replace`` expressions inside code generation, which
+  read the text once per pattern;
+* more: an Arrow function that finds the patterns present in a text in one pass and applies only
+  those, in order, so that its cost hardly grows with the plan;
 * more than ``PLAN_LIMIT``: the plan is cut into consecutive slices, applied one after the other.
 
+``strategy="array"`` runs the fold as a higher-order function and stays in the JVM at any size.
+
 A text without ``//`` (or its JSON form) can hold no pattern and is passed through untouched.
 """
 
@@ -29,7 +31,7 @@ from urlshift.functions import count_occurrences
 from urlshift.operators import matching
 from urlshift.session import fits, keep
 
-NESTED_LIMIT = 64
+NESTED_LIMIT = 8  # measured: above it the one-pass search is faster
 PLAN_LIMIT = 200_000
 
 HITS_TYPE = "array<struct<seq: bigint, replacements: bigint>>"
@@ -57,8 +59,8 @@ def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> It
         yield from ([*plan[i : i + limit]] for i in range(0, len(plan), limit))
         return
     columns = plan.select("seq", "blog_id", "pass", "search", "replace")
-    if fits(columns, limit):
-        rows = columns.collect()
+    rows = columns.limit(limit + 1).collect()
+    if len(rows) <= limit:
         yield [Step(*row) for row in sorted(rows, key=lambda row: row.seq)]
         return
     columns = keep(columns, "plan")
@@ -68,7 +70,7 @@ def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> It
         yield [Step(*row) for row in sorted(rows, key=lambda row: row.seq)]
 
 
-def _may_match(text: Column, steps: Sequence[Step]) -> Column:
+def may_match(text: Column, steps: Sequence[Step]) -> Column:
     """Cheap test a text must pass before any pattern can occur in it."""
     anchors = {next((a for a in ("//", r"\/\/") if a in step.search), "") for step in steps}
     if not anchors or "" in anchors:
@@ -116,12 +118,10 @@ def _matched_fold(text: Column, steps: Sequence[Step], boundary: bool) -> Column
     return F.pandas_udf(rewrite, T.StringType())(text)
 
 
-def _strategy(steps: Sequence[Step], boundary: bool, strategy: str) -> str:
+def _strategy(steps: Sequence[Step], strategy: str) -> str:
     if strategy != "auto":
         return strategy
-    if len(steps) <= NESTED_LIMIT:
-        return "nested"
-    return "matched" if matching.available() or boundary else "array"
+    return "nested" if len(steps) <= NESTED_LIMIT else "matched"
 
 
 def replace_column(
@@ -130,16 +130,16 @@ def replace_column(
     """A text column after all steps; NULL stays NULL."""
     if not steps:
         return text
-    may_match = _may_match(text, steps)
-    chosen = _strategy(steps, boundary, strategy)
+    candidate = may_match(text, steps)
+    chosen = _strategy(steps, strategy)
     if chosen == "nested":
-        return F.when(may_match, nested_fold(text, steps, boundary)).otherwise(text)
+        return F.when(candidate, nested_fold(text, steps, boundary)).otherwise(text)
     if chosen == "matched":
         # Only candidate texts cross to Python; the others go over as NULL.
-        done = _matched_fold(F.when(may_match, text), steps, boundary)
-        return F.when(may_match, done).otherwise(text)
+        done = _matched_fold(F.when(candidate, text), steps, boundary)
+        return F.when(candidate, done).otherwise(text)
     if chosen == "array" and not boundary:
-        return F.when(may_match, array_fold(text, _step_array(steps))).otherwise(text)
+        return F.when(candidate, array_fold(text, _step_array(steps))).otherwise(text)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -164,27 +164,32 @@ def apply_plan(
     return df
 
 
-def apply_plan_by_site(df: DataFrame, plan: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Each row rewritten with the steps of its own site only (site scope).
+def with_site_steps(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """The table with the steps of each row's own site as the array ``__steps`` (NULL for unmapped sites).
 
-    The steps of a site become one short array, met on ``blog_id``. A big site is only a
+    A site has a handful of steps, so the plan folds to one short array per site. A big site is only a
     skewed left side of an outer join, which adaptive execution splits.
     """
-    columns = text_columns(df) if columns is None else list(columns)
     steps = plan.dropDuplicates(["blog_id", "seq"]).groupBy("blog_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "search", F.col("replace").alias("new")))).alias("__steps")
     )
     side = F.broadcast(steps) if fits(plan, PLAN_LIMIT) else steps
-    joined = df.join(side, "blog_id", "left")
-    touched = F.col("__steps").isNotNull()
+    return df.join(side, "blog_id", "left")
+
+
+def may_hold_address(text: Column) -> Column:
+    return text.contains("//") | text.contains(r"\/\/")
+
+
+def apply_plan_by_site(df: DataFrame, plan: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Each row rewritten with the steps of its own site only (site scope)."""
+    columns = text_columns(df) if columns is None else list(columns)
+    steps = F.col("__steps")
     changed = {
-        c: F.when(
-            touched & (F.col(c).contains("//") | F.col(c).contains(r"\/\/")),
-            array_fold(F.col(c), F.col("__steps")),
-        ).otherwise(F.col(c))
+        c: F.when(steps.isNotNull() & may_hold_address(F.col(c)), array_fold(F.col(c), steps)).otherwise(F.col(c))
         for c in columns
     }
-    return joined.withColumns(changed).select(*df.columns)
+    return with_site_steps(df, plan).withColumns(changed).select(*df.columns)
 
 
 # -- reports ---------------------------------------------------------------------------
@@ -192,7 +197,7 @@ def apply_plan_by_site(df: DataFrame, plan: DataFrame, columns: Sequence[str] |
 
 def _hits(text: Column, steps: Sequence[Step]) -> Column:
     """Array of ``(seq, replacements)`` for the patterns that occur in a text."""
-    if len(steps) <= NESTED_LIMIT or not matching.available():
+    if len(steps) <= NESTED_LIMIT:
         counted = F.transform(
             _step_array(steps),
             lambda s: F.struct(
@@ -226,7 +231,7 @@ def pattern_hits(
             ).alias("cell"),
         ).select(*key, "cell.*")
         parts.append(
-            cells.where(_may_match(F.col("text"), steps))
+            cells.where(may_match(F.col("text"), steps))
             .select(*key, "column_name", F.explode(_hits(F.col("text"), steps)).alias("hit"))
             .select(*key, "column_name", "hit.*")
         )

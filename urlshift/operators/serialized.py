@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlshift.operators import matching, phpwalk
-from urlshift.operators.replace import NESTED_LIMIT, Step, _may_match, plan_slices, replace_column, text_columns
+from urlshift.operators.replace import (
+    NESTED_LIMIT,
+    Step,
+    array_fold,
+    may_hold_address,
+    may_match,
+    plan_slices,
+    replace_column,
+    text_columns,
+    with_site_steps,
+)
 from urlshift.session import keep
 
 TOKEN = r's:[0-9]+:"'
@@ -25,7 +35,7 @@ OPENING = r'\A(?:[aOCE]|s):[0-9]+:'
 
 
 def _leaf_fold(pairs: list[tuple[str, str]]):
-    if len(pairs) > NESTED_LIMIT and matching.available():
+    if len(pairs) > NESTED_LIMIT:
         return matching.Folder(pairs)
 
     def fold(text: str) -> str:
@@ -52,7 +62,7 @@ def _rewritten(text: Column, steps: Sequence[Step]) -> Column:
 def replace_serialized_column(text: Column, steps: Sequence[Step]) -> Column:
     if not steps:
         return text
-    candidate = _may_match(text, steps) & text.rlike(TOKEN)
+    candidate = may_match(text, steps) & text.rlike(TOKEN)
     plain = replace_column(text, steps)
     walked = _rewritten(F.when(candidate, text), steps)
     return (
@@ -75,6 +85,48 @@ def apply_plan_serialized(
     return df
 
 
+def _rewritten_by_site(text: Column, steps: Column) -> Column:
+    """The rewritten value with the row's own steps, NULL where the text is not one whole serialized value."""
+
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = {}
+
+        def one(value, own):
+            if value is None or own is None:
+                return None
+            pairs = tuple((step["search"], step["new"]) for step in own)
+            if pairs not in known:
+                known[pairs] = phpwalk.Rewriter(_leaf_fold(list(pairs)))
+            return known[pairs](value)
+
+        for values, owns in batches:
+            yield pd.Series([one(v, o) for v, o in zip(values, owns, strict=True)], dtype=object)
+
+    return F.pandas_udf(rewrite, T.StringType())(text, steps)
+
+
+def apply_plan_by_site_serialized(
+    df: DataFrame, plan: DataFrame, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``apply_plan_by_site`` that keeps serialized values readable."""
+    columns = text_columns(df) if columns is None else list(columns)
+    steps = F.col("__steps")
+    changed = {}
+    for c in columns:
+        text = F.col(c)
+        touched = F.coalesce(steps.isNotNull() & may_hold_address(text), F.lit(False))
+        candidate = touched & text.rlike(TOKEN)
+        walked = _rewritten_by_site(F.when(candidate, text), F.when(candidate, steps))
+        changed[c] = (
+            F.when(~touched, text)
+            .when(~candidate, array_fold(text, steps))
+            .when(walked.isNotNull(), walked)
+            .when(text.rlike(OPENING), text)
+            .otherwise(array_fold(text, steps))
+        )
+    return with_site_steps(df, plan).withColumns(changed).select(*df.columns)
+
+
 def broken_serialized(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """``(key, column_name, text)`` of values that start like a serialized one but cannot be read."""
     columns = text_columns(df) if columns is None else list(columns)

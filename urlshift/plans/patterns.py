@@ -96,28 +96,19 @@ def replacement_plan(
     Mappings with an empty side or without a change are left out. Of several lines for the
     main site the last one counts.
     """
-    rows = attach_paths(
-        mappings.where(~is_empty("old_domain") & ~is_empty("new_domain") & F.col("blog_id").isNotNull()), sites
-    ).select("blog_id", "old_domain", "new_domain", "path", F.col("line_no").cast("bigint").alias("line_no"))
     is_main = F.col("blog_id") == main_id
-    last_main = rows.where(is_main).agg(F.max("line_no").alias("line_no")).select(
-        F.lit(main_id).cast("bigint").alias("blog_id"), "line_no"
+    usable = mappings.where(~is_empty("old_domain") & ~is_empty("new_domain") & F.col("blog_id").isNotNull())
+    last_main = usable.where(is_main).agg(F.max("line_no").cast("bigint").alias("line_no")).scalar()
+    rows = attach_paths(
+        usable.where((F.col("old_domain") != F.col("new_domain")) & (~is_main | (F.col("line_no") == last_main))), sites
     )
-    changed = F.col("old_domain") != F.col("new_domain")
-    main = rows.where(is_main).join(last_main, ["blog_id", "line_no"], "left_semi").where(changed)
-    subsites = rows.where(~is_main & changed)
-
     # A subsite's old domain that already holds a path is cut before the site path is put on.
-    cut = F.col("old_domain").contains("/") & (F.col("path") != "/")
-    subsites = subsites.withColumn(
-        "old_domain", F.when(cut, F.substring_index("old_domain", "/", 1)).otherwise(F.col("old_domain"))
-    )
-    ordered = subsites.withColumn("place", F.col("line_no")).unionByName(
-        main.withColumn("place", F.col("line_no") + _MAIN_LAST)
-    )
-    search, replace = search_replace_pair(F.col("old_domain"), F.col("new_domain"), F.col("path"))
+    cut = ~is_main & F.col("old_domain").contains("/") & (F.col("path") != "/")
+    old = F.when(cut, F.substring_index("old_domain", "/", 1)).otherwise(F.col("old_domain"))
+    search, replace = search_replace_pair(old, F.col("new_domain"), F.col("path"))
+    place = F.col("line_no").cast("bigint") + F.when(is_main, F.lit(_MAIN_LAST)).otherwise(F.lit(0))
     return _to_plan(
-        ordered.select("blog_id", "place", search.alias("search"), replace.alias("replace")), escape_mode
+        rows.select("blog_id", place.alias("place"), search.alias("search"), replace.alias("replace")), escape_mode
     )
 
 

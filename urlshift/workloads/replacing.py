@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urlshift.operators import replace as rep
-from urlshift.operators.serialized import apply_plan_serialized, broken_serialized
+from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized, broken_serialized
 from urlshift.plans.patterns import JSON, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.workloads.registry import query
 from urlshift.workloads.tables import (
@@ -164,6 +164,24 @@ def _replace_serialized(spark, sf):
     return apply_plan_serialized(rows, network_plan(spark, sf))
 
 
+@query(
+    "replace_serialized_by_site",
+    f"""WITH RECURSIVE {PLAN_SQL}, {SITE_POSTS_SQL},
+    own AS (SELECT blog_id, search, "replace", row_number() OVER (PARTITION BY blog_id ORDER BY seq) AS n FROM plan),
+    walk AS (
+      SELECT blog_id, page_id, link, content, CAST(0 AS BIGINT) AS n FROM site_posts
+      UNION ALL
+      SELECT w.blog_id, page_id, replace(link, search, "replace"), replace(content, search, "replace"), o.n
+      FROM walk w JOIN own o ON o.blog_id = w.blog_id AND o.n = w.n + 1),
+    done AS (SELECT blog_id, page_id, arg_max(link, n) AS link, arg_max(content, n) AS content FROM walk GROUP BY blog_id, page_id)
+    SELECT blog_id, page_id, link AS plain, {_serialized_sql('content', 'link')} AS value FROM done""",
+)
+def _replace_serialized_by_site(spark, sf):
+    value = _serialized(F.col("content"), F.col("link"))
+    rows = site_posts(spark, sf).select("blog_id", "page_id", F.col("link").alias("plain"), value.alias("value"))
+    return apply_plan_by_site_serialized(rows, network_plan(spark, sf))
+
+
 @query(
     "broken_serialized",
     f"""WITH {POSTS_SQL} SELECT page_id, 'cut' AS column_name,

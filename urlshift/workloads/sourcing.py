@@ -43,7 +43,7 @@ def _quoted(text):
 def _read_dump(spark, sf):
     """Documents written as a dump with one posts table per language, and read back."""
     site = F.floor(F.position(F.col("lang"), F.lit("deenesfr")) / 2).cast("bigint") + 1
-    text = F.concat("text", F.lit("it's \\\\n; (x), 'y'"))
+    text = F.concat("text", F.lit("it's \\n; (x), 'y'"))
     rows = table(spark, sf, "documents").select(
         site_table(site, F.lit("posts")).alias("t"),
         F.floor(F.col("doc_id") / _PER_STATEMENT).alias("bucket"),
