@@ -16,6 +16,7 @@ A text without ``//`` (or its JSON form) can hold no pattern and is passed throu
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from urlshift import fixed_values as fixed
 from urlshift.functions import count_occurrences
 from urlshift.operators import matching
-from urlshift.session import fits, keep
+from urlshift.session import keep
 
 NESTED_LIMIT = 8  # measured: above it the one-pass search is faster
 PLAN_LIMIT = 200_000
@@ -92,14 +93,9 @@ def nested_fold(text: Column, steps: Sequence[Step], boundary: bool = False) ->
 
 
 def _step_array(steps: Sequence[Step]) -> Column:
-    return F.array(
-        *(
-            F.struct(
-                F.lit(s.seq).cast("bigint").alias("seq"), F.lit(s.search).alias("search"), F.lit(s.replace).alias("new")
-            )
-            for s in steps
-        )
-    )
+    """The steps as one constant array of ``(seq, search, new)``, folded once when the query is planned."""
+    text = json.dumps([{"seq": s.seq, "search": s.search, "new": s.replace} for s in steps])
+    return F.from_json(F.lit(text), "array<struct<seq: bigint, search: string, new: string>>")
 
 
 def array_fold(text: Column, steps: Column) -> Column:
@@ -170,10 +166,17 @@ def with_site_steps(df: DataFrame, plan: DataFrame) -> DataFrame:
     A site has a handful of steps, so the plan folds to one short array per site. A big site is only a
     skewed left side of an outer join, which adaptive execution splits.
     """
-    steps = plan.dropDuplicates(["blog_id", "seq"]).groupBy("blog_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "search", F.col("replace").alias("new")))).alias("__steps")
-    )
-    side = F.broadcast(steps) if fits(plan, PLAN_LIMIT) else steps
+    rows = plan.select("blog_id", "seq", "search", F.col("replace").alias("new")).limit(PLAN_LIMIT + 1).collect()
+    if len(rows) <= PLAN_LIMIT:
+        own: dict[int, list] = {}
+        for row in sorted(set(rows), key=lambda row: row.seq):
+            own.setdefault(row.blog_id, []).append((row.seq, row.search, row.new))
+        schema = "blog_id bigint, __steps array<struct<seq: bigint, search: string, new: string>>"
+        side = F.broadcast(df.sparkSession.createDataFrame(list(own.items()), schema))
+    else:
+        side = plan.dropDuplicates(["blog_id", "seq"]).groupBy("blog_id").agg(
+            F.array_sort(F.collect_list(F.struct("seq", "search", F.col("replace").alias("new")))).alias("__steps")
+        )
     return df.join(side, "blog_id", "left")
 
 
