@@ -94,12 +94,12 @@ def upsert_options(options: DataFrame, changes: DataFrame) -> DataFrame:
     keys = ["blog_id", "option_name"]
     others = [c for c in options.columns if c not in (*keys, "option_value")]
     latest = changes.select(*keys, "option_value").dropDuplicates(keys)
-    kept = options.join(latest.select(*keys), keys, "left_anti")
-    if not others:
-        return kept.unionByName(latest.select(*options.columns))
-    # Other columns of a replaced row stay with it.
-    old = options.join(latest.select(*keys), keys, "left_semi").drop("option_value")
-    return kept.unionByName(latest.join(old, keys, "left").select(*options.columns))
+    kept = options.join(latest.select(*keys), keys, "left_anti").select(*options.columns)
+    if others:
+        # Other columns of a replaced row stay with it.
+        old = options.join(latest.select(*keys), keys, "left_semi").drop("option_value")
+        latest = latest.join(old, keys, "left")
+    return kept.unionByName(latest.select(*options.columns))
 
 
 def proxy_status(options: DataFrame) -> DataFrame:

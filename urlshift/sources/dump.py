@@ -54,19 +54,19 @@ def dump_tuples(statements: DataFrame) -> DataFrame:
     head = F.regexp_extract("stmt", _INSERT, 0)
     names = F.regexp_extract("stmt", _INSERT, 2)
     tail = F.substring(F.col("stmt"), F.length(head) + 1, F.length("stmt"))
-    return (
-        inserts.select(
-            _bare_name(F.regexp_extract("stmt", _INSERT, 1)).alias("table_name"),
-            F.when(names != "", F.split(F.regexp_replace(F.translate(names, '`"()', ""), r"\s", ""), ",")).alias("columns"),
-            tail.alias("tail"),
-        )
-        .select(
-            "table_name",
-            "columns",
-            F.col("tail").rlike(rf"(?s)\A(?:{_TUPLE}[\s,]*+)*+;?\s*\z").alias("whole"),
-            F.explode_outer(F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1)).alias("tuple"),
-        )
+    cut = inserts.select(
+        _bare_name(F.regexp_extract("stmt", _INSERT, 1)).alias("table_name"),
+        F.when(names != "", F.split(F.regexp_replace(F.translate(names, '`"()', ""), r"\s", ""), ",")).alias("columns"),
+        tail.alias("tail"),
+    ).select(
+        "table_name",
+        "columns",
+        F.col("tail").rlike(rf"(?s)\A(?:{_TUPLE}[\s,]*+)*+;?\s*\z").alias("whole"),
+        F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1).alias("tuples"),
     )
+    # The explode comes last and alone: next to an expression on the statement it would copy the
+    # statement into every one of its rows.
+    return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("tuple"))
 
 
 def _unescaped(text: Column) -> Column:
