@@ -45,8 +45,13 @@ def _bare_name(name: Column) -> Column:
     return F.translate(F.regexp_replace(name, r"(?s)\A[A-Za-z0-9_$]+\.", ""), '`"', "")
 
 
+def _cut_tuple(text: Column) -> Column:
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.regexp_extract_all(inner, F.lit(rf"(?s)({_VALUE})"), 1)
+
+
 def dump_tuples(statements: DataFrame) -> DataFrame:
-    """``(table_name, columns, whole, tuple)``: one row per inserted tuple.
+    """``(table_name, columns, whole, raw)``: one row per inserted tuple, its values as they are written.
 
     ``whole`` is false for a statement whose text is more than its tuples (a cut or foreign statement).
     """
@@ -62,11 +67,11 @@ def dump_tuples(statements: DataFrame) -> DataFrame:
         "table_name",
         "columns",
         F.col("tail").rlike(rf"(?s)\A(?:{_TUPLE}[\s,]*+)*+;?\s*\z").alias("whole"),
-        F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1).alias("tuples"),
+        F.transform(F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1), _cut_tuple).alias("tuples"),
     )
     # The explode comes last and alone: next to an expression on the statement it would copy the
     # statement into every one of its rows.
-    return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("tuple"))
+    return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("raw"))
 
 
 def _unescaped(text: Column) -> Column:
@@ -75,39 +80,41 @@ def _unescaped(text: Column) -> Column:
     Pairs of backslashes are cut out first, left to right; what is left between them holds single
     escapes only, which cannot overlap.
     """
-    def part(p: Column) -> Column:
-        p = F.replace(p, F.lit("''"), F.lit("'"))
-        for written, meant in ((r"\n", "\n"), (r"\r", "\r"), (r"\t", "\t"), (r"\0", "\0"), (r"\b", "\b"), (r"\Z", "\x1a")):
+    def replaced(p: Column, *escapes: tuple[str, str]) -> Column:
+        for written, meant in escapes:
             p = F.replace(p, F.lit(written), F.lit(meant))
-        return F.regexp_replace(p, r"(?s)\\([^%_])", "$1")
+        return p
 
-    pieces = F.transform(F.split(text, r"\\\\"), part)
-    return (
-        F.when(text.contains("\\"), F.array_join(pieces, "\\"))
-        .otherwise(F.replace(text, F.lit("''"), F.lit("'")))
-    )
+    def common(p: Column) -> Column:
+        return replaced(p, ("''", "'"), (r"\n", "\n"), (r"\'", "'"), (r"\"", '"'))
+
+    def rare(p: Column) -> Column:
+        known = replaced(p, (r"\r", "\r"), (r"\t", "\t"), (r"\0", "\0"), (r"\b", "\b"), (r"\Z", "\x1a"))
+        return F.when(p.contains("\\"), F.regexp_replace(known, r"(?s)\\([^%_])", "$1")).otherwise(p)
+
+    pieces = F.transform(F.transform(F.split(text, r"\\\\"), common), rare)
+    return F.when(text.contains("\\"), F.array_join(pieces, "\\")).otherwise(F.replace(text, F.lit("''"), F.lit("'")))
 
 
 def _plain_value(value: Column) -> Column:
-    """A value of a tuple as text, NULL for NULL."""
+    """A value of a tuple as text, NULL for NULL. The forms every dump tool writes are tried first."""
     v = F.regexp_replace(F.regexp_replace(value, r"\A\s+|\s+\z", ""), r"(?s)\A_[A-Za-z0-9]+\s*(?=['\"])", "")
-    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+
+    def inner(text: Column) -> Column:
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
     return (
-        F.when(F.upper(v) == "NULL", F.lit(None).cast("string"))
-        .when(v.startswith("'"), _unescaped(inner))
-        .when(v.startswith('"'), _unescaped(F.replace(inner, F.lit('""'), F.lit('"'))))
+        F.when(value.startswith("'") & value.endswith("'"), _unescaped(inner(value)))
+        .when(value == "NULL", F.lit(None).cast("string"))
+        .when(value.rlike(r"\A[-+.0-9]+\z"), value)
+        .when(F.upper(v) == "NULL", F.lit(None).cast("string"))
+        .when(v.startswith("'"), _unescaped(inner(v)))
+        .when(v.startswith('"'), _unescaped(F.replace(inner(v), F.lit('""'), F.lit('"'))))
         .when(v.rlike(r"\A0x(?:[0-9A-Fa-f]{2})+\z"), F.decode(F.unhex(F.substring(v, 3, 1 << 30)), "UTF-8"))
         .otherwise(v)
     )
 
 
-def dump_rows(statements: DataFrame) -> DataFrame:
-    """``(table_name, columns, whole, values)``: the values of every tuple as text."""
-    inner = F.substring(F.col("tuple"), F.lit(2), F.length("tuple") - 2)
-    values = F.transform(F.regexp_extract_all(inner, F.lit(rf"(?s)({_VALUE})"), 1), _plain_value)
-    return dump_tuples(statements).select("table_name", "columns", "whole", values.alias("values"))
-
-
 def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
     """Column names and types by base table, from the table definitions of the dump.
 
@@ -146,13 +153,12 @@ def _cells(schema: T.StructType) -> list[tuple[T.StructField, Column]]:
     for place, field in enumerate(schema.fields):
         by_name = F.array_position("columns", field.name).cast("int")
         at = F.when(F.col("columns").isNotNull(), by_name - 1).otherwise(F.lit(place))
-        cells.append((field, F.get(F.col("values"), at)))
+        cells.append((field, _plain_value(F.get(F.col("raw"), at))))
     return cells
 
 
 def _misfit(schema: T.StructType) -> Column:
     """Why a tuple does not fit its table, NULL where it does."""
-    width = F.coalesce(F.size("columns"), F.lit(len(schema.fields)))
     width = F.when(F.col("columns").isNotNull(), F.size("columns")).otherwise(F.lit(len(schema.fields)))
     lost = F.lit(False)
     for field, cell in _cells(schema):
@@ -160,7 +166,7 @@ def _misfit(schema: T.StructType) -> Column:
             lost = lost | (cell.isNotNull() & cell.try_cast(field.dataType).isNull())
     return (
         F.when(~F.col("whole"), F.lit("statement is cut or not plain"))
-        .when(F.size("values") != width, F.lit("wrong number of values"))
+        .when(F.size("raw") != width, F.lit("wrong number of values"))
         .when(lost, F.lit("value does not fit its type"))
     )
 
@@ -200,7 +206,7 @@ def read_sql_dump(
     """
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements), prefix)
+    rows = _with_base(dump_tuples(statements), prefix)
     if staged:
         path = scratch_path(spark, "dump")
         rows.write.mode("errorifexists").partitionBy("base_name").parquet(path)
@@ -218,8 +224,9 @@ def rejected_rows(
     """``(table_name, reason, values)`` of every tuple ``read_sql_dump`` leaves out."""
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements), prefix)
+    rows = _with_base(dump_tuples(statements), prefix)
     reason = F.lit("table without a definition")
     for base, schema in known.items():
         reason = F.when(F.col("base_name") == base, _misfit(schema)).otherwise(reason)
-    return rows.select("table_name", reason.alias("reason"), "values").where(F.col("reason").isNotNull())
+    values = F.transform("raw", _plain_value)
+    return rows.select("table_name", reason.alias("reason"), values.alias("values")).where(F.col("reason").isNotNull())
