@@ -11,7 +11,7 @@ from urlshift import fixed_values as fixed
 from urlshift.functions import sanitize_domain
 from urlshift.operators import detection, mappings as maps, network, proxy, revisions, settings as conf
 from urlshift.operators.links import site_links
-from urlshift.operators.replace import dry_run_report, site_run_status
+from urlshift.operators.replace import dry_run_report, plan_slices, site_run_status
 from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.session import keep
@@ -164,13 +164,16 @@ def migrate(
     reports["warnings"] = plan_warnings(plan)
     reports["clashes"] = pattern_clashes(plan)
 
+    # An ordinary plan comes to the driver once for all tables.
+    slices = list(plan_slices(plan))
+    steps = slices[0] if len(slices) == 1 else plan
     searched = [name for name in tables if name not in ("blogs", "site")]
     if job.dry_run:
-        reports["replacements"] = dry_run_report({n: tables[n] for n in searched}, plan)
+        reports["replacements"] = dry_run_report({n: tables[n] for n in searched}, steps)
     else:
         for name in searched:
             if job.all_tables or "blog_id" not in tables[name].columns or not is_network:
-                tables[name] = apply_plan_serialized(tables[name], plan)
+                tables[name] = apply_plan_serialized(tables[name], steps)
             else:
                 tables[name] = apply_plan_by_site_serialized(tables[name], plan)
         reports["status"] = site_run_status(plan.select("blog_id", "pass", F.lit(True).alias("ok")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark import cloudpickle
@@ -95,3 +96,20 @@ class Rewriter:
         text = content.decode("utf-8")
         inner = self(text) if content[1:2] == b":" and content[-1:] in b";}" else None
         return (self.fold(text) if inner is None else inner).encode("utf-8")
+
+
+class TextRewriter:
+    """Any text: a serialized value is walked, one that cannot be read to its end stays, the rest is folded."""
+
+    def __init__(self, fold, token, opening):
+        self.fold = fold
+        self.walk = Rewriter(fold)
+        self.token = re.compile(token, re.ASCII)
+        self.opening = re.compile(opening, re.ASCII)
+
+    def __call__(self, text):
+        if self.token.search(text):
+            done = self.walk(text)
+            if done is not None or self.opening.match(text):
+                return text if done is None else done
+        return self.fold(text)

@@ -104,12 +104,11 @@ def array_fold(text: Column, steps: Column) -> Column:
 
 
 def _matched_fold(text: Column, steps: Sequence[Step], boundary: bool) -> Column:
-    pairs = [(s.search, s.replace) for s in steps]
+    fold = matching.Folder([(s.search, s.replace) for s in steps], boundary)
 
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fold = matching.Folder(pairs, boundary)
-        for batch in batches:
-            yield batch.map(fold, na_action="ignore")
+    # Series to series, not iterators: Spark then sends all columns of a table to Python together.
+    def rewrite(batch: pd.Series) -> pd.Series:
+        return batch.map(fold, na_action="ignore")
 
     return F.pandas_udf(rewrite, T.StringType())(text)
 
@@ -208,12 +207,10 @@ def _hits(text: Column, steps: Sequence[Step]) -> Column:
             ),
         )
         return F.filter(counted, lambda hit: hit["replacements"] > 0)
-    pairs = [(s.seq, s.search) for s in steps]
+    counter = matching.Counter([(s.seq, s.search) for s in steps])
 
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = matching.Counter(pairs)
-        for batch in batches:
-            yield batch.map(counter, na_action="ignore")
+    def count(batch: pd.Series) -> pd.Series:
+        return batch.map(counter, na_action="ignore")
 
     return F.pandas_udf(count, HITS_TYPE)(text)
 

@@ -1,17 +1,19 @@
 """Search-and-replace inside length-prefixed serialized values (``s:<bytes>:"…";``).
 
-Text without such a prefix takes the plain fold. The others go through one Arrow function
-that walks the value on UTF-8 bytes, rewrites every string value (array keys and property
-names stay) and writes its byte count anew. A value that starts like a serialized one but
+Text without such a prefix takes the plain fold. The others go through an Arrow function that
+walks the value on UTF-8 bytes, rewrites every string value (array keys and property names
+stay) and writes its byte count anew. A value that starts like a serialized one but
 cannot be read to its end is left as it is; ``broken_serialized`` lists such rows. Prose
 that only mentions the notation is not a serialized value and takes the plain fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +32,14 @@ from urlshift.operators.replace import (
 )
 from urlshift.session import keep
 
+# Functions of this module go to workers inside the query, so that they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN = r's:[0-9]+:"'
 OPENING = r'\A(?:[aOCE]|s):[0-9]+:'
 
 
-def _leaf_fold(pairs: list[tuple[str, str]]):
-    if len(pairs) > NESTED_LIMIT:
-        return matching.Folder(pairs)
-
+def _small_fold(pairs: Sequence[tuple[str, str]]) -> Callable[[str], str]:
     def fold(text: str) -> str:
         for search, new in pairs:
             if search in text:
@@ -47,30 +49,27 @@ def _leaf_fold(pairs: list[tuple[str, str]]):
     return fold
 
 
-def _rewritten(text: Column, steps: Sequence[Step]) -> Column:
-    """The rewritten value, NULL where the text is not one whole serialized value."""
-    pairs = [(s.search, s.replace) for s in steps]
-
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        walk = phpwalk.Rewriter(_leaf_fold(pairs))
-        for batch in batches:
-            yield batch.map(walk, na_action="ignore")
-
-    return F.pandas_udf(rewrite, T.StringType())(text)
+def _any_text(pairs: Sequence[tuple[str, str]]) -> Callable[[str], str]:
+    """Rewrites a serialized value by walking it and any other text by the plain fold."""
+    fold = matching.Folder(list(pairs)) if len(pairs) > NESTED_LIMIT else _small_fold(pairs)
+    return phpwalk.TextRewriter(fold, TOKEN, OPENING)
 
 
 def replace_serialized_column(text: Column, steps: Sequence[Step]) -> Column:
+    """A text column after all steps, with the byte counts of serialized values written anew."""
     if not steps:
         return text
-    candidate = may_match(text, steps) & text.rlike(TOKEN)
-    plain = replace_column(text, steps)
-    walked = _rewritten(F.when(candidate, text), steps)
-    return (
-        F.when(~candidate | candidate.isNull(), plain)
-        .when(walked.isNotNull(), walked)
-        .when(text.rlike(OPENING), text)
-        .otherwise(plain)
-    )
+    small = len(steps) <= NESTED_LIMIT
+    candidate = may_match(text, steps)
+    if small:  # the JVM does all but the serialized values
+        candidate = candidate & text.rlike(TOKEN)
+    one = _any_text([(s.search, s.replace) for s in steps])
+
+    def rewrite(batch: pd.Series) -> pd.Series:
+        return batch.map(one, na_action="ignore")
+
+    done = F.pandas_udf(rewrite, T.StringType())(F.when(candidate, text))
+    return F.when(candidate, done).otherwise(replace_column(text, steps) if small else text)
 
 
 def apply_plan_serialized(
@@ -85,44 +84,35 @@ def apply_plan_serialized(
     return df
 
 
-def _rewritten_by_site(text: Column, steps: Column) -> Column:
-    """The rewritten value with the row's own steps, NULL where the text is not one whole serialized value."""
-
-    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = {}
-
-        def one(value, own):
-            if value is None or own is None:
-                return None
-            pairs = tuple((step["search"], step["new"]) for step in own)
-            if pairs not in known:
-                known[pairs] = phpwalk.Rewriter(_leaf_fold(list(pairs)))
-            return known[pairs](value)
-
-        for values, owns in batches:
-            yield pd.Series([one(v, o) for v, o in zip(values, owns, strict=True)], dtype=object)
-
-    return F.pandas_udf(rewrite, T.StringType())(text, steps)
-
-
 def apply_plan_by_site_serialized(
     df: DataFrame, plan: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """``apply_plan_by_site`` that keeps serialized values readable."""
     columns = text_columns(df) if columns is None else list(columns)
+    known: dict[tuple, Callable[[str], str]] = {}
+
+    def one(text, own):
+        if text is None or own is None:
+            return None
+        pairs = tuple((step["search"], step["new"]) for step in own)
+        if pairs not in known:
+            known[pairs] = _any_text(pairs)
+        return known[pairs](text)
+
+    def rewrite(texts: pd.Series, owns: pd.Series) -> pd.Series:
+        return pd.Series([one(text, own) for text, own in zip(texts, owns, strict=True)], dtype=object)
+
+    walk = F.pandas_udf(rewrite, T.StringType())
     steps = F.col("__steps")
     changed = {}
     for c in columns:
         text = F.col(c)
         touched = F.coalesce(steps.isNotNull() & may_hold_address(text), F.lit(False))
         candidate = touched & text.rlike(TOKEN)
-        walked = _rewritten_by_site(F.when(candidate, text), F.when(candidate, steps))
         changed[c] = (
-            F.when(~touched, text)
-            .when(~candidate, array_fold(text, steps))
-            .when(walked.isNotNull(), walked)
-            .when(text.rlike(OPENING), text)
-            .otherwise(array_fold(text, steps))
+            F.when(candidate, walk(F.when(candidate, text), F.when(candidate, steps)))
+            .when(touched, array_fold(text, steps))
+            .otherwise(text)
         )
     return with_site_steps(df, plan).withColumns(changed).select(*df.columns)
 
@@ -131,10 +121,10 @@ def broken_serialized(df: DataFrame, key: Sequence[str], columns: Sequence[str]
     """``(key, column_name, text)`` of values that start like a serialized one but cannot be read."""
     columns = text_columns(df) if columns is None else list(columns)
 
-    def readable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        walk = phpwalk.Rewriter(lambda text: text)
-        for batch in batches:
-            yield batch.map(lambda text: walk(text) is not None, na_action="ignore").astype("boolean")
+    walk = phpwalk.Rewriter(_small_fold([]))
+
+    def readable(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda text: walk(text) is not None, na_action="ignore").astype("boolean")
 
     cells = df.select(
         *key,

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", name: str = "urlshift", memory: str = "8g") -> SparkSession:
@@ -47,13 +46,3 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Join side hinted for broadcast only after its size was checked; otherwise left to a shuffle join."""
-    return F.broadcast(df) if fits(df, rows) else df
