@@ -22,6 +22,12 @@ def test_number_rows_with_negative_and_missing_runs(spark):
     assert [(r.pos, r.seq) for r in number_rows(df, "pos").orderBy("seq").collect()] == [(-5, 1), (0, 2), (10**12, 3)]
 
 
+def test_missing_keys_and_positions_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", None), ("a", 5)], "k string, pos long")
+    got = {tuple(r) for r in number_rows(df, "pos", ["k"], out="n").select("k", "pos", "n").collect()}
+    assert got == {(None, 1, 1), (None, 2, 2), ("a", None, 1), ("a", 5, 2)}
+
+
 def test_no_task_sorts_a_whole_key(spark):
     """The wide windows are cut by run, and the uncut one sees one row per run."""
     plan = number_rows(spark.range(10).select(F.col("id").alias("pos"), F.lit(1).alias("k")), "pos", ["k"])

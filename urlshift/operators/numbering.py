@@ -8,6 +8,7 @@ positions, work inside the runs, and correct them by a small table with one row
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +21,17 @@ _BEFORE = "__before"
 
 
 def _runs(df: DataFrame, position: Column, width: int) -> DataFrame:
-    return df.withColumn(_RUN, F.floor(position / width).cast("bigint"))
+    """Rows without a position form the run before all others."""
+    run = F.floor(position / width).cast("bigint")
+    return df.withColumn(_RUN, F.coalesce(run, F.lit(-(1 << 62))))
+
+
+def _join_runs(cut: DataFrame, per_run: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the value of its run; keys may be NULL."""
+    names = {name: f"__of_{name}" for name in (*keys, _RUN)}
+    right = per_run.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(other)) for name, other in names.items()])
+    return cut.join(right, same).drop(*names.values())
 
 
 def number_rows(
@@ -46,7 +57,7 @@ def number_rows(
     )
     inside = W.partitionBy(*keys, _RUN).orderBy(position, *ties)
     return (
-        cut.join(offsets, [*keys, _RUN])
+        _join_runs(cut, offsets, keys)
         .withColumn(out, (F.row_number().over(inside) + F.col(_BEFORE)).cast("bigint"))
         .drop(_RUN, _BEFORE)
     )
@@ -71,7 +82,7 @@ def carry_forward(
     )
     inside = W.partitionBy(*keys, _RUN).orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        cut.join(carried, [*keys, _RUN])
+        _join_runs(cut, carried, keys)
         .withColumn(out, F.coalesce(F.last("__value", ignorenulls=True).over(inside), F.col(_BEFORE)))
         .drop(_RUN, "__value", _BEFORE)
     )

@@ -45,35 +45,6 @@ def _bare_name(name: Column) -> Column:
     return F.translate(F.regexp_replace(name, r"(?s)\A[A-Za-z0-9_$]+\.", ""), '`"', "")
 
 
-def _cut_tuple(text: Column) -> Column:
-    inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    return F.regexp_extract_all(inner, F.lit(rf"(?s)({_VALUE})"), 1)
-
-
-def dump_tuples(statements: DataFrame) -> DataFrame:
-    """``(table_name, columns, whole, raw)``: one row per inserted tuple, its values as they are written.
-
-    ``whole`` is false for a statement whose text is more than its tuples (a cut or foreign statement).
-    """
-    inserts = statements.where(F.col("stmt").rlike(_INSERT))
-    head = F.regexp_extract("stmt", _INSERT, 0)
-    names = F.regexp_extract("stmt", _INSERT, 2)
-    tail = F.substring(F.col("stmt"), F.length(head) + 1, F.length("stmt"))
-    cut = inserts.select(
-        _bare_name(F.regexp_extract("stmt", _INSERT, 1)).alias("table_name"),
-        F.when(names != "", F.split(F.regexp_replace(F.translate(names, '`"()', ""), r"\s", ""), ",")).alias("columns"),
-        tail.alias("tail"),
-    ).select(
-        "table_name",
-        "columns",
-        F.col("tail").rlike(rf"(?s)\A(?:{_TUPLE}[\s,]*+)*+;?\s*\z").alias("whole"),
-        F.transform(F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1), _cut_tuple).alias("tuples"),
-    )
-    # The explode comes last and alone: next to an expression on the statement it would copy the
-    # statement into every one of its rows.
-    return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("raw"))
-
-
 def _unescaped(text: Column) -> Column:
     """Content of a quoted value: doubled quotes and backslash escapes undone.
 
@@ -115,6 +86,37 @@ def _plain_value(value: Column) -> Column:
     )
 
 
+def _cut_tuple(text: Column) -> Column:
+    """The values of one tuple as texts."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.transform(F.regexp_extract_all(inner, F.lit(rf"(?s)({_VALUE})"), 1), _plain_value)
+
+
+def dump_rows(statements: DataFrame) -> DataFrame:
+    """``(table_name, columns, whole, values)``: one row per inserted tuple, its values as texts.
+
+    ``whole`` is false for a statement whose text is more than its tuples (a cut or foreign statement).
+    """
+    inserts = statements.where(F.col("stmt").rlike(_INSERT))
+    head = F.regexp_extract("stmt", _INSERT, 0)
+    names = F.regexp_extract("stmt", _INSERT, 2)
+    tail = F.substring(F.col("stmt"), F.length(head) + 1, F.length("stmt"))
+    cut = inserts.select(
+        _bare_name(F.regexp_extract("stmt", _INSERT, 1)).alias("table_name"),
+        F.when(names != "", F.split(F.regexp_replace(F.translate(names, '`"()', ""), r"\s", ""), ",")).alias("columns"),
+        tail.alias("tail"),
+    ).select(
+        "table_name",
+        "columns",
+        F.col("tail").rlike(rf"(?s)\A(?:{_TUPLE}[\s,]*+)*+;?\s*\z").alias("whole"),
+        F.transform(F.regexp_extract_all("tail", F.lit(rf"(?s)({_TUPLE})"), 1), _cut_tuple).alias("tuples"),
+    )
+    # The explode comes last and alone: next to an expression on the statement it would copy the
+    # statement into every one of its rows. Values are read before it, so that no later filter or
+    # column reads them again.
+    return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("values"))
+
+
 def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
     """Column names and types by base table, from the table definitions of the dump.
 
@@ -153,7 +155,7 @@ def _cells(schema: T.StructType) -> list[tuple[T.StructField, Column]]:
     for place, field in enumerate(schema.fields):
         by_name = F.array_position("columns", field.name).cast("int")
         at = F.when(F.col("columns").isNotNull(), by_name - 1).otherwise(F.lit(place))
-        cells.append((field, _plain_value(F.get(F.col("raw"), at))))
+        cells.append((field, F.get(F.col("values"), at)))
     return cells
 
 
@@ -166,7 +168,7 @@ def _misfit(schema: T.StructType) -> Column:
             lost = lost | (cell.isNotNull() & cell.try_cast(field.dataType).isNull())
     return (
         F.when(~F.col("whole"), F.lit("statement is cut or not plain"))
-        .when(F.size("raw") != width, F.lit("wrong number of values"))
+        .when(F.size("values") != width, F.lit("wrong number of values"))
         .when(lost, F.lit("value does not fit its type"))
     )
 
@@ -206,7 +208,7 @@ def read_sql_dump(
     """
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_tuples(statements), prefix)
+    rows = _with_base(dump_rows(statements), prefix)
     if staged:
         path = scratch_path(spark, "dump")
         rows.write.mode("errorifexists").partitionBy("base_name").parquet(path)
@@ -224,9 +226,8 @@ def rejected_rows(
     """``(table_name, reason, values)`` of every tuple ``read_sql_dump`` leaves out."""
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_tuples(statements), prefix)
+    rows = _with_base(dump_rows(statements), prefix)
     reason = F.lit("table without a definition")
     for base, schema in known.items():
         reason = F.when(F.col("base_name") == base, _misfit(schema)).otherwise(reason)
-    values = F.transform("raw", _plain_value)
-    return rows.select("table_name", reason.alias("reason"), values.alias("values")).where(F.col("reason").isNotNull())
+    return rows.select("table_name", reason.alias("reason"), "values").where(F.col("reason").isNotNull())

@@ -42,6 +42,14 @@ def _quoted(text):
 )
 def _read_dump(spark, sf):
     """Documents written as a dump with one posts table per language, and read back."""
+    return read_sql_dump(spark, write_documents_dump(spark, sf), DOCUMENT_SCHEMAS)["posts"]
+
+
+DOCUMENT_SCHEMAS = {"posts": "ID bigint, post_content string, post_type string"}
+
+
+def write_documents_dump(spark, sf) -> str:
+    """The path of the written dump."""
     site = F.floor(F.position(F.col("lang"), F.lit("deenesfr")) / 2).cast("bigint") + 1
     text = F.concat("text", F.lit("it's \\n; (x), 'y'"))
     rows = table(spark, sf, "documents").select(
@@ -54,8 +62,7 @@ def _read_dump(spark, sf):
     ).select("value")
     path = scratch_path(spark, "dump-text")
     statements.write.text(path)
-    schema = "ID bigint, post_content string, post_type string"
-    return read_sql_dump(spark, path, {"posts": schema})["posts"]
+    return path
 
 
 @query("source_sizes")
