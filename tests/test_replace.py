@@ -124,6 +124,11 @@ def test_live_report_by_key_equals_same_scan(spark):
     assert sorted(joined.collect()) == sorted(rep.rewrite_with_report(df, steps).collect())
 
 
+def test_empty_search_is_refused(spark):
+    with pytest.raises(ValueError):
+        rep.apply_plan(spark.createDataFrame([("a",)], "t string"), [Step(1, 1, 1, "", "x")])
+
+
 def test_status(spark):
     rows = spark.createDataFrame([(1, 1, True), (1, 3, True), (2, 1, True), (2, 3, False)], "blog_id long, pass int, ok boolean")
     assert sorted(map(tuple, rep.site_run_status(rows).collect())) == [(1, "complete", "complete"), (2, "failed", "failed")]

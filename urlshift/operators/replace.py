@@ -54,21 +54,29 @@ def text_columns(df: DataFrame, skip: Sequence[str] = fixed.SKIPPED_COLUMNS) ->
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
 
 
+def _checked(steps: Sequence[Step]) -> list[Step]:
+    """The steps in order; an empty search text would match everywhere and is refused."""
+    if any(not step.search for step in steps):
+        raise ValueError("a search text must not be empty")
+    return sorted(steps, key=lambda step: step.seq)
+
+
 def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> Iterator[list[Step]]:
     """The plan in consecutive slices of at most ``limit`` steps; an ordinary plan is one slice."""
     if not isinstance(plan, DataFrame):
-        yield from ([*plan[i : i + limit]] for i in range(0, len(plan), limit))
+        steps = _checked(plan)
+        yield from (steps[i : i + limit] for i in range(0, len(steps), limit))
         return
     columns = plan.select("seq", "blog_id", "pass", "search", "replace")
     rows = columns.limit(limit + 1).collect()
     if len(rows) <= limit:
-        yield [Step(*row) for row in sorted(rows, key=lambda row: row.seq)]
+        yield _checked([Step(*row) for row in rows])
         return
     columns = keep(columns, "plan")
     last = columns.agg(F.max("seq")).first()[0]
     for low in range(0, last, limit):
         rows = columns.where(F.col("seq").between(low + 1, low + limit)).collect()
-        yield [Step(*row) for row in sorted(rows, key=lambda row: row.seq)]
+        yield _checked([Step(*row) for row in rows])
 
 
 def may_match(text: Column, steps: Sequence[Step]) -> Column:

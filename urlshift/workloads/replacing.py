@@ -223,11 +223,11 @@ def _dry_run_report(spark, sf):
 @query(
     "report_totals",
     _COUNTS_SQL
-    + """ SELECT table_name, column_name, seq, CAST(sum(rows_changed) AS BIGINT) AS rows_changed,
+    + """ SELECT table_name, column_name, CAST(seq AS VARCHAR) AS seq, CAST(sum(rows_changed) AS BIGINT) AS rows_changed,
       CAST(sum(replacements) AS BIGINT) AS replacements FROM report GROUP BY ROLLUP (table_name, column_name, seq)""",
 )
 def _report_totals(spark, sf):
-    return rep.report_totals(_dry_run(spark, sf))
+    return rep.report_totals(_dry_run(spark, sf)).withColumn("seq", F.col("seq").cast("string"))
 
 
 _LIVE_SQL = f"""WITH RECURSIVE {PLAN_SQL}, {POSTS_SQL},

@@ -239,9 +239,12 @@ def _catalog(spark, sf):
     return split_table_names(own.unionByName(other))
 
 
-@query("table_catalog", _CATALOG_SQL + " SELECT * FROM catalog")
+@query(
+    "table_catalog",
+    _CATALOG_SQL + " SELECT table_name, prefix, CAST(blog_id AS VARCHAR) AS blog_id, base_name FROM catalog",
+)
 def _table_catalog(spark, sf):
-    return _catalog(spark, sf)
+    return _catalog(spark, sf).withColumn("blog_id", F.col("blog_id").cast("string"))
 
 
 @query(
