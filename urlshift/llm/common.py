@@ -8,13 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlshift.session import keep, scratch_path
 
-__all__ = ["by_value", "bytes_of", "documents", "keep", "mixed", "offsets_of", "partitions_for", "scratch_path",
+__all__ = ["batches", "by_value", "bytes_of", "documents", "keep", "mixed", "offsets_of", "partitions_for", "scratch_path",
            "training_row", "unique_id"]
 
 
@@ -66,11 +67,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def batches(iterator: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches to at most so many rows, so that a task holds few texts at once."""
-    for batch in iterator:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def batches(stream: Iterable[pa.RecordBatch], size: int, column: int) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the values of a text or binary column add up to about ``size`` bytes in each."""
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column)
+        values = values.cast(pa.large_binary() if values.type in (pa.large_string(), pa.large_binary()) else pa.binary())
+        lengths = np.asarray(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        groups = (np.cumsum(lengths) - lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 by_value(__name__)

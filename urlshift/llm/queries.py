@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urlshift.llm import hilbert
+from urlshift.llm import bpe, hilbert
 from urlshift.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +23,15 @@ def query(function):
 @query
 def op8_hilbert_sharding(spark, sf_dir):
     return hilbert.hilbert_shards(documents(spark, sf_dir))
+
+
+@query
+def op7_bpe_codes(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
