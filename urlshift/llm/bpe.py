@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from urlshift.llm.common import batches, by_value, offsets_of
 
@@ -30,6 +31,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 BYTES = 32 << 20  # of texts taken up before their new words are encoded together
 KNOWN_WORDS = 1_500_000  # words a task remembers
 SHIFT = 20
+FIELDS = ("tokens", "left", "right", "made", "special")
 
 
 @dataclass
@@ -203,10 +205,11 @@ class Encoder:
 def encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids): ids as little-endian unsigned 32-bit numbers in one binary value."""
     session = docs.sparkSession
-    shared = session.sparkContext.broadcast(read_vocabulary(vocabulary_path))  # as large as the file, whatever the input
+    # As large as the file, whatever the input; plain values, which need no copy of this package to be read.
+    shared = session.sparkContext.broadcast(tuple(vars(read_vocabulary(vocabulary_path))[f] for f in FIELDS))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches(stream, BYTES, 1):
             ids = encoder(batch.column(1).to_pylist())
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -220,11 +223,11 @@ def encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", tex
 def decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
     """The table with the text of its ids; bytes that are not UTF-8 become U+FFFD; null ids give an empty text."""
     session = encoded.sparkSession
-    shared = session.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    shared = session.sparkContext.broadcast(read_vocabulary(vocabulary_path).tokens)
     at = encoded.columns.index(ids_column)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.tokens
+        tokens = shared.value
         for batch in batches(stream, BYTES, at):
             texts = [
                 b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]).decode(errors="replace")
@@ -233,7 +236,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids", na
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, name])
 
     names = encoded.columns
-    schema = encoded.schema.add(name, "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())])
     return encoded.mapInArrow(run, schema)
 
 
