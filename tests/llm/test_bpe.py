@@ -39,6 +39,7 @@ def test_same_as_library(spark, library):
         wanted.append((i, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
     key = lambda r: (r[0], r[2])
     assert sorted(map(tuple, got), key=key) == sorted(wanted, key=key)
+    assert sorted(map(tuple, bpe.encode(docs, PATH, decoded=True).collect()), key=key) == sorted(wanted, key=key)
     assert [d for *_, d in wanted] == [t or "" for _, t in rows]
 
 

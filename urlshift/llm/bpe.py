@@ -28,9 +28,10 @@ from urlshift.llm.common import batches, by_value, offsets_of
 # Fixed value: the published word pattern of this family of tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-BYTES = 32 << 20  # of texts taken up before their new words are encoded together
-KNOWN_WORDS = 1_500_000  # words a task remembers
+BYTES = 12 << 20  # of texts taken up before their new words are encoded together
+KNOWN_WORDS = 300_000  # words a task remembers
 SHIFT = 20
+NAMES = ["id", "n_tokens", "ids", "decoded"]
 FIELDS = ("tokens", "left", "right", "made", "special")
 
 
@@ -202,22 +203,37 @@ class Encoder:
         return [b"".join(self.ids[i] for block in blocks for i in block.tolist()) for blocks in numbers]
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit numbers in one binary value."""
+def text_of(ids: bytes | None, tokens: list[bytes]) -> str:
+    """The text of some ids; bytes that are not UTF-8 become U+FFFD."""
+    return b"".join([tokens[i] for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode(errors="replace")
+
+
+def encode(
+    docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False
+) -> DataFrame:
+    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit numbers in one binary value.
+
+    ``decoded`` adds the text that the ids decode to, made in the same step.
+    """
     session = docs.sparkSession
     # As large as the file, whatever the input; plain values, which need no copy of this package to be read.
     shared = session.sparkContext.broadcast(tuple(vars(read_vocabulary(vocabulary_path))[f] for f in FIELDS))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
+        tokens = encoder.vocabulary.tokens
         for batch in batches(stream, BYTES, 1):
             ids = encoder(batch.column(1).to_pylist())
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            columns = [batch.column(0), counts, pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([text_of(x, tokens) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(docs[id_column], docs[text_column].cast("string"))
-    return texts.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_column)
+    schema = f"id {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded
+    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
@@ -229,10 +245,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids", na
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         for batch in batches(stream, BYTES, at):
-            texts = [
-                b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]).decode(errors="replace")
-                for x in batch.column(at).to_pylist()
-            ]
+            texts = [text_of(x, tokens) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, name])
 
     names = encoded.columns

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, hilbert
-from urlshift.llm.common import documents
+from urlshift.llm import bpe, ctw, hilbert
+from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,10 +28,15 @@ def op8_hilbert_sharding(spark, sf_dir):
 @query
 def op7_bpe_codes(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    coded = bpe.encode(documents(spark, sf_dir), path, decoded=True)
     return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_ctw_scoring(spark, sf_dir):
+    return ctw.ctw_scores(documents(spark, sf_dir), training_row("doc_id", 5, 1))
