@@ -1,10 +1,11 @@
 """Scoring texts by context-tree weighting over bytes.
 
 A text is its lower-cased words, each followed by a space, and then a line end. Each byte is eight binary decisions; the
-decision at a node of the byte has a context tree over the preceding bytes, up to ``DEPTH`` of them, which end at the
-space before the word. Each tree node keeps the Krichevsky-Trofimov estimate of the training bits seen there, and each
-inner node mixes its own estimate with that of its children half and half, weighted by how well both coded the training
-bits. As a context never reaches past a word, all texts are scored through their distinct words.
+decision at a node of the byte has a context tree over the preceding bytes, up to ``DEPTH`` of them. Each tree node
+keeps the Krichevsky-Trofimov estimate of the training bits seen there, and each inner node mixes its own estimate with
+that of its children half and half, weighted by how well both coded the training bits. For the first ``HEAD`` bytes of a
+word the context goes on into the last ``TAIL`` bytes of the word before; for later bytes it ends at the space before
+the word. So all texts are scored through their distinct words and their distinct joints (tail and head).
 
 How it runs: tasks number the words of their texts (one written table of word counts and coded texts); counts of words
 and then of byte strings ("grams": context and next byte) are summed by key; trees are worked out in groups by the last
@@ -21,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
-DEPTH = 6  # context bytes; with the coded byte they fill 56 bits of a key
+DEPTH = 7  # context bytes; with the coded byte they fill a 64-bit key
+HEAD = TAIL = 3
+SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
 TEXT_BYTES = 32 << 20  # of texts in one chunk
-CHUNK_WORDS = 200_000  # distinct words in one chunk of the vocabulary
+PART_ROWS = 200_000  # distinct words or joints whose grams are asked for together
 GROUP_ROWS = 400_000  # grams worked out together
 HALF = float(np.log(0.5))
 
@@ -56,8 +60,11 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all coded bytes of the words, and where each word's keys begin: next byte lowest, then the context."""
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bytes of the words (each with its space) after the first ``HEAD``, and where each word's keys begin.
+
+    A key has the coded byte lowest, then its context, nearest byte first.
+    """
     coded = [b" " + w if w == END else b" " + w + b" " for w in words]
     starts = offsets_of([len(w) for w in coded])
     text = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
@@ -65,7 +72,37 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys = text.copy()
     for back in range(1, DEPTH + 1):
         keys[back:] |= np.where(place[back:] >= back, text[:-back] << (8 * back), 0)
-    return keys[place > 0], offsets_of(np.diff(starts) - 1)
+    later = place > HEAD
+    return keys[later], offsets_of(later)[starts]
+
+
+def ends_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``HEAD`` bytes of each word with its space, below their count, and its last ``TAIL`` bytes, as numbers."""
+    heads = [(w if w == END else w + b" ")[:HEAD] for w in words]
+    sizes = np.array([len(h) for h in heads], np.int64)
+    heads = [h.ljust(HEAD, b"\0") for h in heads]
+    tails = [w[-TAIL:].rjust(TAIL, b"\0") for w in words]
+    number = lambda x: np.frombuffer(b"".join(b"\0" + y for y in x), ">u4").astype(np.int64)
+    return sizes << SIZE_AT | number(heads), number(tails)
+
+
+def joints(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The joint before each word of a text: tail of the word before (0 at the start) and its own head."""
+    before = np.concatenate((np.zeros(1, np.int64), tails[:-1]))
+    return (before << (8 * HEAD)) | heads
+
+
+def joint_grams(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the coded bytes of the joints' heads, and the place of the joint that each belongs to."""
+    size, joint = joint >> SIZE_AT, joint & ((1 << SIZE_AT) - 1)
+    before = (joint >> (8 * HEAD)) << 8 | 32  # the tail and the space
+    keys, places = [], []
+    for i in range(HEAD):
+        upto = (joint & ((1 << (8 * HEAD)) - 1)) >> (8 * (HEAD - 1 - i))
+        there = np.flatnonzero(size > i)
+        keys.append(((before << (8 * (i + 1))) | upto)[there])
+        places.append(there)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 class Level:
@@ -148,8 +185,9 @@ def _group(batch) -> np.ndarray:
 
 
 def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> DataFrame:
-    """Chunks of texts: rows (chunk, word, number, n) of their words with counts in training rows, and rows
-    (chunk, id, train, n_tokens, codes) of their texts; codes are the four byte planes of the word numbers."""
+    """Chunks of texts: rows (chunk, word, number, n) of their words and rows (chunk, joint, n) of their joints, with
+    counts in training rows, and rows (chunk, id, train, n_tokens, codes) of their texts; codes are the four byte planes
+    of the word numbers."""
 
     def run(stream):
         for batch in batches(stream, TEXT_BYTES, 1):
@@ -168,63 +206,96 @@ def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> Dat
             lengths = np.array([len(c) for c in coded])
             weights = np.repeat(trained, lengths)
             counts = np.bincount(place[every], weights, len(words)).astype(np.int64)
+            heads, tails = ends_of(words)
+            every = [joints(heads[place[c]], tails[place[c]]) for c in coded]
+            every, of = np.unique(np.concatenate(every), return_inverse=True)
+            often = np.bincount(of, weights, len(every)).astype(np.int64)
             planes = [np.ascontiguousarray(place[c].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in coded]
             n, m = len(words), batch.num_rows
-            nothing = lambda kind, k: pa.nulls(k, kind)
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, chunk)), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(counts), nothing(ids.type, n), nothing(pa.bool_(), n), nothing(pa.int64(), n), nothing(pa.binary(), n),
-                ],
-                names=NAMES,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, chunk)), nothing(pa.binary(), m), nothing(pa.int32(), m), nothing(pa.int64(), m),
-                    ids, pa.array(trained), pa.array(lengths), pa.array(planes, pa.binary()),
-                ],
-                names=NAMES,
-            )
+            ids, k = batch.column(0), len(every)
+            yield rows_of(n, ids.type, chunk, word=pa.array(words, pa.binary()), number=np.arange(n), n=counts)
+            yield rows_of(k, ids.type, chunk, joint=every, n=often)
+            yield rows_of(m, ids.type, chunk, id=ids, train=trained, n_tokens=lengths, codes=pa.array(planes, pa.binary()))
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column], docs[text_column].cast("string"), train.alias("train"))
     return rows.mapInArrow(
         run,
-        f"chunk bigint, word binary, number int, n bigint, id {kind}, train boolean, n_tokens bigint, codes binary",
+        f"chunk bigint, word binary, joint bigint, number bigint, n bigint, id {kind}, train boolean, n_tokens bigint, codes binary",
     )
 
 
-NAMES = ["chunk", "word", "number", "n", "id", "train", "n_tokens", "codes"]
+def rows_of(rows: int, id_kind: pa.DataType, chunk: int, **given) -> pa.RecordBatch:
+    """Rows of the table of chunks: the given columns, the others null."""
+    kinds = {
+        "chunk": pa.int64(), "word": pa.binary(), "joint": pa.int64(), "number": pa.int64(), "n": pa.int64(),
+        "id": id_kind, "train": pa.bool_(), "n_tokens": pa.int64(), "codes": pa.binary(),
+    }
+    given["chunk"] = np.full(rows, chunk)
+    columns = [pa.nulls(rows, kind) if name not in given else given[name] for name, kind in kinds.items()]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], list(kinds))
 
 
-def vocabulary_grams(vocabulary: DataFrame) -> DataFrame:
-    """Chunks of the vocabulary: rows (part, word, c) and rows (part, gram, n), each gram once a chunk."""
+def asking(table: DataFrame, item: str, kind: str, keys_of) -> DataFrame:
+    """Parts of a table (item, c): rows (part, item, c), and rows (part, gram, n) with each of their grams once.
 
-    def chunks(stream):
-        words, counts = [], []
+    ``keys_of`` gives the grams of a batch of items and the place of the item that each belongs to.
+    """
+
+    def parts(stream):
+        items, counts = [], []
         for batch in stream:
-            words += bytes_of(batch.column(0))
+            items.append(batch.column(0))
             counts.append(batch.column(1).to_numpy())
-            if len(words) >= CHUNK_WORDS:
-                yield words, np.concatenate(counts)
-                words, counts = [], []
-        if words:
-            yield words, np.concatenate(counts)
+            if sum(map(len, items)) >= PART_ROWS:
+                yield pa.concat_arrays(items), np.concatenate(counts)
+                items, counts = [], []
+        if items:
+            yield pa.concat_arrays(items), np.concatenate(counts)
 
     def run(stream):
-        for words, counts in chunks(stream):
+        names = ["part", item, "c", "gram", "n"]
+        none = lambda k: pa.nulls(k, pa.int64())
+        for items, counts in parts(stream):
             part = unique_id()
-            keys, starts = grams(words)
+            keys, places = keys_of(items)
             found, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, np.repeat(counts, np.diff(starts)), len(found)).astype(np.int64)
-            names = ["part", "word", "c", "gram", "n"]
-            a, b = len(words), len(found)
-            none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(a, part)), pa.array(words, pa.binary()), pa.array(counts), none(a), none(a)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b, part)), pa.nulls(b, pa.binary()), none(b), pa.array(found), pa.array(n)], names)
+            n = np.bincount(at, counts[places], len(found)).astype(np.int64)
+            a, b = len(items), len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(a, part)), items, pa.array(counts), none(a), none(a)], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(b, part)), pa.nulls(b, items.type), none(b), pa.array(found), pa.array(n)], names
+            )
+
+    return table.select(item, "c").mapInArrow(run, f"part bigint, {item} {kind}, c bigint, gram bigint, n bigint")
+
+
+def answered(parts: DataFrame, lengths: DataFrame, item: str, kind: str, keys_of) -> DataFrame:
+    """(item, c, length) from the parts of a table and the code lengths of all grams."""
+    asked = parts.where("gram IS NOT NULL").select(F.col("part").alias("asker"), "gram").join(lengths, "gram")
+
+    def run(rows, found):
+        items = rows.column(item).combine_chunks()
+        total = np.zeros(len(items))
+        if found.num_rows:
+            grams, values = found.column("gram").to_numpy(), found.column("length").to_numpy()
+            order = np.argsort(grams)
+            keys, places = keys_of(items)
+            total = np.bincount(places, values[order][np.searchsorted(grams[order], keys)], len(items))
+        return pa.table([items, rows.column("c"), pa.array(total)], names=[item, "c", "length"])
+
+    own = parts.where(F.col(item).isNotNull()).select("part", item, "c")
+    grouped = own.groupBy("part").cogroup(asked.groupBy("asker"))
+    return grouped.applyInArrow(run, f"{item} {kind}, c bigint, length double")
+
 
-    return vocabulary.select("word", "c").mapInArrow(run, "part bigint, word binary, c bigint, gram bigint, n bigint")
+def grams_of_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    keys, starts = word_grams(bytes_of(words))
+    return keys, np.repeat(np.arange(len(words)), np.diff(starts))
+
+
+def grams_of_joints(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return joint_grams(values.to_numpy())
 
 
 def gram_lengths(counted: DataFrame) -> DataFrame:
@@ -264,23 +335,6 @@ def gram_lengths(counted: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lengths, "gram bigint, length double")
 
 
-def word_lengths(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(word, c, length) from the vocabulary's chunks and its grams' code lengths."""
-    asked = chunks.where("gram IS NOT NULL").select(F.col("part").alias("asker"), "gram").join(lengths, "gram")
-
-    def run(words, found):
-        keys, values = found.column("gram").to_numpy(), found.column("length").to_numpy()
-        order = np.argsort(keys)
-        texts = bytes_of(words.column("word").combine_chunks())
-        own, starts = grams(texts)
-        each = values[order][np.searchsorted(keys[order], own)]
-        total = np.add.reduceat(each, starts[:-1])
-        return pa.table([pa.array(texts, pa.binary()), words.column("c"), pa.array(total)], names=["word", "c", "length"])
-
-    words = chunks.where("word IS NOT NULL").select("part", "word", "c")
-    return words.groupBy("part").cogroup(asked.groupBy("asker")).applyInArrow(run, "word binary, c bigint, length double")
-
-
 def ctw_scores(docs: DataFrame, train, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each text.
 
@@ -288,29 +342,41 @@ def ctw_scores(docs: DataFrame, train, id_column: str = "doc_id", text_column: s
     ``base_score`` that of its words under smoothed word frequencies; ``bits_per_byte`` the code length per coded byte.
     """
     texts = keep(coded_texts(docs, id_column, text_column, train), "coded")
-    words = texts.where("word IS NOT NULL")
-    vocabulary = words.groupBy("word").agg(F.sum("n").alias("c"))
-    chunks = keep(vocabulary_grams(vocabulary), "vocabulary")
-    totals = chunks.agg(F.sum("c").alias("n"), F.sum(F.expr("CAST(c > 0 AS BIGINT)")).alias("v")).first()
+    words, pairs = texts.where("word IS NOT NULL"), texts.where("joint IS NOT NULL")
+    count = F.sum("n").alias("c")
+    word_parts = keep(asking(words.groupBy("word").agg(count), "word", "binary", grams_of_words), "words")
+    joint_parts = keep(asking(pairs.groupBy("joint").agg(count), "joint", "bigint", grams_of_joints), "joints")
+    totals = word_parts.agg(F.sum("c").alias("n"), F.sum(F.expr("CAST(c > 0 AS BIGINT)")).alias("v")).first()
     n, v = totals.n or 0, totals.v or 0
-    counted = chunks.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
-    scored = word_lengths(chunks, gram_lengths(counted))
-    answers = words.select("chunk", "number", "word").join(scored, "word")
-    answers = answers.select(F.col("chunk").alias("asker"), "number", "c", "length", (F.octet_length("word") + 1).alias("size"))
+    counted = word_parts.select("gram", "n").union(joint_parts.select("gram", "n")).where("gram IS NOT NULL")
+    lengths = keep(gram_lengths(counted.groupBy("gram").agg(F.sum("n").alias("n"))), "lengths")
+    by_word = answered(word_parts, lengths, "word", "binary", grams_of_words)
+    by_joint = answered(joint_parts, lengths, "joint", "bigint", grams_of_joints)
+    of_words = words.select(F.col("chunk").alias("asker"), "number", "word").join(by_word, "word")
+    of_joints = pairs.select(F.col("chunk").alias("asker"), "joint").join(by_joint, "joint")
+    answers = of_words.select("asker", "number", "word", F.lit(None).cast("bigint").alias("joint"), "c", "length").union(
+        of_joints.select("asker", F.lit(None).cast("bigint"), F.lit(None).cast("binary"), "joint", "c", "length")
+    )
     plain = np.log10(n + 0.5 * (v + 1))
 
     def run(rows, found):
-        number = found.column("number").to_numpy()
-        table = np.zeros((4, len(number)))
-        c = found.column("c").to_numpy()
+        own = found.filter(pc.is_valid(found.column("number")))
+        pairs = found.filter(pc.is_valid(found.column("joint")))
+        number, texts = own.column("number").to_numpy(), bytes_of(own.column("word").combine_chunks())
+        table, ends = np.zeros((4, len(number))), np.zeros((2, len(number)), np.int64)
+        c = own.column("c").to_numpy()
         table[0, number] = c > 0
         table[1, number] = np.log10(c + 0.5) - plain
-        table[2, number] = found.column("length").to_numpy()
-        table[3, number] = found.column("size").to_numpy()
+        table[2, number] = own.column("length").to_numpy()
+        table[3, number] = [1 if w == END else len(w) + 1 for w in texts]
+        ends[:, number] = ends_of(texts)
+        order = np.argsort(pairs.column("joint").to_numpy())
+        keys, values = pairs.column("joint").to_numpy()[order], pairs.column("length").to_numpy()[order]
         sums = np.empty((rows.num_rows, 4))
         for i, code in enumerate(rows.column("codes").to_pylist()):
             ids = np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(4, -1).T).view("<u4").ravel()
             sums[i] = table[:, ids].sum(1)
+            sums[i, 2] += values[np.searchsorted(keys, joints(ends[0, ids], ends[1, ids]))].sum()
         known = sums[:, 0].round().astype(np.int64)
         trained = rows.column("train").to_numpy()
         bits = -sums[:, 2] / np.log10(2) / sums[:, 3]
