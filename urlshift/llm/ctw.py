@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
 DEPTH = 7  # context bytes; with the coded byte they fill a 64-bit key
-HEAD = TAIL = 3
+HEAD = TAIL = 2
 SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
 TEXT_BYTES = 32 << 20  # of texts in one chunk
@@ -82,7 +82,7 @@ def ends_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(h) for h in heads], np.int64)
     heads = [h.ljust(HEAD, b"\0") for h in heads]
     tails = [w[-TAIL:].rjust(TAIL, b"\0") for w in words]
-    number = lambda x: np.frombuffer(b"".join(b"\0" + y for y in x), ">u4").astype(np.int64)
+    number = lambda x: np.frombuffer(b"".join(y.rjust(4, b"\0") for y in x), ">u4").astype(np.int64)
     return sizes << SIZE_AT | number(heads), number(tails)
 
 

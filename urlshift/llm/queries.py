@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert
+from urlshift.llm import bpe, ctw, hilbert, lines, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,22 @@ def op7_bpe_codes(spark, sf_dir):
 @query
 def op9_ctw_scoring(spark, sf_dir):
     return ctw.ctw_scores(documents(spark, sf_dir), training_row("doc_id", 5, 1))
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    removed = F.array_join(F.transform("removed", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return lines.dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_lines",
+        removed.alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLE["op4_line_dedup"] = lines.SQL
+
+
+@query
+def op10_subspace_vectors(spark, sf_dir):
+    return vectors.near_vectors(documents(spark, sf_dir, "embeddings"), 0.9)
