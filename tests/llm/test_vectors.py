@@ -39,7 +39,7 @@ def brute(rows):
 @pytest.mark.parametrize("size", [1, 3, 20])
 def test_against_all_pairs(spark, monkeypatch, part, size):
     monkeypatch.setattr(vectors, "PART", part)
-    monkeypatch.setattr(vectors, "SLICE", 7)
+    monkeypatch.setattr(vectors, "CELLS", 700)
     some = np.random.default_rng(size)
     centres = some.normal(size=(6, size))
     rows = [(int(i) * 3, (centres[i % 6] + some.normal(size=size) * 0.28).tolist()) for i in range(90)]

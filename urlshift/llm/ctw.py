@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
 DEPTH = 7  # context bytes; with the coded byte they fill a 64-bit key
-HEAD = TAIL = 2
+HEAD, TAIL = 3, 2
 SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
 TEXT_BYTES = 32 << 20  # of texts in one chunk

@@ -27,7 +27,8 @@ from urlshift.llm.components import smallest_reachable
 
 BLOCK = 8
 PART = 20_000
-SLICE = 1_000
+CELLS = 1 << 20  # numbers in one matrix of distances
+ROWS = 2_000  # vectors routed together
 SLACK = 1e-9
 SEED = 20_240_601
 
@@ -118,7 +119,7 @@ def routed(classes: DataFrame, least: float, parts: dict[int, int]) -> DataFrame
     """A row for each cell part in which a class is at home or visits: (key, part, block, home, class, n, vector)."""
 
     def run(stream):
-        for batch in stream:
+        for batch in (b.slice(i, ROWS) for b in stream for i in range(0, b.num_rows, ROWS)):
             ids = batch.column(0).to_numpy()
             for size, at, matrix in grouped_by_size(batch):
                 blocks = Blocks(size, least)
@@ -186,8 +187,9 @@ def links_in_cell(table: pa.Table, least: float) -> pa.Table:
     here = blocks.part(turned, block)
     square = np.einsum("ij,ij->i", here, here)
     firsts, seconds = [], []
-    for start in range(0, n_home, SLICE):
-        stop = min(start + SLICE, n_home)
+    step = max(1, CELLS // max(1, len(ids)))
+    for start in range(0, n_home, step):
+        stop = min(start + step, n_home)
         gap = square[start:stop, None] + square[None, start:] - 2 * here[start:stop] @ here[start:].T
         a, b = np.nonzero(gap <= blocks.reach[block] + SLACK)
         a, b = a + start, b + start
