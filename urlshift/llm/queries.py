@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, lines, vectors
+from urlshift.llm import bpe, ctw, hilbert, lines, quality, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,18 @@ ORACLE["op4_line_dedup"] = lines.SQL
 @query
 def op10_subspace_vectors(spark, sf_dir):
     return vectors.near_vectors(documents(spark, sf_dir, "embeddings"), 0.9)
+
+
+def scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        (~training_row("doc_id", 4, 2)).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op2_byte_cnn_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return scored(quality.quality_scores(docs, documents(spark, sf_dir, "labels")), 0.7)
