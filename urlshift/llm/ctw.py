@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
-DEPTH = 7  # context bytes; with the coded byte they fill a 64-bit key
+DEPTH = 6
 HEAD, TAIL = 3, 2
 SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
@@ -92,6 +92,25 @@ def joints(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return (before << (8 * HEAD)) | heads
 
 
+def joint_counts(heads: np.ndarray, tails: np.ndarray, coded: list[np.ndarray], learn: np.ndarray):
+    """The distinct joints of some texts, and how often each occurs in the texts to learn from."""
+    heads, head = np.unique(heads, return_inverse=True)
+    tails, tail = np.unique(np.append(tails, 0), return_inverse=True)
+    none, tail = tail[-1].astype(np.int32), tail[:-1].astype(np.int32)
+    head = head.astype(np.int32)
+    before = np.concatenate([x for c in coded for x in (none[None], tail[c[:-1]])])
+    after = head[np.concatenate(coded)]
+    size = len(heads) * len(tails)
+    if size <= 1 << 22:  # count in a table of all pairs
+        pair = before * np.int32(len(heads)) + after
+        there = np.flatnonzero(np.bincount(pair, minlength=size))
+        often = np.bincount(pair[learn], minlength=size)[there]
+    else:
+        there, of = np.unique(before.astype(np.int64) * len(heads) + after, return_inverse=True)
+        often = np.bincount(of[learn], minlength=len(there))
+    return (tails[there // len(heads)] << (8 * HEAD)) | heads[there % len(heads)], often
+
+
 def joint_grams(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the coded bytes of the joints' heads, and the place of the joint that each belongs to."""
     size, joint = joint >> SIZE_AT, joint & ((1 << SIZE_AT) - 1)
@@ -161,6 +180,10 @@ class Trees:
         return np.log10(np.where(self.bits, one, 1 - one)).sum(1)
 
 
+def bytes_of_one(text) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def _grouped(stream: Iterator[pa.RecordBatch], key) -> Iterator[pa.Table]:
     """Rows in whole groups of ``key`` (rows come sorted by it), several small groups at a time."""
     held: list[pa.RecordBatch] = []
@@ -193,28 +216,30 @@ def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> Dat
         for batch in batches(stream, TEXT_BYTES, 1):
             chunk, numbering = unique_id(), Numbering()
             coded = []
-            for text in bytes_of(batch.column(1)):
-                words = text.lower().split()  # ASCII letters only; splits at 0x20 and 0x09-0x0D
+            for text in batch.column(1):
+                words = bytes_of_one(text).lower().split()  # ASCII letters only; splits at 0x20 and 0x09-0x0D
                 words.append(END)
                 coded.append(np.fromiter(map(numbering.__getitem__, words), np.int32, len(words)))
+            lengths = np.array([len(c) for c in coded])
+            trained = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            learn = np.repeat(trained, lengths)
             every = np.concatenate(coded)
-            place = np.argsort(np.argsort(-np.bincount(every, minlength=len(numbering)), kind="stable"), kind="stable")
+            # Frequent words get small numbers, whose byte planes are written small.
+            place = np.empty(len(numbering), np.int32)
+            place[np.argsort(-np.bincount(every, minlength=len(numbering)), kind="stable")] = np.arange(len(numbering))
             words = [b""] * len(numbering)
             for word, at in zip(numbering, place.tolist(), strict=True):
                 words[at] = word
-            trained = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            lengths = np.array([len(c) for c in coded])
-            weights = np.repeat(trained, lengths)
-            counts = np.bincount(place[every], weights, len(words)).astype(np.int64)
-            heads, tails = ends_of(words)
-            every = [joints(heads[place[c]], tails[place[c]]) for c in coded]
-            every, of = np.unique(np.concatenate(every), return_inverse=True)
-            often = np.bincount(of, weights, len(every)).astype(np.int64)
-            planes = [np.ascontiguousarray(place[c].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in coded]
+            every = place[every]
+            cuts = offsets_of(lengths).tolist()
+            coded = [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            counts = np.bincount(every[learn], minlength=len(words))
+            pairs, often = joint_counts(*ends_of(words), coded, learn)
+            planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in coded]
             n, m = len(words), batch.num_rows
-            ids, k = batch.column(0), len(every)
+            ids, k = batch.column(0), len(pairs)
             yield rows_of(n, ids.type, chunk, word=pa.array(words, pa.binary()), number=np.arange(n), n=counts)
-            yield rows_of(k, ids.type, chunk, joint=every, n=often)
+            yield rows_of(k, ids.type, chunk, joint=pairs, n=often)
             yield rows_of(m, ids.type, chunk, id=ids, train=trained, n_tokens=lengths, codes=pa.array(planes, pa.binary()))
 
     kind = docs.schema[id_column].dataType.simpleString()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, lines, quality, vectors
+from urlshift.llm import bpe, ctw, hilbert, lines, quality, toxicity, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def scored(scores: DataFrame, least: float) -> DataFrame:
 def op2_byte_cnn_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return scored(quality.quality_scores(docs, documents(spark, sf_dir, "labels")), 0.7)
+
+
+@query
+def op3_gru_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return scored(toxicity.toxicity_scores(docs, documents(spark, sf_dir, "labels")), 0.3)
