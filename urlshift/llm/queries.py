@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, lines, quality, toxicity, vectors
+from urlshift.llm import bpe, ctw, hilbert, lines, quality, shingles, toxicity, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op2_byte_cnn_quality(spark, sf_dir):
 def op3_gru_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return scored(toxicity.toxicity_scores(docs, documents(spark, sf_dir, "labels")), 0.3)
+
+
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return shingles.jaccard_components(documents(spark, sf_dir), n=4, least=85)
