@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, lines, quality, shingles, toxicity, vectors
+from urlshift.llm import bpe, ctw, hilbert, lines, quality, shingles, suffixes, toxicity, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,14 @@ def op3_gru_toxicity(spark, sf_dir):
 @query
 def op1_ngram_jaccard(spark, sf_dir):
     return shingles.jaccard_components(documents(spark, sf_dir), n=4, least=85)
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup_substrings(documents(spark, sf_dir), 400).select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        (F.octet_length("text") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
