@@ -8,8 +8,8 @@ documents of a batch hold put last, so that common passages bring few classes to
 Linking goes in rounds over the lists of classes that share a prefix element. In a round the smallest class of each list
 is its pivot (in the next round the largest), and every other class asks the pivot with which it shares most elements
 whether they are linked. What is linked becomes one component; a list whose classes all lie in one component is done.
-After ``PIVOT_ROUNDS`` rounds all pairs of classes of a list that still lie in different components, and whose sizes allow
-a link, are asked. So a group of m near copies costs about m questions a round, not m * m, and no link between different
+After ``PIVOT_ROUNDS`` rounds all pairs of classes that still lie in different components, and whose sizes and number of
+shared prefix elements allow a link, are asked. So a group of m near copies costs about m questions a round, not m * m, and no link between different
 components is lost.
 
 Questions of one class are answered together by DivideSkip: the elements of the asking set that occur in most of the
@@ -234,9 +234,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
                                        F.col("n").alias("pivot_n"))
             pairs = open_lists.join(others, "element").where("class < pivot")
         allowed = f"part_of <> pivot_part AND 100 * least(n, pivot_n) >= {least} * greatest(n, pivot_n)"
-        pairs = pairs.where(allowed).groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = pairs.where(allowed).groupBy("class", "pivot").agg(
+            F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n")
+        )
         if number < PIVOT_ROUNDS:  # each class asks the pivot with which it shares most
             pairs = pairs.groupBy("class").agg(F.max_by("pivot", F.struct("shared", F.expr("-pivot"))).alias("pivot"))
+        else:  # both prefixes hold what is shared but for the rest of one of the sets
+            needed = f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
+            pairs = pairs.where(f"shared >= {needed} - (({least} * greatest(n, pivot_n) + 99) div 100 - 1)")
         found = answers(pairs.select("class", "pivot"), texts, n, least)
         links = keep(found if links is None else found.union(links), "links")
         components = keep(smallest_reachable(links), "components")
