@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, lines, quality, shingles, suffixes, toxicity, vectors
+from urlshift.llm import bpe, ctw, hilbert, latent, lines, quality, shingles, suffixes, toxicity, vectors
 from urlshift.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op6_suffix_dedup(spark, sf_dir):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op5_latent_decontamination(spark, sf_dir):
+    return latent.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
