@@ -217,7 +217,7 @@ def anchored(rows: DataFrame, size: int) -> DataFrame:
 
 def with_segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text, list of segments) of each text that has some."""
-    each = wanted.groupBy("text_hash").agg(F.collect_list(F.struct("anchor", "place", "low", "high")).alias("segments"))
+    each = wanted.groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "place", "low", "high")).alias("segments"))
     return texts.join(each, "text_hash").select("text_hash", "text", "segments")
 
 
@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     whole = copies.where("n > 1").select("text_hash", F.lit(0).alias("low"), (F.col("bytes") - size).alias("high"))
     found = keep(anchored(rows, size), "anchors")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = keep(found.join(several, "anchor").distinct(), "anchors")
+    found = keep(found.join(several, "anchor"), "anchors")
     hashes = found.select("text_hash").distinct()
     texts = with_bitmap(rows, hashes).where("maybe").select("text_hash", "text")
     texts = texts.join(hashes, "text_hash", "left_semi").dropDuplicates(["text_hash"])

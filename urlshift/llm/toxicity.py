@@ -6,7 +6,7 @@ learned rows of its character trigrams. Texts are cut into windows of ``WINDOW``
 is as toxic as its most toxic window. The network is fitted on the driver to a bounded sample of labelled rows (see
 ``labelled_sample``); each step learns from the window that decides a text. Its weights have a fixed size.
 
-Cases: null and empty texts, and texts of punctuation only, are one window of one empty word; without labelled rows of
+Cases: null and empty texts, and texts of punctuation only, have no words and score 0; without labelled rows of
 both classes every score is the share of label 1 (a half without labels); null ids are scored; repeated rows get equal
 scores.
 """
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from urlshift.llm.common import batches, by_value, bytes_of, offsets_of
 from urlshift.llm.labelled import Adam, Sample, drawn, labelled_sample, sigmoid
@@ -237,17 +238,24 @@ def fit(sample: Sample, seed: int = 5) -> dict[str, np.ndarray]:
     return weights | {"offset": np.float32(sample.odds - np.log(ones / zeros))}
 
 
-def scores(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, score) of every row: the probability of label 1."""
+def with_scores(docs: DataFrame, weights: dict[str, np.ndarray], name: str = "score") -> DataFrame:
+    """The rows with one more column: the probability of label 1 for their ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # (WORDS + GRAMS) * INPUT numbers, whatever the input
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(stream):
-        for batch in batches(stream, 8 << 20, 1):
-            score = sigmoid(forward(shared.value, bytes_of(batch.column(1))).astype(np.float64) + shared.value["offset"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+        for batch in batches(stream, 8 << 20, at):
+            texts = bytes_of(batch.column(at))
+            score = sigmoid(forward(shared.value, texts).astype(np.float64) + shared.value["offset"])
+            score[[not text.translate(SEPARATORS).strip() for text in texts]] = 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"], docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+
+def scores(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, score) of every row."""
+    return with_scores(docs.select(docs["doc_id"], docs["text"].cast("string").alias("text")), weights).drop("text")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
