@@ -99,7 +99,6 @@ def test_network(spark, tmp_path):
     assert cells(out.tables["site"], "domain") == [("example.test",)]
     assert cells(out.reports["links"], "role", "url") == [
         ("Main", "https://example.test"), ("Subsite", "https://example.test/news"), ("Subsite", "https://example.test/shop")]
-    assert cells(out.reports["status"], "blog_id", "step1") == [(1, "complete"), (2, "complete"), (3, "complete")]
     own = migrate(spark, Job("example.com", "example.test", all_tables=False), dump=text_dump(tmp_path, NETWORK, True), mappings=mappings, facts=facts)
     assert cells(own.tables["posts"], "blog_id", "post_content") == [
         (1, "https://example.test/a https://example.test/shop/b https://blog.example.com"),

@@ -96,3 +96,13 @@ def test_slices_keep_order(spark):
     slices = list(plan_slices(plan, limit=3))
     assert [[s.seq for s in part] for part in slices] == [[1, 2, 3], [4, 5, 6], [7]]
     assert list(plan_slices([Step(1, 1, 1, "a", "b")], limit=3)) == [[Step(1, 1, 1, "a", "b")]]
+
+
+def test_slices_take_any_numbers(spark):
+    numbers = [-5, 0, 1, 1, 10**12, 7]
+    plan = spark.createDataFrame(
+        [(n, i, 1, f"//{i}", "//n") for i, n in enumerate(numbers)], "seq long, blog_id long, pass int, search string, replace string"
+    )
+    for limit in (1, 4, 100):
+        assert [s.seq for part in plan_slices(plan, limit=limit) for s in part] == sorted(numbers)
+    assert list(plan_slices(plan.limit(0))) == [[]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from urlshift import fixed_values as fixed
 from urlshift.functions import sanitize_domain
 from urlshift.operators import detection, mappings as maps, network, proxy, revisions, settings as conf
 from urlshift.operators.links import site_links
-from urlshift.operators.replace import dry_run_report, plan_slices, site_run_status
+from urlshift.operators.replace import dry_run_report, plan_slices
 from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.session import keep
@@ -164,8 +165,8 @@ def migrate(
     reports["warnings"] = plan_warnings(plan)
     reports["clashes"] = pattern_clashes(plan)
 
-    # An ordinary plan comes to the driver once for all tables.
-    slices = list(plan_slices(plan))
+    # An ordinary plan comes to the driver once for all tables; of a larger one no more than two slices do.
+    slices = list(islice(plan_slices(plan), 2))
     steps = slices[0] if len(slices) == 1 else plan
     searched = [name for name in tables if name not in ("blogs", "site")]
     if job.dry_run:
@@ -176,7 +177,6 @@ def migrate(
                 tables[name] = apply_plan_serialized(tables[name], steps)
             else:
                 tables[name] = apply_plan_by_site_serialized(tables[name], plan)
-        reports["status"] = site_run_status(plan.select("blog_id", "pass", F.lit(True).alias("ok")))
         if "options" in tables:
             options = proxy.purge_transients(tables["options"], list(job.transient_patterns))
             if job.setup_stage_proxy:

@@ -155,8 +155,8 @@ def in_processing_order(mappings: DataFrame, main_id: int) -> DataFrame:
 
 
 def by_blog_id(df: DataFrame, column: str = "blog_id") -> DataFrame:
-    """Numeric order of ids that may be stored as text."""
-    return df.orderBy(F.col(column).cast("bigint"))
+    """Numeric order of ids that may be stored as text; texts that are no such number come first."""
+    return df.orderBy(F.col(column).try_cast("bigint"))
 
 
 def site_progress(sites: DataFrame) -> DataFrame:

@@ -93,7 +93,9 @@ def upsert_options(options: DataFrame, changes: DataFrame) -> DataFrame:
     """Options with the changed values set or added, keyed by site and name."""
     keys = ["blog_id", "option_name"]
     others = [c for c in options.columns if c not in (*keys, "option_value")]
-    latest = changes.select(*keys, "option_value").dropDuplicates(keys)
+    # Of several changes of one option the last line counts, then the greatest value.
+    line = F.col("line_no") if "line_no" in changes.columns else F.lit(0)
+    latest = changes.groupBy(*keys).agg(F.max_by("option_value", F.struct(line, "option_value")).alias("option_value"))
     kept = options.join(latest.select(*keys), keys, "left_anti").select(*options.columns)
     if others:
         # Other columns of a replaced row stay with it.

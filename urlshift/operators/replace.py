@@ -65,18 +65,20 @@ def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> It
     """The plan in consecutive slices of at most ``limit`` steps; an ordinary plan is one slice."""
     if not isinstance(plan, DataFrame):
         steps = _checked(plan)
-        yield from (steps[i : i + limit] for i in range(0, len(steps), limit))
+        yield from (steps[i : i + limit] for i in range(0, max(1, len(steps)), limit))
         return
+    # In order, whatever the numbers are; the driver holds one slice at a time.
     columns = plan.select("seq", "blog_id", "pass", "search", "replace")
-    rows = columns.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        yield _checked([Step(*row) for row in rows])
-        return
-    columns = keep(columns, "plan")
-    last = columns.agg(F.max("seq")).first()[0]
-    for low in range(0, last, limit):
-        rows = columns.where(F.col("seq").between(low + 1, low + limit)).collect()
-        yield _checked([Step(*row) for row in rows])
+    rows = columns.orderBy("seq", "blog_id", "pass", "search", "replace").toLocalIterator()
+    steps: list[Step] = []
+    some = False
+    for row in rows:
+        steps.append(Step(*row))
+        if len(steps) == limit:
+            yield _checked(steps)
+            steps, some = [], True
+    if steps or not some:
+        yield _checked(steps)
 
 
 def may_match(text: Column, steps: Sequence[Step]) -> Column:
@@ -173,17 +175,8 @@ def with_site_steps(df: DataFrame, plan: DataFrame) -> DataFrame:
     A site has a handful of steps, so the plan folds to one short array per site. A big site is only a
     skewed left side of an outer join, which adaptive execution splits.
     """
-    rows = plan.select("blog_id", "seq", "search", F.col("replace").alias("new")).limit(PLAN_LIMIT + 1).collect()
-    if len(rows) <= PLAN_LIMIT:
-        own: dict[int, list] = {}
-        for row in sorted(set(rows), key=lambda row: row.seq):
-            own.setdefault(row.blog_id, []).append((row.seq, row.search, row.new))
-        schema = "blog_id bigint, __steps array<struct<seq: bigint, search: string, new: string>>"
-        side = F.broadcast(df.sparkSession.createDataFrame(list(own.items()), schema))
-    else:
-        side = plan.dropDuplicates(["blog_id", "seq"]).groupBy("blog_id").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "search", F.col("replace").alias("new")))).alias("__steps")
-        )
+    step = F.struct("seq", "search", F.col("replace").alias("new"))
+    side = plan.groupBy("blog_id").agg(F.array_sort(F.collect_set(step)).alias("__steps"))
     return df.join(side, "blog_id", "left")
 
 
@@ -252,16 +245,15 @@ def pattern_hits(
 
 def dry_run_report(tables: dict[str, DataFrame], plan: DataFrame | Sequence[Step]) -> DataFrame:
     """``(table_name, column_name, seq, rows_changed, replacements)``, every step counted on unmodified data."""
-    steps = [list(part) for part in plan_slices(plan)]
-    flat = [step for part in steps for step in part]
     counted = [
-        pattern_hits(df, flat, key=[], columns=text_columns(df))
+        pattern_hits(df, steps, key=[], columns=text_columns(df))
         .groupBy("column_name", "seq")
         .agg(
             F.count(F.lit(1)).alias("rows_changed"),
             F.sum("replacements").cast("bigint").alias("replacements"),
         )
         .select(F.lit(name).alias("table_name"), "column_name", "seq", "rows_changed", "replacements")
+        for steps in plan_slices(plan)
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, counted)

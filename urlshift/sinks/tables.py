@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 
 def write_tables(
-    tables: dict[str, DataFrame], path: str, dry_run: bool = False, rebalance: bool = False
+    tables: dict[str, DataFrame],
+    path: str,
+    dry_run: bool = False,
+    rebalance: bool = True,
+    flat: tuple[str, ...] = ("blogs", "site"),
 ) -> dict[str, str]:
     """Write each table below a new path; a dry run writes nothing.
 
     Existing data is never overwritten: a run that fails half-way leaves the source as it was.
-    Tables with a ``blog_id`` are laid out by site. ``rebalance`` shuffles rows of a site
-    together first and lets adaptive execution split the sites that are too big for one file.
+    Tables with a ``blog_id`` are laid out by site, but for the ``flat`` ones (the catalogue has one row a site).
+    ``rebalance`` shuffles rows of a site together first, so that tasks do not each write a file for every site, and
+    lets adaptive execution split the sites that are too big for one file.
     """
     if dry_run:
         return {}
     written = {}
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
-        by_site = "blog_id" in df.columns and len(df.columns) > 1
+        by_site = "blog_id" in df.columns and len(df.columns) > 1 and name not in flat
         if by_site and rebalance:
             df = df.hint("rebalance", F.col("blog_id"))
         writer = df.write.mode("errorifexists")

@@ -30,7 +30,8 @@ def read_site_list(
     return (
         raw.select(*clean)
         .where(F.col(first).rlike(r"\A[0-9]+\z"))
-        .select(F.col(first).cast("bigint").alias(first), *(F.coalesce(o, F.lit("")).alias(o) for o in others))
+        .select(F.col(first).try_cast("bigint").alias(first), *(F.coalesce(o, F.lit("")).alias(o) for o in others))
+        .where(F.col(first).isNotNull())
     )
 
 

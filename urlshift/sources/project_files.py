@@ -51,12 +51,12 @@ def site_mappings(lines: DataFrame) -> DataFrame:
         .select("project", F.col("line_no").cast("int").alias("line_no"), line.alias("mapping"))
         .select(
             "project",
-            part[0].cast("bigint").alias("blog_id"),
+            part[0].try_cast("bigint").alias("blog_id"),
             F.coalesce(F.get(part, 1), F.lit("")).alias("old_domain"),
             F.coalesce(F.get(part, 2), F.lit("")).alias("new_domain"),
             "line_no",
         )
-        .where(~F.lower("old_domain").isin("http", "https"))
+        .where(F.col("blog_id").isNotNull() & ~F.lower("old_domain").isin("http", "https"))
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlshift.operators.replace import PLAN_LIMIT, Step, plan_slices, text_columns
+from urlshift.operators.replace import Step, plan_slices, text_columns
 from urlshift.operators.serialized import replace_serialized_column
 
 
@@ -20,8 +20,6 @@ def rewrite_stream(
 ) -> DataFrame:
     """The stream with the plan applied to its text columns."""
     columns = text_columns(stream) if columns is None else list(columns)
-    slices = list(plan_slices(plan))
-    if len(slices) > 1:
-        raise ValueError(f"a stream takes plans of at most {PLAN_LIMIT} steps; rewrite stored tables instead")
-    steps = slices[0] if slices else []
-    return stream.withColumns({c: replace_serialized_column(F.col(c), steps) for c in columns})
+    for steps in plan_slices(plan):
+        stream = stream.withColumns({c: replace_serialized_column(F.col(c), steps) for c in columns})
+    return stream
