@@ -18,6 +18,7 @@ remainder is that of an empty key); repeated rows are scored each; without train
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
-DEPTH = 6
+DEPTH = 6  # context bytes; up to 7 fit into a 64-bit key with the coded byte
 HEAD, TAIL = 3, 2
 SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
@@ -210,7 +211,7 @@ def _group(batch) -> np.ndarray:
 def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> DataFrame:
     """Chunks of texts: rows (chunk, word, number, n) of their words and rows (chunk, joint, n) of their joints, with
     counts in training rows, and rows (chunk, id, train, n_tokens, codes) of their texts; codes are the four byte planes
-    of the word numbers."""
+    of the word numbers. One more row a chunk (train is null) has its words in order of their numbers."""
 
     def run(stream):
         for batch in batches(stream, TEXT_BYTES, 1):
@@ -241,6 +242,7 @@ def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> Dat
             yield rows_of(n, ids.type, chunk, word=pa.array(words, pa.binary()), number=np.arange(n), n=counts)
             yield rows_of(k, ids.type, chunk, joint=pairs, n=often)
             yield rows_of(m, ids.type, chunk, id=ids, train=trained, n_tokens=lengths, codes=pa.array(planes, pa.binary()))
+            yield rows_of(1, ids.type, chunk, codes=pa.array([zlib.compress(b" ".join(words), 1)], pa.binary()))
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column], docs[text_column].cast("string"), train.alias("train"))
@@ -377,24 +379,29 @@ def ctw_scores(docs: DataFrame, train, id_column: str = "doc_id", text_column: s
     lengths = keep(gram_lengths(counted.groupBy("gram").agg(F.sum("n").alias("n"))), "lengths")
     by_word = answered(word_parts, lengths, "word", "binary", grams_of_words)
     by_joint = answered(joint_parts, lengths, "joint", "bigint", grams_of_joints)
-    of_words = words.select(F.col("chunk").alias("asker"), "number", "word").join(by_word, "word")
+    # Words find their answers by a hash, which is shorter than they are.
+    named = by_word.select(F.xxhash64("word").alias("name"), "c", "length")
+    of_words = words.select(F.col("chunk").alias("asker"), "number", F.xxhash64("word").alias("name")).join(named, "name")
     of_joints = pairs.select(F.col("chunk").alias("asker"), "joint").join(by_joint, "joint")
-    answers = of_words.select("asker", "number", "word", F.lit(None).cast("bigint").alias("joint"), "c", "length").union(
-        of_joints.select("asker", F.lit(None).cast("bigint"), F.lit(None).cast("binary"), "joint", "c", "length")
+    answers = of_words.select("asker", "number", F.lit(None).cast("bigint").alias("joint"), "c", "length").union(
+        of_joints.select("asker", F.lit(None).cast("bigint"), "joint", "c", "length")
     )
     plain = np.log10(n + 0.5 * (v + 1))
 
     def run(rows, found):
         own = found.filter(pc.is_valid(found.column("number")))
         pairs = found.filter(pc.is_valid(found.column("joint")))
-        number, texts = own.column("number").to_numpy(), bytes_of(own.column("word").combine_chunks())
+        number = own.column("number").to_numpy()
+        is_text = pc.is_valid(rows.column("train"))
+        texts = zlib.decompress(rows.filter(pc.invert(is_text)).column("codes")[0].as_py()).split(b" ")
+        rows = rows.filter(is_text)
         table, ends = np.zeros((4, len(number))), np.zeros((2, len(number)), np.int64)
         c = own.column("c").to_numpy()
         table[0, number] = c > 0
         table[1, number] = np.log10(c + 0.5) - plain
         table[2, number] = own.column("length").to_numpy()
-        table[3, number] = [1 if w == END else len(w) + 1 for w in texts]
-        ends[:, number] = ends_of(texts)
+        table[3] = [1 if w == END else len(w) + 1 for w in texts]
+        ends[:] = ends_of(texts)
         order = np.argsort(pairs.column("joint").to_numpy())
         keys, values = pairs.column("joint").to_numpy()[order], pairs.column("length").to_numpy()[order]
         sums = np.empty((rows.num_rows, 4))
