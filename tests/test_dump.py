@@ -105,3 +105,33 @@ def test_schemas(spark, tmp_path):
     schemas = dump_schemas(dump_statements(spark, dump(tmp_path, "")))
     assert {k: v.simpleString() for k, v in schemas.items()} == {
         "posts": "struct<ID:bigint,post_content:string,rank:double>"}
+
+
+def test_sites_with_other_columns(spark, tmp_path):
+    text = """CREATE TABLE `wp_ext` (
+  `id` bigint(20) NOT NULL,
+  `a` varchar(9),
+  `b` varchar(9)
+);
+CREATE TABLE `wp_2_ext` (
+  `id` bigint(20) NOT NULL,
+  `b` varchar(9),
+  `a` varchar(9)
+);
+CREATE TABLE `wp_3_ext` (
+  `id` bigint(20) NOT NULL,
+  `a` varchar(9),
+  `b` varchar(9),
+  `c` int(11)
+);
+INSERT INTO `wp_ext` VALUES (1,'a1','b1');
+INSERT INTO `wp_2_ext` VALUES (2,'b2','a2');
+INSERT INTO `wp_3_ext` VALUES (3,'a3','b3',7);
+"""
+    path = tmp_path / "dump.sql"
+    path.write_text(text)
+    for staged in (False, True):
+        table = read_sql_dump(spark, str(path), staged=staged)["ext"]
+        assert sorted(tuple(r) for r in table.select("blog_id", "id", "a", "b", "c").collect()) == [
+            (1, 1, "a1", "b1", None), (2, 2, "a2", "b2", None), (3, 3, "a3", "b3", 7)]
+    assert rejected_rows(spark, str(path)).collect() == []

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from urlshift import fixed_values as fixed
 from urlshift.session import scratch_path
-from urlshift.sources.catalog import split_table_names
 
 STATEMENT_END = ";\n"
 
@@ -117,27 +116,42 @@ def dump_rows(statements: DataFrame) -> DataFrame:
     return cut.select("table_name", "columns", "whole", F.explode_outer("tuples").alias("values"))
 
 
-def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
-    """Column names and types by base table, from the table definitions of the dump.
-
-    Definitions are grouped by base name first: the answer is as small as one site's set of tables.
-    """
+def _definitions(statements: DataFrame) -> DataFrame:
+    """``(table_name, names, types)`` of the table definitions, one per physical table."""
     created = statements.where(F.col("stmt").rlike(_CREATE)).select(
         _bare_name(F.regexp_extract("stmt", _CREATE, 1)).alias("table_name"),
         F.regexp_extract_all("stmt", F.lit(_COLUMN), 1).alias("names"),
         F.regexp_extract_all("stmt", F.lit(_COLUMN), 2).alias("types"),
     )
-    named = split_table_names(created.select("table_name"), prefix).select("table_name", "base_name").distinct()
+    return created.groupBy("table_name").agg(F.min(F.struct("names", "types")).alias("d")).select("table_name", "d.*")
+
+
+def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
+    """Column names and types by base table, from the table definitions of the dump.
+
+    A base table has the columns of all its sites, in the order of their places; where sites differ in a type, the
+    wider one counts. The answer is as small as one site's set of tables.
+    """
+    kind = F.lower("c.types")
+    rank = F.when(kind.isin(*_WHOLE), 0).when(kind.isin(*_REAL), 1).otherwise(2)
     rows = (
-        created.join(named, "table_name").groupBy("base_name")
-        .agg(F.min(F.struct("names", "types")).alias("d")).select("base_name", "d.*").collect()
+        _with_base(_definitions(statements), prefix)
+        .select("base_name", F.posexplode(F.arrays_zip("names", "types")).alias("place", "c"))
+        .groupBy("base_name", F.col("c.names").alias("name"))
+        .agg(F.min("place").alias("place"), F.max_by("c.types", rank).alias("type"))
+        .collect()
     )
-    return {
-        row.base_name: T.StructType(
-            [T.StructField(name, _spark_type(kind)) for name, kind in zip(row.names, row.types, strict=True)]
-        )
-        for row in rows
-    }
+    schemas: dict[str, T.StructType] = {}
+    for row in sorted(rows, key=lambda r: (r.base_name, r.place, r.name)):
+        schemas.setdefault(row.base_name, T.StructType()).add(row.name, _spark_type(row.type))
+    return schemas
+
+
+def _rows_by_name(statements: DataFrame) -> DataFrame:
+    """The rows of a dump; those of statements without column names get the names of their own table's definition."""
+    own = _definitions(statements).select("table_name", "names")
+    rows = dump_rows(statements).join(own, "table_name", "left")
+    return rows.select("table_name", F.coalesce("columns", "names").alias("columns"), "whole", "values")
 
 
 def _spark_type(kind: str) -> T.DataType:
@@ -202,13 +216,14 @@ def read_sql_dump(
 ) -> dict[str, DataFrame]:
     """One table per base name, with the rows of all sites and their ``blog_id``.
 
-    Schemas come from the dump's own table definitions unless given. ``staged`` parses the
+    Schemas come from the dump's own table definitions unless given; the columns of different sites are then matched by
+    name, and a column that a site does not have is NULL there. ``staged`` parses the
     text once into the shared folder, laid out by table; without it each table is its own scan of
     the text, which is cheaper only where few tables are used.
     """
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements), prefix)
+    rows = _with_base(dump_rows(statements) if schemas else _rows_by_name(statements), prefix)
     if staged:
         path = scratch_path(spark, "dump")
         rows.write.mode("errorifexists").partitionBy("base_name").parquet(path)
@@ -226,7 +241,7 @@ def rejected_rows(
     """``(table_name, reason, values)`` of every tuple ``read_sql_dump`` leaves out."""
     statements = dump_statements(spark, paths, statement_end)
     known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements), prefix)
+    rows = _with_base(dump_rows(statements) if schemas else _rows_by_name(statements), prefix)
     reason = F.lit("table without a definition")
     for base, schema in known.items():
         reason = F.when(F.col("base_name") == base, _misfit(schema)).otherwise(reason)
