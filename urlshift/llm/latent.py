@@ -38,6 +38,7 @@ LEAST_WORDS = 6
 BLOCK = 500  # items searched together
 TEXT_BYTES = 4 << 20
 KNOWN_WORDS = 300_000
+CACHED = 1 << 11  # rows gathered at a time
 MARKS = b""".,;:!?"()[]{}<>|*#&%$~=+_/\\-"""
 SEPARATORS = bytes.maketrans(MARKS, b" " * len(MARKS))
 
@@ -117,8 +118,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 def window_sums(table: np.ndarray, term: np.ndarray, begin: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
     """Sums of the terms' rows over each window of 2 and of 4 units that begins at a unit; cut at the text's end."""
     single = np.zeros((len(begin), table.shape[1]), np.float32)
-    for a in range(0, len(begin), 1 << 13):  # few rows of the table at a time
-        b = min(a + (1 << 13), len(begin))
+    for a in range(0, len(begin), 128):  # as few rows of the table at a time as stay in the cache
+        b = min(a + 128, len(begin))
         stop = begin[b] if b < len(begin) else len(term)
         single[a:b] = np.add.reduceat(table[term[begin[a] : stop]], begin[a:b] - begin[a], axis=0)
     two = single.copy()
@@ -148,13 +149,13 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
             square = np.add.reduceat(weight[term] ** 2, begin)
             sketch /= np.sqrt(np.maximum(square + np.append(square[1:], 0) + 1e-9, 1e-9))[:, None]
             # Back: each term of a unit gets the sketch of the passage that begins there.
-            order = np.argsort(term, kind="stable")
+            order = np.argsort(term.astype(np.uint16), kind="stable")
             unit = np.repeat(np.arange(len(begin)), sizes)[order]
             ordered = term[order]
-            for a in range(0, len(ordered), 1 << 17):
-                part = ordered[a : a + (1 << 17)]
+            for a in range(0, len(ordered), CACHED):
+                part = ordered[a : a + CACHED]
                 cut = np.flatnonzero(np.concatenate(([True], np.diff(part) != 0)))
-                sums = np.add.reduceat(sketch[unit[a : a + (1 << 17)]], cut, axis=0)
+                sums = np.add.reduceat(sketch[unit[a : a + CACHED]], cut, axis=0)
                 total[part[cut]] += sums * weight[part[cut]][:, None]
         at = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, j]) for j in range(width))], names)
@@ -236,8 +237,8 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
     sums = window_sums(table, terms(hashes), begin, of)
     for size, (number, vectors) in items.parts.items():
         own = unit_length(sums[size])
-        for a in range(0, len(own), 1 << 12):
-            cosine = own[a : a + (1 << 12)] @ vectors.T
+        for a in range(0, len(own), 1 << 10):
+            cosine = own[a : a + (1 << 10)] @ vectors.T
             at, which = np.nonzero(cosine >= cosine_least)
             found.append((at + a, number[which], cosine[at, which]))
     if not found:
@@ -260,8 +261,8 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
     keep = np.flatnonzero(np.concatenate(keep))
     unit, which, cosine = unit[keep], which[keep], cosine[keep]
     out = []
-    for a in range(0, len(unit), 2_000):
-        u, w = unit[a : a + 2_000], which[a : a + 2_000]
+    for a in range(0, len(unit), 256):
+        u, w, cos = unit[a : a + 256], which[a : a + 256], cosine[a : a + 256]
         longest = max(len(items.words[i]) for i in w)
         # The words around the window: as far as the item can reach beyond it on both sides.
         low = np.maximum(starts[of[u]], begin[u] - max(longest, UNIT))
@@ -269,6 +270,13 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
         place = np.minimum(low[:, None] + np.arange((high - low).max())[None, :], len(hashes) - 1)
         near, sizes = hashes[place], high - low
         item, item_sizes = items.rows(w, items.words)
+        # Nor is it longer than the count of the item's words that occur there.
+        there = (item[:, :, None] == np.where(np.arange(near.shape[1]) < sizes[:, None], near, 0)[:, None, :]).any(2)
+        there &= np.arange(item.shape[1]) < item_sizes[:, None]
+        some = np.flatnonzero(there.sum(1) >= lcs_least * item_sizes)
+        u, w, cos, near, sizes, item, item_sizes = (x[some] for x in (u, w, cos, near, sizes, item, item_sizes))
+        if not len(some):
+            continue
         share = common_subsequences(item, item_sizes, near, sizes) / item_sizes
         good = np.flatnonzero(share >= lcs_least)
         if len(good):
@@ -276,7 +284,7 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
             part = common_subsequences(answer, answer_sizes, near[good], sizes[good]) / np.maximum(answer_sizes, 1)
             for g, p in zip(good.tolist(), part.tolist(), strict=True):
                 if p >= answer_least:
-                    out.append((int(of[u[g]]), int(w[g]), float(cosine[a + g]), float(share[g]), p))
+                    out.append((int(of[u[g]]), int(w[g]), float(cos[g]), float(share[g]), p))
     return out
 
 
