@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import connect, difference
+from urlshift import workloads
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(workloads.QUERIES))
 def test_query(spark, con, name):
     assert difference(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name)) is None
 
