@@ -69,3 +69,41 @@ def test_basis_is_that_of_the_full_decomposition(spark, monkeypatch):
     right = np.linalg.svd(latent.unit_length(rows))[2][:1]
     first = latent.unit_length(table.T)[:1]
     assert abs((first @ right.T).item()) > 0.95
+
+
+def test_exact_gate_finds_what_the_cosine_does_not(spark):
+    items = [(i, prose(SOME.randint(8, 90))) for i in range(20)]
+    docs = [(100 + i, prose(SOME.randint(1, 300))) for i in range(60)]
+    for i, text in items:
+        words = text.split(" ")
+        for at in SOME.sample(range(len(words) - 2), len(words) // 6):
+            words[at] = SOME.choice(("", "other", words[at] + " put in"))
+        docs.append((i, f"{prose(SOME.randint(0, 90))} {' '.join(words)} {prose(SOME.randint(0, 90))}"))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    # No cosine is above 1: nothing comes from the latent search.
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(table, bench, cosine=2.0, answer=0.0).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
+def test_gate_against_every_window():
+    some = random.Random(9)
+    prose = lambda n: " ".join(some.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [prose(some.randint(0, 300)) for _ in range(30)] + [""]
+    rows = [(i, prose(some.randint(6, 20))) for i in range(25)]
+    idf = np.ones(latent.TERMS, np.float32)
+    table = np.random.default_rng(1).normal(size=(latent.TERMS, 8)).astype(np.float32)
+    hashes, starts = latent.Words()(texts)
+    begin, of = latent.units(starts)
+    items = latent.Items(rows, table, idf, 0.75)
+    wanted = set()
+    for u, (b, t) in enumerate(zip(begin.tolist(), of.tolist(), strict=True)):
+        for w, item in enumerate(items.words):
+            reach = max(len(item), latent.UNIT)
+            near = hashes[max(starts[t], b - reach) : min(starts[t + 1], b + 4 * latent.UNIT + reach)]
+            n, m = np.array([len(item)]), np.array([len(near)])
+            if latent.common_subsequences(item[None], n, near[None], m)[0] >= 0.75 * len(item):
+                wanted.add((t, w))
+    assert 10 < len(wanted) < len(texts) * len(rows)
+    got = latent.leaks_in_batch(items, table, hashes, starts, (2.0, 0.75, 0.0))
+    assert {(t, w) for t, w, *_ in got} == wanted

@@ -6,9 +6,11 @@ over all passages of all texts) are reduced by a randomised SVD: each task multi
 and back, the products are summed by term, and the eigenvectors of the sum come from it on the driver (its size is
 ``TERMS * (RANK + MORE)``, whatever the input). Coordinates are divided by their singular values, so that the few
 directions that tell languages apart do not hide the others. Benchmark items, a block at a time, are the queries: windows
-whose cosine with an item reaches ``COSINE`` are candidates. A candidate counts if the longest common subsequence of the
-item's words and the words around the window has ``LCS`` of the item's words at least, and that of the item's answer (its
-last sentence) ``ANSWER`` of the answer's. Words may be left out, put in or replaced in between.
+whose cosine with an item reaches ``COSINE`` are candidates. Behind them stands an exact gate: an item of n words of which
+m may miss has ``PREFIX`` of its m + ``PREFIX`` rarest words around every window that can count, so these are candidates
+too, whatever their cosine. A candidate counts if the longest common subsequence of the item's words and the words around
+the window (n on both sides, ``UNIT`` at least) has ``LCS`` of the item's words at least, and that of the item's answer
+(its last sentence) ``ANSWER`` of the answer's. Words may be left out, put in or replaced in between.
 
 Cases: null and empty texts hold nothing; items of fewer than ``LEAST_WORDS`` words (null ones too) are not searched;
 items longer than four units are searched by their parts, and compared whole; repeated rows and ids are reported once a
@@ -34,6 +36,7 @@ MORE = 16
 COSINE = 0.5
 LCS = 0.75
 ANSWER = 0.6
+PREFIX = 3
 LEAST_WORDS = 6
 BLOCK = 500  # items searched together
 TEXT_BYTES = 4 << 20
@@ -193,7 +196,7 @@ def common_subsequences(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_siz
 class Items:
     """A block of benchmark items: words, answer, and latent vectors of their parts by window size."""
 
-    def __init__(self, rows: list[tuple[int, str]], table: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, lcs: float):
         words = Words()
         self.ids = [i for i, _ in rows]
         self.words = [words([t])[0] for _, t in rows]
@@ -202,6 +205,7 @@ class Items:
         self.member = np.zeros((len(rows), len(self.known) + 1), bool)  # the last column is for all other words
         for number, item in enumerate(self.words):
             self.member[number, np.searchsorted(self.known, item)] = True
+        self.rare = self.rarest(idf, lcs)
         self.parts = {2: ([], []), 4: ([], [])}
         for number, item in enumerate(self.words):
             size = 2 if len(item) <= UNIT + UNIT // 2 else 4
@@ -214,6 +218,33 @@ class Items:
             size: (np.array(n), unit_length(np.array(v, np.float32))) for size, (n, v) in self.parts.items() if n
         }
 
+    def rarest(self, idf: np.ndarray, lcs: float) -> tuple[np.ndarray, ...]:
+        """Where the entries of each known word begin; item and times of each entry; how many each item has to show."""
+        entries, least = [], []
+        for number, item in enumerate(self.words):
+            needed = max(1, int(np.ceil(lcs * len(item) - 1e-9)))
+            least.append(min(PREFIX, needed))
+            weight = idf[terms(item)]
+            chosen = np.argsort(-np.where(weight > 0, weight, np.inf), kind="stable")[: len(item) - needed + least[-1]]
+            word, times = np.unique(np.searchsorted(self.known, item[chosen]), return_counts=True)
+            entries.append(np.stack((word, np.full(len(word), number), times)))
+        entries = np.concatenate(entries, 1) if entries else np.zeros((3, 0), np.int64)
+        entries = entries[:, np.argsort(entries[0], kind="stable")]
+        begin = offsets_of(np.bincount(entries[0], minlength=len(self.known) + 1))
+        return begin, entries[1], entries[2], np.array(least, np.int64)
+
+    def cosines(self, sums: dict[int, np.ndarray], unit: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The best cosine of each window with a part of its item, from the windows' vectors of length 1."""
+        best = np.full(len(unit), -1.0)
+        for size, (number, vectors) in self.parts.items():
+            cosine = np.where(number[None, :] == item[:, None], sums[size][unit] @ vectors.T, -1.0)
+            best = np.maximum(best, cosine.max(1))
+        return best
+
+    def reach(self) -> np.ndarray:
+        """How far the words around a window go beyond it on both sides."""
+        return np.maximum([len(x) for x in self.words], UNIT)
+
     def rows(self, which: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The chosen lists as rows of one array, with their sizes."""
         sizes = np.array([len(lists[i]) for i in which], np.int64)
@@ -229,44 +260,73 @@ def answer_of(text: str) -> str:
     return sentences[-1] if sentences else text
 
 
+def windows_with_rare_words(items: Items, spot: np.ndarray, starts: np.ndarray, begin: np.ndarray, of: np.ndarray):
+    """(window, item) wherever enough of the item's rarest words lie around the window."""
+    first, number, times, least = items.rare
+    counts = np.diff(first)[spot]
+    place = np.repeat(np.arange(len(spot)), counts)
+    entry = np.arange(len(place)) - np.repeat(offsets_of(counts)[:-1] - first[spot], counts)
+    item = number[entry]
+    reach = items.reach()[item]
+    text = np.searchsorted(starts, place, "right") - 1
+    # Windows that begin after place - 4 units - reach, and not after place + reach, in the same text.
+    low = np.maximum(np.searchsorted(begin, place - 4 * UNIT - reach, "right"), np.searchsorted(begin, starts[text]))
+    high = np.minimum(np.searchsorted(begin, place + reach, "right"), np.searchsorted(begin, starts[text + 1]))
+    order = np.argsort(entry, kind="stable")
+    entry, item, low, high = entry[order], item[order], low[order], high[order]
+    # The windows of one entry as runs that do not overlap.
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (low[1:] > high[:-1])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(new))[: len(a)] - 1
+    wide = len(begin) + 1
+    at = np.concatenate((item[a] * wide + low[a], item[a] * wide + high[b]))
+    at, back = np.unique(at, return_inverse=True)
+    running = np.cumsum(np.bincount(back, np.concatenate((times[entry[a]], -times[entry[a]])), len(at))).round()
+    good = np.flatnonzero(running >= least[at // wide]) if len(at) else at
+    long = np.append(at[1:], 0)[good] - at[good]
+    which = np.repeat(at[good], long) + np.arange(long.sum()) - np.repeat(offsets_of(long)[:-1], long)
+    return which % wide, which // wide
+
+
 def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts: np.ndarray, limits):
     """(text, item, cosine, share of the item, share of the answer) of the candidates that count."""
     cosine_least, lcs_least, answer_least = limits
+    if not items.words:
+        return []
     begin, of = units(starts)
-    found = []
+    spot = np.searchsorted(items.known, hashes)
+    spot = np.where(items.known[np.minimum(spot, len(items.known) - 1)] == hashes, spot, len(items.known)).astype(np.int32)
+    unit, which = windows_with_rare_words(items, spot, starts, begin, of)
+    wide = len(items.words)
+    found = [unit * wide + which]
     sums = window_sums(table, terms(hashes), begin, of)
     for size, (number, vectors) in items.parts.items():
-        own = unit_length(sums[size])
+        own = sums[size] = unit_length(sums[size])
         for a in range(0, len(own), 1 << 10):
-            cosine = own[a : a + (1 << 10)] @ vectors.T
-            at, which = np.nonzero(cosine >= cosine_least)
-            found.append((at + a, number[which], cosine[at, which]))
-    if not found:
-        return []
-    unit, which, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+            at, part = np.nonzero(own[a : a + (1 << 10)] @ vectors.T >= cosine_least)
+            found.append((at + a) * wide + number[part])
+    unit, which = np.divmod(np.unique(np.concatenate(found)), wide)
     if not len(unit):
         return []
     # No common subsequence is longer than the count of words around the window that the item has.
-    spot = np.searchsorted(items.known, hashes)
-    spot = np.where(items.known[np.minimum(spot, len(items.known) - 1)] == hashes, spot, len(items.known)).astype(np.int32)
-    lengths = np.array([len(x) for x in items.words])
+    lengths, reach = np.array([len(x) for x in items.words]), items.reach()
     keep = []
     for a in range(0, len(unit), 10_000):
         u, w = unit[a : a + 10_000], which[a : a + 10_000]
-        low = np.maximum(starts[of[u]], begin[u] - lengths[w])
-        high = np.minimum(starts[of[u] + 1], begin[u] + 4 * UNIT + lengths[w])
+        low = np.maximum(starts[of[u]], begin[u] - reach[w])
+        high = np.minimum(starts[of[u] + 1], begin[u] + 4 * UNIT + reach[w])
         place = low[:, None] + np.arange((high - low).max())[None, :]
         words = np.where(place < high[:, None], spot[np.minimum(place, len(spot) - 1)], len(items.known))
         keep.append(items.member[w[:, None], words].sum(1) >= lcs_least * lengths[w])
     keep = np.flatnonzero(np.concatenate(keep))
-    unit, which, cosine = unit[keep], which[keep], cosine[keep]
+    unit, which = unit[keep], which[keep]
     out = []
     for a in range(0, len(unit), 256):
-        u, w, cos = unit[a : a + 256], which[a : a + 256], cosine[a : a + 256]
-        longest = max(len(items.words[i]) for i in w)
+        u, w = unit[a : a + 256], which[a : a + 256]
         # The words around the window: as far as the item can reach beyond it on both sides.
-        low = np.maximum(starts[of[u]], begin[u] - max(longest, UNIT))
-        high = np.minimum(starts[of[u] + 1], begin[u] + 4 * UNIT + max(longest, UNIT))
+        low = np.maximum(starts[of[u]], begin[u] - reach[w])
+        high = np.minimum(starts[of[u] + 1], begin[u] + 4 * UNIT + reach[w])
         place = np.minimum(low[:, None] + np.arange((high - low).max())[None, :], len(hashes) - 1)
         near, sizes = hashes[place], high - low
         item, item_sizes = items.rows(w, items.words)
@@ -274,7 +334,7 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
         there = (item[:, :, None] == np.where(np.arange(near.shape[1]) < sizes[:, None], near, 0)[:, None, :]).any(2)
         there &= np.arange(item.shape[1]) < item_sizes[:, None]
         some = np.flatnonzero(there.sum(1) >= lcs_least * item_sizes)
-        u, w, cos, near, sizes, item, item_sizes = (x[some] for x in (u, w, cos, near, sizes, item, item_sizes))
+        u, w, near, sizes, item, item_sizes = (x[some] for x in (u, w, near, sizes, item, item_sizes))
         if not len(some):
             continue
         share = common_subsequences(item, item_sizes, near, sizes) / item_sizes
@@ -282,15 +342,16 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
         if len(good):
             answer, answer_sizes = items.rows(w[good], items.answers)
             part = common_subsequences(answer, answer_sizes, near[good], sizes[good]) / np.maximum(answer_sizes, 1)
+            cos = items.cosines(sums, u, w)
             for g, p in zip(good.tolist(), part.tolist(), strict=True):
                 if p >= answer_least:
                     out.append((int(of[u[g]]), int(w[g]), float(cos[g]), float(share[g]), p))
     return out
 
 
-def search(docs: DataFrame, table: np.ndarray, items: list[tuple[int, str]], limits) -> DataFrame:
+def search(docs: DataFrame, table: np.ndarray, idf: np.ndarray, items: list[tuple[int, str]], limits) -> DataFrame:
     """Leaks of one block of items in all texts."""
-    block = Items(items, table)
+    block = Items(items, table, idf, limits[1])
     shared = docs.sparkSession.sparkContext.broadcast((vars(block), table))
 
     def run(stream):
@@ -323,7 +384,7 @@ def leaks(
     found, block = None, []
 
     def add(found, block):
-        part = search(docs, table, block, (cosine, lcs, answer))
+        part = search(docs, table, idf, block, (cosine, lcs, answer))
         return part if found is None else found.union(part)
 
     rows = benchmark.select(benchmark["item_id"].cast("long"), benchmark["text"].cast("string")).distinct()
