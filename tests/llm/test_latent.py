@@ -107,3 +107,19 @@ def test_gate_against_every_window():
     assert 10 < len(wanted) < len(texts) * len(rows)
     got = latent.leaks_in_batch(items, table, hashes, starts, (2.0, 0.75, 0.0))
     assert {(t, w) for t, w, *_ in got} == wanted
+
+
+def test_answer_decides_only_below_a_sure_share(spark):
+    words = [f"w{i}" for i in range(30)]
+    body, answer = " ".join(words[:28]), " ".join(words[28:])
+    holed = " ".join(w for i, w in enumerate(words[:28]) if i % 5)
+    docs = [
+        (1, f"{prose(40)} {body}. {words[28]} changed. {prose(40)}"), (2, f"{prose(40)} {body}. {prose(40)}"),
+        (3, f"{prose(40)} {holed}. {prose(40)}"), (4, f"{prose(40)} {holed}. {answer}. {prose(40)}"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, f"{body}. {answer}.")], "item_id bigint, text string")
+    # Without its answer the holed body has 22 of 30 words; with one of two answer words 23.
+    docs5 = spark.createDataFrame([(5, f"{prose(40)} {holed}. {words[28]} other. {prose(40)}")], table.schema)
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(table.union(docs5), bench).collect()}
+    assert got == {(1, 7), (2, 7), (4, 7)}

@@ -9,8 +9,8 @@ directions that tell languages apart do not hide the others. Benchmark items, a
 whose cosine with an item reaches ``COSINE`` are candidates. Behind them stands an exact gate: an item of n words of which
 m may miss has ``PREFIX`` of its m + ``PREFIX`` rarest words around every window that can count, so these are candidates
 too, whatever their cosine. A candidate counts if the longest common subsequence of the item's words and the words around
-the window (n on both sides, ``UNIT`` at least) has ``LCS`` of the item's words at least, and that of the item's answer
-(its last sentence) ``ANSWER`` of the answer's. Words may be left out, put in or replaced in between.
+the window (n on both sides, ``UNIT`` at least) has ``SURE`` of the item's words at least, or ``LCS`` of them and that of
+the item's answer (its last sentence) ``ANSWER`` of the answer's. Words may be left out, put in or replaced in between.
 
 Cases: null and empty texts hold nothing; items of fewer than ``LEAST_WORDS`` words (null ones too) are not searched;
 items longer than four units are searched by their parts, and compared whole; repeated rows and ids are reported once a
@@ -35,6 +35,7 @@ RANK = 128
 MORE = 16
 COSINE = 0.5
 LCS = 0.75
+SURE = 0.85  # share of the item's words that counts whatever the answer
 ANSWER = 0.6
 PREFIX = 3
 LEAST_WORDS = 6
@@ -344,7 +345,7 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
             part = common_subsequences(answer, answer_sizes, near[good], sizes[good]) / np.maximum(answer_sizes, 1)
             cos = items.cosines(sums, u, w)
             for g, p in zip(good.tolist(), part.tolist(), strict=True):
-                if p >= answer_least:
+                if p >= answer_least or share[g] >= SURE:
                     out.append((int(of[u[g]]), int(w[g]), float(cos[g]), float(share[g]), p))
     return out
 
