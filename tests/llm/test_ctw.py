@@ -105,3 +105,50 @@ def test_empty_table(spark):
 def test_log_gamma():
     for x in (0.5, 1.0, 3.25, 80.0, 1e6 + 0.5):
         assert ctw.log_gamma([x])[0] == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-10)
+
+
+def far_decisions(text):
+    """(context, node, bit) of every coded bit; contexts go on across words to the start of the text."""
+    coded = b" ".join(tokens(text))
+    for i, byte in enumerate(coded):
+        context = (b" " + coded[:i])[-ctw.DEPTH :].rjust(ctw.DEPTH, b"\0")
+        node = 1
+        for k in range(7, -1, -1):
+            yield context, node, (byte >> k) & 1
+            node = node * 2 + ((byte >> k) & 1)
+
+
+def test_full_scores(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "decisions", far_decisions)
+    monkeypatch.setattr(ctw, "FULL_BYTES", 60)
+    monkeypatch.setattr(ctw, "GROUP_ROWS", 20)
+    rows = list(enumerate(TEXTS)) + [(3, "again"), (3, "again"), (None, "no id"), (12, "ä ö " * 9)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, word string, n int")
+    got = ctw.full_scores(docs, training_row("doc_id", 5, 1)).collect()
+    cut = ctw.ctw_scores(docs, training_row("doc_id", 5, 1)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    got, cut = sorted(got, key=key), sorted(cut, key=key)
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    wanted = brute([t for i, t in rows if not held(i)], [t for _, t in rows])
+    wanted = sorted(((i, score, len(tokens(t))) for (i, t), score in zip(rows, wanted, strict=True)), key=key)
+    assert [r.score for r in got] == pytest.approx([w[1] for w in wanted], abs=1e-6)
+    assert [tuple(r[:5]) for r in got] == [tuple(r[:5]) for r in cut]
+    assert [r.base_score for r in got] == pytest.approx([r.base_score for r in cut])
+
+
+def test_query_sees_its_depth_across_words(spark, tmp_path):
+    from urlshift.llm.queries import QUERIES
+
+    # The letter after "y" tells the one two words later, five bytes on; nothing nearer does.
+    learn = [(i, "ya mm b " * 20 + "yc mm d " * 20) for i in range(40)]
+    docs = learn + [(100, "ya mm b " * 20), (101, "ya mm d " * 20)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bits = {r.doc_id: r.bits_per_byte for r in QUERIES["op9_ctw_scoring"](spark, str(tmp_path)).collect()}
+    assert bits[101] > 3 * bits[100]
+
+
+def test_full_scores_of_an_empty_table_and_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "ab c")], "doc_id bigint, text string")
+    assert ctw.full_scores(docs.limit(0), training_row("doc_id", 5, 1)).collect() == []
+    (row,) = ctw.full_scores(docs, training_row("doc_id", 1, 0)).collect()
+    assert row.score == pytest.approx(6 * 8 * math.log10(0.5))

@@ -1,16 +1,18 @@
 """Scoring texts by context-tree weighting over bytes.
 
 A text is its lower-cased words, each followed by a space, and then a line end. Each byte is eight binary decisions; the
-decision at a node of the byte has a context tree over the preceding bytes, up to ``DEPTH`` of them. Each tree node
+decision at a node of the byte has a context tree over the ``DEPTH`` preceding bytes. Each tree node
 keeps the Krichevsky-Trofimov estimate of the training bits seen there, and each inner node mixes its own estimate with
-that of its children half and half, weighted by how well both coded the training bits. For the first ``HEAD`` bytes of a
-word the context goes on into the last ``TAIL`` bytes of the word before; for later bytes it ends at the space before
+that of its children half and half, weighted by how well both coded the training bits. ``full_scores`` looks back over any number
+of words, up to the start of the text. ``ctw_scores`` is the model with contexts cut at words: for the first ``HEAD`` bytes
+of a word the context goes on into the last ``TAIL`` bytes of the word before; for later bytes it ends at the space before
 the word. So all texts are scored through their distinct words and their distinct joints (tail and head).
 
-How it runs: tasks number the words of their texts (one written table of word counts and coded texts); counts of words
-and then of byte strings ("grams": context and next byte) are summed by key; trees are worked out in groups by the last
-two context bytes; levels above have at most 256 * 255 nodes and are worked out on the driver; the code lengths go back
-along the same keys: to words, then to texts. Nothing that grows with the corpus is broadcast or collected.
+How ``full_scores`` runs: tasks write chunks of texts with the sorted byte strings ("grams": context and next byte) and
+their counts, packed by bucket of the last two context bytes; buckets add them up and work out their trees; levels above
+have at most 256 * 255 nodes and are worked out on the driver; the code lengths go back to each chunk in the order of its
+grams. ``ctw_scores`` asks for the grams of words and joints by key instead. Nothing that grows with the corpus is broadcast
+or collected.
 
 Cases: a null or empty text is one end; words of any length and any bytes are scored whole; null ids are kept (their
 remainder is that of an empty key); repeated rows are scored each; without training rows each bit has probability 1/2.
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from urlshift.llm.common import batches, by_value, bytes_of, keep, offsets_of, partitions_for, unique_id
 
-DEPTH = 6  # context bytes; up to 7 fit into a 64-bit key with the coded byte
+DEPTH = 7  # context bytes; up to 7 fit into a 64-bit key with the coded byte
 HEAD, TAIL = 3, 2
 SIZE_AT = 8 * (HEAD + TAIL)  # bit of a joint above tail and head: how many bytes the head has
 END = b"\n"  # no word can hold it
 TEXT_BYTES = 32 << 20  # of texts in one chunk
 PART_ROWS = 200_000  # distinct words or joints whose grams are asked for together
 GROUP_ROWS = 400_000  # grams worked out together
+FULL_BYTES = 8 << 20  # of texts in one chunk whose grams are taken across words
+BUCKETS = 512
 HALF = float(np.log(0.5))
 
 
@@ -66,17 +70,38 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A key has the coded byte lowest, then its context, nearest byte first.
     """
-    coded = [b" " + w if w == END else b" " + w + b" " for w in words]
+    return grams_of([b" " + w if w == END else b" " + w + b" " for w in words], HEAD)
+
+
+def grams_of(coded: list[bytes], after: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bytes of each string behind its first, which is context only, and ``after`` more; where its keys begin."""
     starts = offsets_of([len(w) for w in coded])
     text = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
     place = np.arange(len(text)) - np.repeat(starts[:-1], np.diff(starts))
     keys = text.copy()
     for back in range(1, DEPTH + 1):
         keys[back:] |= np.where(place[back:] >= back, text[:-back] << (8 * back), 0)
-    later = place > HEAD
+    later = place > after
     return keys[later], offsets_of(later)[starts]
 
 
+def by_bucket(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted grams by bucket, and where each bucket begins in it."""
+    bucket = ((((grams >> 8) & 0xFFFF) * 2654435761) >> 16) % BUCKETS
+    return np.argsort(bucket.astype(np.uint16), kind="stable"), offsets_of(np.bincount(bucket, minlength=BUCKETS))
+
+
+def packed(grams: np.ndarray, counts: np.ndarray) -> bytes:
+    planes = (x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (grams.astype("<i8"), counts.astype("<i8")))
+    return zlib.compress(b"".join(planes), 1)
+
+
+def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 8, -1)
+    grams, counts = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+    return grams, counts
+
+
 def ends_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The first ``HEAD`` bytes of each word with its space, below their count, and its last ``TAIL`` bytes, as numbers."""
     heads = [(w if w == END else w + b" ")[:HEAD] for w in words]
@@ -208,18 +233,22 @@ def _group(batch) -> np.ndarray:
     return (batch.column(0).to_numpy() >> 8) & 0xFFFF
 
 
-def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> DataFrame:
+def coded_texts(docs: DataFrame, id_column: str, text_column: str, train, across: bool = False) -> DataFrame:
     """Chunks of texts: rows (chunk, word, number, n) of their words and rows (chunk, joint, n) of their joints, with
     counts in training rows, and rows (chunk, id, train, n_tokens, codes) of their texts; codes are the four byte planes
-    of the word numbers. One more row a chunk (train is null) has its words in order of their numbers."""
+    of the word numbers. One more row a chunk (train is null) has its words in order of their numbers.
+    Grams ``across`` words take the place of joints: rows (chunk, joint, n, codes) of bucket, number of grams, and grams
+    with counts."""
 
     def run(stream):
-        for batch in batches(stream, TEXT_BYTES, 1):
+        for batch in batches(stream, FULL_BYTES if across else TEXT_BYTES, 1):
             chunk, numbering = unique_id(), Numbering()
-            coded = []
+            coded, strings = [], []
             for text in batch.column(1):
                 words = bytes_of_one(text).lower().split()  # ASCII letters only; splits at 0x20 and 0x09-0x0D
                 words.append(END)
+                if across:
+                    strings.append(b" " + b" ".join(words))
                 coded.append(np.fromiter(map(numbering.__getitem__, words), np.int32, len(words)))
             lengths = np.array([len(c) for c in coded])
             trained = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -235,12 +264,22 @@ def coded_texts(docs: DataFrame, id_column: str, text_column: str, train) -> Dat
             cuts = offsets_of(lengths).tolist()
             coded = [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             counts = np.bincount(every[learn], minlength=len(words))
-            pairs, often = joint_counts(*ends_of(words), coded, learn)
             planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in coded]
             n, m = len(words), batch.num_rows
-            ids, k = batch.column(0), len(pairs)
+            ids = batch.column(0)
             yield rows_of(n, ids.type, chunk, word=pa.array(words, pa.binary()), number=np.arange(n), n=counts)
-            yield rows_of(k, ids.type, chunk, joint=pairs, n=often)
+            if across:
+                keys, starts = grams_of(strings)
+                grams, at = np.unique(keys, return_inverse=True)
+                often = np.bincount(at, np.repeat(trained, np.diff(starts)), len(grams)).astype(np.int64)
+                order, cuts = by_bucket(grams)
+                some = np.flatnonzero(np.diff(cuts))
+                parts = [order[cuts[b] : cuts[b + 1]] for b in some.tolist()]
+                codes = pa.array([packed(grams[p], often[p]) for p in parts], pa.binary())
+                yield rows_of(len(some), ids.type, chunk, joint=some, n=np.diff(cuts)[some], codes=codes)
+            else:
+                pairs, often = joint_counts(*ends_of(words), coded, learn)
+                yield rows_of(len(pairs), ids.type, chunk, joint=pairs, n=often)
             yield rows_of(m, ids.type, chunk, id=ids, train=trained, n_tokens=lengths, codes=pa.array(planes, pa.binary()))
             yield rows_of(1, ids.type, chunk, codes=pa.array([zlib.compress(b" ".join(words), 1)], pa.binary()))
 
@@ -340,8 +379,20 @@ def gram_lengths(counted: DataFrame) -> DataFrame:
                 ["name", "zeros", "ones", "weighted"],
             )
 
-    # At most 256 * 255 rows, whatever the input.
     second = dealt.mapInArrow(top, "name bigint, zeros double, ones double, weighted double")
+    shared = counted.sparkSession.sparkContext.broadcast(first_levels(second))
+
+    def lengths(stream):
+        for table in _grouped(stream, _group):
+            keys = table.column(0).to_numpy()
+            trees = Trees(keys, table.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(trees.code_lengths(*shared.value))], ["gram", "length"])
+
+    return dealt.mapInArrow(lengths, "gram bigint, length double")
+
+
+def first_levels(second: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of depth 1 from parts of depth 2: at most 256 * 255 rows, whatever the input."""
     rows = second.groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).toPandas().to_numpy(np.float64)
     tables = np.zeros((3, 256, 256))
     if len(rows):
@@ -351,15 +402,110 @@ def gram_lengths(counted: DataFrame) -> DataFrame:
     root = Level(tables[0].sum(0), tables[1].sum(0), first.weighted.sum(0))
     sure, rest = root.pass_on(np.zeros(256), np.ones(256), False)
     sure, rest = first.pass_on(sure[None, :], rest[None, :], False)
-    shared = counted.sparkSession.sparkContext.broadcast((sure, rest))
+    return sure, rest
+
+
+def bucket_trees(packs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Trees]]:
+    """Places of some of the grams of a bucket's packs, the number of each in its trees, and the trees."""
+    grams, counts = (np.concatenate(x) for x in zip(*map(unpacked, packs), strict=True))
+    group = (grams >> 8) & 0xFFFF
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    begin = 0
+    for end in cuts[1:].tolist():
+        if end - begin >= GROUP_ROWS or end == len(order):
+            part = order[begin:end]
+            found, at = np.unique(grams[part], return_inverse=True)
+            yield part, at, Trees(found, np.bincount(at, counts[part], len(found)))
+            begin = end
+
+
+def bucket_lengths(buckets: DataFrame) -> DataFrame:
+    """(asker, bucket, lengths): log10 probabilities of the grams of each pack (chunk, joint, codes), in their order."""
+    dealt = buckets.select("chunk", "joint", "codes").groupBy("joint")
+
+    def top(rows):
+        parts = [[], [], [], []]
+        for _, _, trees in bucket_trees(rows.column("codes").to_pylist()):
+            context, node, level = trees.top()
+            for part, x in zip(parts, ((context << 8) | node, level.zeros, level.ones, level.weighted), strict=True):
+                part.append(x)
+        return pa.table([np.concatenate(p) for p in parts], names=["name", "zeros", "ones", "weighted"])
+
+    second = dealt.applyInArrow(top, "name bigint, zeros double, ones double, weighted double")
+    shared = buckets.sparkSession.sparkContext.broadcast(first_levels(second))
+
+    def lengths(rows):
+        packs = rows.column("codes").to_pylist()
+        sizes = [len(unpacked(p)[0]) for p in packs]
+        values = np.empty(sum(sizes))
+        for part, at, trees in bucket_trees(packs):
+            values[part] = trees.code_lengths(*shared.value)[at]
+        values = [v.tobytes() for v in np.split(values, np.cumsum(sizes)[:-1])]
+        return pa.table([rows.column("chunk"), rows.column("joint"), pa.array(values, pa.binary())], names=names)
+
+    names = ["asker", "bucket", "lengths"]
+    return dealt.applyInArrow(lengths, "asker bigint, bucket bigint, lengths binary")
+
+
+def full_scores(docs: DataFrame, train, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The columns of ``ctw_scores``; each byte sees the ``DEPTH`` bytes before it, whatever words they are in."""
+    texts = keep(coded_texts(docs, id_column, text_column, train, across=True), "coded")
+    words = texts.where("word IS NOT NULL")
+    named = words.groupBy(F.xxhash64("word").alias("name")).agg(F.sum("n").alias("c"))
+    totals = named.agg(F.sum("c").alias("n"), F.sum(F.expr("CAST(c > 0 AS BIGINT)")).alias("v")).first()
+    n, v = totals.n or 0, totals.v or 0
+    of_words = words.select(F.col("chunk").alias("asker"), "number", F.xxhash64("word").alias("name")).join(named, "name")
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = of_words.select("asker", "number", "c", none("bigint").alias("bucket"), none("binary").alias("lengths")).union(
+        bucket_lengths(texts.where("joint IS NOT NULL")).select(
+            "asker", none("bigint"), none("bigint"), "bucket", "lengths"
+        )
+    )
+    plain = np.log10(n + 0.5 * (v + 1))
 
-    def lengths(stream):
-        for table in _grouped(stream, _group):
-            keys = table.column(0).to_numpy()
-            trees = Trees(keys, table.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(trees.code_lengths(*shared.value))], ["gram", "length"])
+    def run(rows, found):
+        own = found.filter(pc.is_valid(found.column("number")))
+        buckets = found.filter(pc.is_valid(found.column("bucket"))).sort_by("bucket")
+        is_text = pc.is_valid(rows.column("train"))
+        every = zlib.decompress(rows.filter(pc.invert(is_text)).column("codes")[0].as_py()).split(b" ")
+        rows = rows.filter(is_text)
+        table, number = np.zeros((2, len(every))), own.column("number").to_numpy()
+        c = own.column("c").to_numpy()
+        table[0, number] = c > 0
+        table[1, number] = np.log10(c + 0.5) - plain
+        sums, strings = np.empty((rows.num_rows, 2)), []
+        for i, code in enumerate(rows.column("codes").to_pylist()):
+            ids = np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            sums[i] = table[:, ids].sum(1)
+            strings.append(b" " + b" ".join(map(every.__getitem__, ids.tolist())))
+        keys, starts = grams_of(strings)
+        grams, at = np.unique(keys, return_inverse=True)
+        values = np.empty(len(grams))
+        values[by_bucket(grams)[0]] = np.frombuffer(b"".join(buckets.column("lengths").to_pylist()), np.float64)
+        score = np.add.reduceat(values[at], starts[:-1])
+        trained = rows.column("train").to_numpy().astype(bool)
+        bits = -score / np.log10(2) / np.diff(starts)
+        return pa.table(
+            [
+                rows.column("id"), pa.array(~trained), rows.column("n_tokens"), pa.array(sums[:, 0].round().astype(np.int64)),
+                pa.array(np.full(len(sums), n)), pa.array(sums[:, 1]), pa.array(score), pa.array(bits),
+            ],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
+        )
 
-    return dealt.mapInArrow(lengths, "gram bigint, length double")
+    kind = docs.schema[id_column].dataType.simpleString()
+    coded = texts.where("codes IS NOT NULL AND joint IS NULL").select("chunk", "id", "train", "n_tokens", "codes")
+    return (
+        coded.groupBy("chunk")
+        .cogroup(answers.groupBy("asker"))
+        .applyInArrow(
+            run,
+            f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+            "base_score double, score double, bits_per_byte double",
+        )
+        .withColumnRenamed("id", id_column)
+    )
 
 
 def ctw_scores(docs: DataFrame, train, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ def op7_bpe_codes(spark, sf_dir):
 
 @query
 def op9_ctw_scoring(spark, sf_dir):
-    return ctw.ctw_scores(documents(spark, sf_dir), training_row("doc_id", 5, 1))
+    return ctw.full_scores(documents(spark, sf_dir), training_row("doc_id", 5, 1))
 
 
 @query
