@@ -77,3 +77,17 @@ def test_odd_rows(spark, module, score):
     got = score(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 0.5 for r in got)
     assert score(docs.limit(0), labels).collect() == []
+
+
+def test_filters_are_placed_at_every_byte():
+    weights = quality.start_weights(4)
+    texts = [b"", b"x", b"one odd byte", b"some words of a text " * 40]
+    text, halves = quality.laid_out(texts)
+    best, place = quality.responses(weights, text, int(halves.sum()))
+    for half in range(int(halves.sum())):
+        every = [
+            sum(weights["table"][w, text[at + w]] for w in range(quality.WIDTH)) + weights["bias"]
+            for at in range(half * quality.HALF, (half + 1) * quality.HALF)
+        ]
+        assert best[half] == pytest.approx(np.maximum(np.max(every, 0), 0), abs=1e-5)
+        assert np.max(every, 0) == pytest.approx([every[p - half * quality.HALF][f] for f, p in enumerate(place[half])], abs=1e-5)

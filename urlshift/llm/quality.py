@@ -20,7 +20,7 @@ from urlshift.llm.common import batches, by_value, bytes_of
 from urlshift.llm.labelled import Adam, Sample, drawn, labelled_sample, sigmoid
 
 HALF = 128  # bytes; a chunk has two halves
-STRIDE = 2  # bytes between two places of a filter
+STRIDE = 1  # bytes between two places of a filter
 WIDTH = 8
 FILTERS = 16
 SLICE = 1 << 20  # bytes convolved together
