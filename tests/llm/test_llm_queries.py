@@ -16,7 +16,7 @@ ROOT = Path(entry.__file__).resolve().parent
 def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the given tables are not here")

@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlshift.llm import bpe, ctw, hilbert, latent, lines, quality, shingles, suffixes, toxicity, vectors
-from urlshift.llm.common import documents, training_row
+from urlshift.llm import (
+    alignment,
+    bpe,
+    ctw,
+    disclosure,
+    hilbert,
+    latent,
+    lines,
+    prefixes,
+    quality,
+    shingles,
+    suffixes,
+    toxicity,
+    vectors,
+)
+from urlshift.llm.common import documents, keep, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +115,30 @@ def op6_suffix_dedup(spark, sf_dir):
 @query
 def op5_latent_decontamination(spark, sf_dir):
     return latent.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_information_pii(spark, sf_dir):
+    found = disclosure.personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *(f"n_{k}" for k in disclosure.KINDS),
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        disclosure.all_spans().alias("spans"),
+    )
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    own = keep(prefixes.sequences(documents(spark, sf_dir, "conversations")), "sequences")
+    return prefixes.prefix_trie(keep(prefixes.rebuilt(own), "rebuilt"))
+
+
+@query
+def op13_pointer_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    table = alignment.aligned(documents(spark, sf_dir), *paths)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    # Of the readable groups only the digest is written.
+    table = keep(table.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.with_counts(table)
