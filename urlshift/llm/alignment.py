@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from urlshift.llm.common import batches, by_value, keep, unique_id
 
-CHUNK = 4 << 20  # bytes of text worked on at once; a longer text is a chunk of its own
-BLOCK = 1 << 22  # links made at once
+CHUNK = 1 << 20  # bytes of text worked on at once; a longer text is a chunk of its own
+BLOCK = 1 << 20  # links made at once
 LARGE = 1 << 12  # links of a group above which ids are counted first
-KNOWN_UNITS = 300_000  # units a task remembers
+KNOWN_UNITS = 100_000  # units a task remembers
 
 COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 # Texts are encoded in units cut before each space that follows another character than white space. No token of either
