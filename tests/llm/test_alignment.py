@@ -77,6 +77,7 @@ def texts():
 def test_against_a_plain_walk(spark, plain, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK", 2000)
     monkeypatch.setattr(alignment, "KNOWN_UNITS", 40)
+    monkeypatch.setattr(alignment, "JOINED", 30)
     monkeypatch.setattr(alignment, "BLOCK", 500)
     monkeypatch.setattr(alignment, "LARGE", 60)
     rows = list(enumerate(texts())) + [(7, "again the cat"), (7, "again the cat"), (None, "the cat")]

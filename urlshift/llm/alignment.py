@@ -14,7 +14,9 @@ are documents, so repeated rows and repeated or null ids count each by themselve
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlshift.llm.bpe import WORDS, byte_letters
 from urlshift.llm.common import batches, by_value, keep, unique_id
 
 CHUNK = 1 << 20  # bytes of text worked on at once; a longer text is a chunk of its own
 BLOCK = 1 << 20  # links made at once
 LARGE = 1 << 12  # links of a group above which ids are counted first
 KNOWN_UNITS = 100_000  # units a task remembers
+JOINED = 1 << 14  # characters of new units encoded as one text
 
 COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 # Texts are encoded in units cut before each space that follows another character than white space. No token of either
@@ -35,11 +39,16 @@ COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 UNITS = re.compile(r"(?= )(?<=\S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+def ranks_of(byte_level: str) -> dict[bytes, int]:
+    """The entries of a byte-level BPE file in the order of their ids, which has to be that of the merges."""
+    content = json.loads(byte_level)
+    special = {t["id"] for t in content.get("added_tokens", [])}
+    of, vocab = byte_letters(), content["model"]["vocab"]
+    entries = sorted((i, bytes(of[c] for c in entry)) for entry, i in vocab.items() if i not in special)
+    merges = [m if isinstance(m, list) else m.split(" ") for m in content["model"]["merges"]]
+    if [i for i, _ in entries] != list(range(len(entries))) or [vocab[a + b] for a, b in merges] != list(range(256, len(entries))):
+        raise ValueError("the ids of the vocabulary do not follow its merges")
+    return {entry: i for i, entry in entries}
 
 
 class Coder:
@@ -47,17 +56,12 @@ class Coder:
 
     def __init__(self, byte_level: str, pieces: bytes):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.a = Tokenizer.from_str(byte_level)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        ranks = ranks_of(byte_level)
+        self.a = Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_proto=pieces)
-        of = byte_alphabet()
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.a_bytes[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
+        self.a_bytes = list(ranks)
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
@@ -70,38 +74,68 @@ class Coder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sides = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.offsets = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.same = np.zeros(0, bool)
+        self.sides = [array("i"), array("i")]
+        self.offsets = [array("q", [0]), array("q", [0])]
+        self.same = array("b")
 
     def meet(self, units: list[str]) -> None:
         """Encode units that were not met before."""
         if len(self.known) > KNOWN_UNITS or len(self.sides[0]) > 8 * KNOWN_UNITS:
             self.forget()
-        fresh = list(dict.fromkeys(u for u in units if u not in self.known))
-        if not fresh:
-            return
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in fresh], num_threads=1)  # it puts a space in front of what is not empty
-        b = [ids if len(u) > 1 else [self.b.piece_to_id("▁")] for u, ids in zip(fresh, b, strict=True)]
-        for side, found in enumerate((a, b)):
-            flat = np.fromiter((i for ids in found for i in ids), np.int64)
-            ends = self.offsets[side][-1] + np.cumsum([len(ids) for ids in found])
-            self.sides[side] = np.concatenate((self.sides[side], flat))
-            self.offsets[side] = np.concatenate((self.offsets[side], ends))
-        same = [
-            u.encode() == b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y))
-            for u, x, y in zip(fresh, a, b, strict=True)
-        ]
-        self.same = np.concatenate((self.same, np.array(same, bool)))
+        fresh = [u for u in dict.fromkeys(units) if u not in self.known]
+        # Many units are one text for the tokenizers; a space behind white space is not a cut, so such units go alone.
+        joined, alone = [], [u for u in fresh if u[-1].isspace()]
+        block, size = [], 0
+        for u in (u for u in fresh if not u[-1].isspace()):
+            block.append(u)
+            size += len(u)
+            if size > JOINED:
+                joined.append(block)
+                block, size = [], 0
+        joined += [block] * bool(block)
+        for own, a, b in zip(joined, *self.both(["".join(block) for block in joined]), strict=True):
+            if not self.take(own, a, b):
+                alone += own
+        for u, a, b in zip(alone, *self.both(alone), strict=True):
+            self.take([u], a, b) or self.add([u], [[], []], [[0], [0]], False)
+
+    def both(self, texts: list[str]) -> tuple[list, list]:
+        a = [self.a.encode_ordinary(t) for t in texts]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)  # it puts a space in front of what is not empty
+        return a, [ids if len(t) > 1 else [self.b.piece_to_id("▁")] for t, ids in zip(texts, b, strict=True)]
+
+    def take(self, units: list[str], a: list[int], b: list[int]) -> bool:
+        """Remember the ids of joined units, unless the bytes of a side differ or a token reaches over a unit's end."""
+        raw = [u.encode() for u in units]
+        text, ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        if not text == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)):
+            return False
+        sides, cuts = [], []
+        for ids, sizes in ((a, self.a_size), (b, self.b_size)):
+            ids = np.array(ids, np.int64)
+            reached = np.cumsum(sizes[ids])
+            place = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[place], ends):
+                return False
+            sides.append(ids)
+            cuts.append(place + 1)
+        self.add(units, sides, cuts, True)
+        return True
+
+    def add(self, units: list[str], sides: list, cuts: list, same: bool) -> None:
+        first = len(self.known)
+        self.known.update(zip(units, range(first, first + len(units)), strict=True))
+        for side in range(2):
+            self.offsets[side].frombytes((np.array(cuts[side], np.int64) + len(self.sides[side])).tobytes())
+            self.sides[side].frombytes(np.array(sides[side], np.int32).tobytes())
+        self.same.extend([same] * len(units))
 
     def ids(self, side: int, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some units on one side, and how many each unit has."""
-        offsets = self.offsets[side]
+        offsets = np.array(self.offsets[side])
         sizes = offsets[units + 1] - offsets[units]
         shift = np.repeat(offsets[units] - (np.cumsum(sizes) - sizes), sizes)
-        return self.sides[side][shift + np.arange(len(shift))], sizes
+        return np.array(self.sides[side])[shift + np.arange(len(shift))].astype(np.int64), sizes
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For both sides the ids of all texts, each with a space in front, and their numbers; none where the bytes differ."""
@@ -110,7 +144,7 @@ class Coder:
         self.meet(flat)
         numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         doc = np.repeat(np.arange(len(texts)), [len(own) for own in units])
-        broken = np.bincount(doc, ~self.same[numbers], len(texts)) > 0
+        broken = np.bincount(doc, np.array(self.same)[numbers] == 0, len(texts)) > 0
         doc, numbers = doc[~broken[doc]], numbers[~broken[doc]]
         out = []
         for side in range(2):
@@ -226,9 +260,6 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_column: s
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = Coder(*shared.value)
         for batch in batches(stream, CHUNK, 1):
             done = Chunk(coder, batch.column(1).to_pylist())

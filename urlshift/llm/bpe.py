@@ -66,7 +66,7 @@ class Vocabulary:
         return np.where(self.keys[at] == keys, self.order[at], -1) if len(self.keys) else np.full(len(keys), -1)
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files: itself, or the next free one from 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
@@ -77,7 +77,7 @@ def read_vocabulary(path: str) -> Vocabulary:
     """A tokenizer file (JSON) with a byte-level BPE model."""
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    letters, model = _letters(), content["model"]
+    letters, model = byte_letters(), content["model"]
     special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
     size = max([*model["vocab"].values(), *special.values()]) + 1
     tokens = [b""] * size
