@@ -51,6 +51,33 @@ def test_gradient_of_the_convolutional_network():
     assert worst_gap(weights, gradient, loss, ["bias", "dense", "shift"]) < 1e-2
 
 
+def plain_logit(weights, text):
+    """Every filter at every byte of a text, pooled by chunks, with one loop after another."""
+    n = -(-(len(text) + quality.WIDTH - 1) // quality.HALF)
+    padded = text.ljust(n * quality.HALF, b"\0")
+    best = np.zeros((n, quality.FILTERS), np.float32)
+    for at in range(len(padded) - quality.WIDTH + 1):
+        response = np.zeros(quality.FILTERS, np.float32)
+        for w in range(quality.WIDTH):
+            response += weights["table"][w, padded[at + w]]
+        half = at // quality.HALF
+        best[half] = np.maximum(best[half], response + weights["bias"])
+    chunks = np.array([np.maximum(best[i], best[min(i + 1, n - 1)]) for i in range(max(1, n - 1))])
+    return np.concatenate((chunks.max(0), chunks.sum(0) / len(chunks))) @ weights["dense"] + weights["shift"][0]
+
+
+def test_a_text_alone_and_in_any_batch():
+    weights = quality.start_weights(3)
+    some = np.random.default_rng(1)
+    texts = [bytes(some.integers(32, 127, n, np.uint8)) for n in (0, 1, 7, 119, 120, 121, 122, 127, 128, 129, 255, 256, 257, 1000, 5000)]
+    alone = [float(quality.forward(weights, [t])[0]) for t in texts]
+    assert np.allclose(alone, [plain_logit(weights, t) for t in texts], atol=1e-5)
+    for _ in range(5):
+        order = some.permutation(len(texts))
+        logits = quality.forward(weights, [texts[i] for i in order])
+        assert [alone[i] for i in order] == logits.tolist()
+
+
 def test_windows_cover_every_word():
     for n in (1, 31, 32, 33, 56, 57, 500):
         every, start, length, of = toxicity.Coded([b"w " * n]).windows()
@@ -83,11 +110,12 @@ def test_filters_are_placed_at_every_byte():
     weights = quality.start_weights(4)
     texts = [b"", b"x", b"one odd byte", b"some words of a text " * 40]
     text, halves = quality.laid_out(texts)
-    best, place = quality.responses(weights, text, int(halves.sum()))
+    best, place = quality.responses(weights, text, halves)
+    last = set((np.cumsum(halves) - 1).tolist())
     for half in range(int(halves.sum())):
         every = [
             sum(weights["table"][w, text[at + w]] for w in range(quality.WIDTH)) + weights["bias"]
-            for at in range(half * quality.HALF, (half + 1) * quality.HALF)
+            for at in range(half * quality.HALF, (half + 1) * quality.HALF - (quality.WIDTH - 1) * (half in last))
         ]
         assert best[half] == pytest.approx(np.maximum(np.max(every, 0), 0), abs=1e-5)
         assert np.max(every, 0) == pytest.approx([every[p - half * quality.HALF][f] for f, p in enumerate(place[half])], abs=1e-5)

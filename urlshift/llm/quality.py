@@ -41,14 +41,19 @@ def start_weights(seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts padded with zero bytes to whole halves, one half of padding at least between two; halves of each."""
-    halves = np.array([max(1, -(-len(t) // HALF)) for t in texts], np.int64)
+    """All texts padded with zero bytes to whole halves, by ``WIDTH - 1`` bytes at least; halves of each."""
+    halves = np.array([-(-(len(t) + WIDTH - 1) // HALF) for t in texts], np.int64)
     padded = b"".join(t.ljust(int(h) * HALF, b"\0") for t, h in zip(texts, halves, strict=True))
     return np.frombuffer(padded + b"\0" * WIDTH, np.uint8), halves
 
 
-def responses(weights, text: np.ndarray, n_halves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest response of each filter in each half, and the byte where it begins."""
+def responses(weights, text: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter in each half, and the byte where it begins.
+
+    The last ``WIDTH - 1`` places of a text, all in its padding, reach into the next text and are left out.
+    """
+    n_halves = int(halves.sum())
+    ends = np.cumsum(halves) - 1
     best = np.empty((n_halves, FILTERS), np.float32)
     place = np.empty((n_halves, FILTERS), np.int32)
     step = max(1, SLICE // HALF)
@@ -60,6 +65,7 @@ def responses(weights, text: np.ndarray, n_halves: int) -> tuple[np.ndarray, np.
             begin = start * HALF + w
             sums += weights["table"][w][text[begin : begin + n * STRIDE : STRIDE]]
         sums = sums.reshape(stop - start, HALF // STRIDE, FILTERS)
+        sums[ends[(ends >= start) & (ends < stop)] - start, -((WIDTH - 1) // STRIDE) :] = -np.inf
         at = sums.argmax(1)
         best[start:stop] = np.take_along_axis(sums, at[:, None], 1)[:, 0]
         place[start:stop] = at * STRIDE + (np.arange(start, stop) * HALF)[:, None]
@@ -77,14 +83,14 @@ def chunks_of(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def forward(weights, texts: list[bytes], learn: bool = False):
     """The logit of each text; with ``learn`` also what the gradient needs."""
     text, halves = laid_out(texts)
-    best, place = responses(weights, text, int(halves.sum()))
+    best, place = responses(weights, text, halves)
     first, second, begin = chunks_of(halves)
     pooled = np.maximum(best[first], best[second])
     n = np.maximum(halves - 1, 1)
     most = np.maximum.reduceat(pooled, begin)
     mean = np.add.reduceat(pooled, begin) / n[:, None]
     features = np.concatenate((most, mean), 1)
-    logits = features @ weights["dense"] + weights["shift"][0]
+    logits = (features * weights["dense"]).sum(1) + weights["shift"][0]  # each row by itself
     if not learn:
         return logits
     place = np.where(best[first] >= best[second], place[first], place[second])
@@ -136,7 +142,7 @@ def scores(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # WIDTH * 256 * FILTERS numbers, whatever the input
 
     def run(stream):
-        for batch in batches(stream, 4 << 20, 1):
+        for batch in batches(stream, 2 << 20, 1):
             score = sigmoid(forward(shared.value, bytes_of(batch.column(1))).astype(np.float64) + shared.value["offset"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
