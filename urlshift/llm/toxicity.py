@@ -244,7 +244,7 @@ def with_scores(docs: DataFrame, weights: dict[str, np.ndarray], name: str = "sc
     at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(stream):
-        for batch in batches(stream, 8 << 20, at):
+        for batch in batches(stream, 2 << 20, at):
             texts = bytes_of(batch.column(at))
             score = sigmoid(forward(shared.value, texts).astype(np.float64) + shared.value["offset"])
             score[[not text.translate(SEPARATORS).strip() for text in texts]] = 0
