@@ -27,6 +27,7 @@ MISSING_SETTING = "Missing or empty %s setting"
 
 # Table naming and row markers of the blog database.
 DEFAULT_PREFIX = "wp_"
+SITE_TABLES = ("posts", "options")  # every site has these
 REVISION_TYPE = "revision"
 SKIPPED_COLUMNS = ("guid",)
 DELETE_BATCH = 500

@@ -1,23 +1,26 @@
 """SQL dumps as tables.
 
-A dump is read in statements: the text source splits files at the statement end, so a big dump
-is many tasks. Tuples and values are cut by regular expressions inside the JVM. All
-repetitions in them are possessive, which keeps them linear and free of recursion on
-statements of many megabytes. Whatever does not fit comes out of ``rejected_rows``.
+A dump is read in statements (see ``statements``), in as many tasks as its files have splits. Tuples and values are cut
+by regular expressions inside the JVM. All repetitions in them are possessive, which keeps them linear and free of
+recursion on statements of many megabytes.
+
+Every tuple is tagged with the reason why it does not fit its table, if any. ``import_dump`` writes all of them once and
+counts the unfit ones of each table in that write.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlshift import fixed_values as fixed
-from urlshift.session import scratch_path
-
-STATEMENT_END = ";\n"
+from urlshift.session import keep, scratch_path
+from urlshift.sources.statements import sql_statements
 
 _QUOTED = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+\""""
 _TUPLE = rf"""\((?:[^'"()]++|{_QUOTED})*+\)"""
@@ -33,11 +36,10 @@ _WHOLE = ("tinyint", "smallint", "mediumint", "int", "integer", "bigint")
 _REAL = ("float", "double", "real")
 
 
-def dump_statements(spark: SparkSession, paths: str | list[str], statement_end: str = STATEMENT_END) -> DataFrame:
-    """``(stmt)``: statements without the comments in front of them. A missing file is an error."""
-    raw = spark.read.option("lineSep", statement_end).text(paths)
-    stmt = F.regexp_replace("value", _COMMENTS, "")
-    return raw.select(stmt.alias("stmt")).where(F.col("stmt") != "")
+def dump_statements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(stmt)``: statements without the comments in front of them and their ``;``. A missing file is an error."""
+    stmt = F.regexp_replace(F.regexp_replace("stmt", _COMMENTS, ""), r";\s*\z", "")
+    return sql_statements(spark, paths).select(stmt.alias("stmt")).where(F.col("stmt") != "")
 
 
 def _bare_name(name: Column) -> Column:
@@ -126,17 +128,41 @@ def _definitions(statements: DataFrame) -> DataFrame:
     return created.groupBy("table_name").agg(F.min(F.struct("names", "types")).alias("d")).select("table_name", "d.*")
 
 
-def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
-    """Column names and types by base table, from the table definitions of the dump.
+def _layouts(definitions: DataFrame, prefix: str) -> DataFrame:
+    """``(table_name, blog_id, base_name, names, types)``: which site and base table each defined table stands for.
 
-    A base table has the columns of all its sites, in the order of their places; where sites differ in a type, the
-    wider one counts. The answer is as small as one site's set of tables.
+    A number behind the prefix is a site only if that site has a table of posts or options, or the main site has the
+    same table. A table without the prefix belongs to no site (NULL) and keeps its full name, after ``other:`` where a
+    base table has that name.
     """
+    name = F.col("table_name")
+    rest = F.when(name.startswith(prefix), F.substring(name, F.lit(len(prefix) + 1), F.length(name)))
+    number = F.regexp_extract(rest, r"\A([0-9]+)_.", 1).try_cast("bigint")
+    own = F.regexp_replace(rest, r"\A[0-9]+_", "")
+    named = definitions.withColumns({"rest": rest, "number": number, "own": own})
+    sites = named.where(F.col("number").isNotNull() & F.col("own").isin(*fixed.SITE_TABLES)).select(F.col("number").alias("site")).distinct()
+    main = named.where(F.col("number").isNull() & F.col("rest").isNotNull()).select(F.col("rest").alias("of_main")).distinct()
+    known = named.join(sites, F.col("number") == F.col("site"), "left").join(main, F.col("own") == F.col("of_main"), "left")
+    numbered = F.col("number").isNotNull() & (F.col("site").isNotNull() | F.col("of_main").isNotNull())
+    placed = known.select(
+        "table_name",
+        F.when(F.col("rest").isNotNull(), F.when(numbered, F.col("number")).otherwise(F.lit(1).cast("bigint"))).alias("blog_id"),
+        F.when(numbered, F.col("own")).otherwise(F.col("rest")).alias("base_name"),
+        "names",
+        "types",
+    )
+    bases = placed.where("blog_id IS NOT NULL").select(F.col("base_name").alias("taken")).distinct()
+    other = F.when(F.col("taken").isNotNull(), F.concat(F.lit("other:"), "table_name")).otherwise(F.col("table_name"))
+    return placed.join(bases, F.col("table_name") == F.col("taken"), "left").select(
+        "table_name", "blog_id", F.coalesce("base_name", other).alias("base_name"), "names", "types"
+    )
+
+
+def _schemas_of(layouts: DataFrame) -> dict[str, T.StructType]:
     kind = F.lower("c.types")
     rank = F.when(kind.isin(*_WHOLE), 0).when(kind.isin(*_REAL), 1).otherwise(2)
     rows = (
-        _with_base(_definitions(statements), prefix)
-        .select("base_name", F.posexplode(F.arrays_zip("names", "types")).alias("place", "c"))
+        layouts.select("base_name", F.posexplode(F.arrays_zip("names", "types")).alias("place", "c"))
         .groupBy("base_name", F.col("c.names").alias("name"))
         .agg(F.min("place").alias("place"), F.max_by("c.types", rank).alias("type"))
         .collect()
@@ -147,11 +173,13 @@ def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> d
     return schemas
 
 
-def _rows_by_name(statements: DataFrame) -> DataFrame:
-    """The rows of a dump; those of statements without column names get the names of their own table's definition."""
-    own = _definitions(statements).select("table_name", "names")
-    rows = dump_rows(statements).join(own, "table_name", "left")
-    return rows.select("table_name", F.coalesce("columns", "names").alias("columns"), "whole", "values")
+def dump_schemas(statements: DataFrame, prefix: str = fixed.DEFAULT_PREFIX) -> dict[str, T.StructType]:
+    """Column names and types by base table, from the table definitions of the dump.
+
+    A base table has the columns of all its sites, in the order of their places; where sites differ in a type, the
+    wider one counts. The answer is as small as one site's set of tables.
+    """
+    return _schemas_of(_layouts(_definitions(statements), prefix))
 
 
 def _spark_type(kind: str) -> T.DataType:
@@ -173,37 +201,116 @@ def _cells(schema: T.StructType) -> list[tuple[T.StructField, Column]]:
     return cells
 
 
-def _misfit(schema: T.StructType) -> Column:
-    """Why a tuple does not fit its table, NULL where it does."""
-    width = F.when(F.col("columns").isNotNull(), F.size("columns")).otherwise(F.lit(len(schema.fields)))
-    lost = F.lit(False)
-    for field, cell in _cells(schema):
-        if not isinstance(field.dataType, T.StringType):
-            lost = lost | (cell.isNotNull() & cell.try_cast(field.dataType).isNull())
+def _constant(value: object, kind: str) -> Column:
+    """A constant of nested type, folded once when the query is planned."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _reason(known: dict[str, T.StructType]) -> Column:
+    """Why a tuple does not fit its table, NULL where it does: one expression for all tables."""
+    if not known:
+        return F.lit("table without a definition")
+    named = {base: {f.name: f.dataType.simpleString() for f in schema.fields} for base, schema in known.items()}
+    types = {f.dataType.simpleString(): f.dataType for schema in known.values() for f in schema.fields}
+    by_name = F.element_at(_constant(named, "map<string, map<string, string>>"), F.col("base_name"))
+    in_order = {base: list(columns.values()) for base, columns in named.items()}
+    by_place = F.element_at(_constant(in_order, "map<string, array<string>>"), F.col("base_name"))
+    listed = F.transform("columns", lambda name: F.element_at(by_name, name))
+    kinds = F.when(F.col("columns").isNotNull(), listed).otherwise(by_place)
+
+    def lost(value: Column, kind: Column) -> Column:
+        tests = [(kind == n) & value.try_cast(t).isNull() for n, t in types.items() if not isinstance(t, T.StringType)]
+        unfit = F.lit(False)
+        for test in tests:
+            unfit = unfit | test
+        return F.coalesce(value.isNotNull() & unfit, F.lit(False))
+
     return (
-        F.when(~F.col("whole"), F.lit("statement is cut or not plain"))
-        .when(F.size("values") != width, F.lit("wrong number of values"))
-        .when(lost, F.lit("value does not fit its type"))
+        F.when(by_name.isNull(), F.lit("table without a definition"))
+        .when(~F.col("whole"), F.lit("statement is cut or not plain"))
+        .when(F.col("values").isNull(), F.lit("statement without values"))
+        .when(F.size("values") != F.size(kinds), F.lit("wrong number of values"))
+        .when(F.exists(F.zip_with("values", kinds, lost), lambda x: x), F.lit("value does not fit its type"))
+    )
+
+
+def _given_layout(rows: DataFrame, known: dict[str, T.StructType], prefix: str) -> DataFrame:
+    """Site and base table by the names alone; a number is a site where the rest is a known table and the whole is not."""
+    name, bases = F.col("table_name"), list(known)
+    rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
+    own = F.regexp_replace(rest, r"\A[0-9]+_", "")
+    numbered = rest.rlike(r"\A[0-9]+_.") & own.isin(bases) & ~rest.isin(bases)
+    site = F.when(numbered, F.regexp_extract(rest, r"\A([0-9]+)_", 1).try_cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+    return rows.withColumns(
+        {
+            "blog_id": F.when(name.startswith(prefix), site),
+            "base_name": F.when(name.startswith(prefix), F.when(numbered, own).otherwise(rest)).otherwise(name),
+        }
     )
 
 
-def _typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def _tagged(
+    spark: SparkSession, paths: str | list[str], schemas: dict[str, T.StructType | str] | None, prefix: str
+) -> tuple[DataFrame, dict[str, T.StructType]]:
+    """``(table_name, columns, whole, values, blog_id, base_name, reason)`` of all tuples, and the known tables."""
+    statements = dump_statements(spark, paths)
+    if schemas:
+        known = {k: _as_schema(s) for k, s in schemas.items()}
+        rows = _given_layout(dump_rows(statements), known, prefix)
+    else:
+        # Written, so that Spark knows how small it is before the join; tuples of one table are not dealt by its name then.
+        layouts = keep(_layouts(_definitions(statements), prefix), "layouts")
+        known = _schemas_of(layouts)
+        defined = layouts.select("table_name", "names", F.col("blog_id").alias("site"), F.col("base_name").alias("base"))
+        # A table of a dump that defines it elsewhere (one file a site) goes by its name.
+        rows = _given_layout(dump_rows(statements).join(defined, "table_name", "left"), known, prefix)
+        own = F.col("base").isNotNull()
+        rows = rows.select(
+            "table_name", F.coalesce("columns", "names").alias("columns"), "whole", "values",
+            F.when(own, F.col("site")).otherwise(F.col("blog_id")).alias("blog_id"),
+            F.when(own, F.col("base")).otherwise(F.col("base_name")).alias("base_name"),
+        )
+    return rows.withColumn("reason", _reason(known)), known
+
+
+def _typed(rows: DataFrame, base: str, schema: T.StructType) -> DataFrame:
     own_site = "blog_id" in schema.fieldNames()
     columns = [cell.try_cast(field.dataType).alias(field.name) for field, cell in _cells(schema)]
     site = [] if own_site else [F.col("blog_id").alias("blog_id")]
-    return rows.where(_misfit(schema).isNull()).select(*site, *columns)
+    return rows.where((F.col("base_name") == base) & F.col("reason").isNull()).select(*site, *columns)
 
 
-def _with_base(rows: DataFrame, prefix: str) -> DataFrame:
-    shape = rf"\A{re.escape(prefix)}(?:([0-9]+)_)?(.*)\z"
-    name = F.col("table_name")
-    site = F.regexp_extract(name, shape, 1)
-    return rows.withColumns(
-        {
-            "blog_id": F.coalesce(site.try_cast("bigint"), F.lit(1)),
-            "base_name": F.when(name.startswith(prefix), F.regexp_extract(name, shape, 2)).otherwise(name),
-        }
-    )
+@dataclass
+class Import:
+    """The tables of a dump, the tuples that fit none, and how many of these each table has (none: not listed)."""
+
+    tables: dict[str, DataFrame]
+    rejected: DataFrame
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+def import_dump(
+    spark: SparkSession,
+    paths: str | list[str],
+    schemas: dict[str, T.StructType | str] | None = None,
+    prefix: str = fixed.DEFAULT_PREFIX,
+) -> Import:
+    """Parse the text once into the shared folder, laid out by table, and count what does not fit in the same write."""
+    rows, known = _tagged(spark, paths, schemas, prefix)
+    seen = Observation()
+    unfit = F.col("reason").isNotNull()
+    bases = dict(enumerate(known))
+    counted = [F.count_if(unfit & (F.col("base_name") == base)).alias(f"n{i}") for i, base in bases.items()]
+    none = F.count_if(F.col("reason") == "table without a definition").alias("none")
+    path = scratch_path(spark, "dump")
+    rows.observe(seen, none, *counted).write.mode("errorifexists").partitionBy("base_name").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    told = seen.get
+    counts = {base: told[f"n{i}"] for i, base in bases.items() if told[f"n{i}"]}
+    if told["none"]:
+        counts[""] = told["none"]  # tables without a definition
+    rejected = rows.where(unfit).select("table_name", "reason", "values")
+    return Import({base: _typed(rows, base, schema) for base, schema in known.items()}, rejected, counts)
 
 
 def read_sql_dump(
@@ -211,24 +318,19 @@ def read_sql_dump(
     paths: str | list[str],
     schemas: dict[str, T.StructType | str] | None = None,
     prefix: str = fixed.DEFAULT_PREFIX,
-    statement_end: str = STATEMENT_END,
     staged: bool = False,
 ) -> dict[str, DataFrame]:
-    """One table per base name, with the rows of all sites and their ``blog_id``.
+    """One table per base name, with the rows of all sites and their ``blog_id`` (NULL for tables without the prefix).
 
     Schemas come from the dump's own table definitions unless given; the columns of different sites are then matched by
-    name, and a column that a site does not have is NULL there. ``staged`` parses the
-    text once into the shared folder, laid out by table; without it each table is its own scan of
-    the text, which is cheaper only where few tables are used.
+    name, and a column that a site does not have is NULL there. ``staged`` parses the text once into the shared folder;
+    without it each table is its own scan of the text, which is cheaper only where few tables are used. Tuples that fit
+    no table are left out; ``import_dump`` tells how many.
     """
-    statements = dump_statements(spark, paths, statement_end)
-    known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements) if schemas else _rows_by_name(statements), prefix)
     if staged:
-        path = scratch_path(spark, "dump")
-        rows.write.mode("errorifexists").partitionBy("base_name").parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
-    return {base: _typed(rows.where(F.col("base_name") == base), schema) for base, schema in known.items()}
+        return import_dump(spark, paths, schemas, prefix).tables
+    rows, known = _tagged(spark, paths, schemas, prefix)
+    return {base: _typed(rows, base, schema) for base, schema in known.items()}
 
 
 def rejected_rows(
@@ -236,13 +338,7 @@ def rejected_rows(
     paths: str | list[str],
     schemas: dict[str, T.StructType | str] | None = None,
     prefix: str = fixed.DEFAULT_PREFIX,
-    statement_end: str = STATEMENT_END,
 ) -> DataFrame:
     """``(table_name, reason, values)`` of every tuple ``read_sql_dump`` leaves out."""
-    statements = dump_statements(spark, paths, statement_end)
-    known = {k: _as_schema(s) for k, s in (schemas or dump_schemas(statements, prefix)).items()}
-    rows = _with_base(dump_rows(statements) if schemas else _rows_by_name(statements), prefix)
-    reason = F.lit("table without a definition")
-    for base, schema in known.items():
-        reason = F.when(F.col("base_name") == base, _misfit(schema)).otherwise(reason)
-    return rows.select("table_name", reason.alias("reason"), "values").where(F.col("reason").isNotNull())
+    rows, _ = _tagged(spark, paths, schemas, prefix)
+    return rows.where(F.col("reason").isNotNull()).select("table_name", "reason", "values")
