@@ -87,6 +87,6 @@ def test_column(spark):
     assert [r.text for r in broken_serialized(df, ["i"]).collect()] == [url[:-3]]
 
 
-def test_deep_value_is_left_alone():
-    deep = "a:1:{i:0;" * 5000 + "N;" + "}" * 5000
-    assert Rewriter(fold)(deep) is None
+def test_deep_value_is_rewritten():
+    deep = "a:1:{i:0;" * 5000 + "%s" + "}" * 5000
+    assert Rewriter(fold)(deep % php("//old-site.com")) == deep % php("//new-site.local")

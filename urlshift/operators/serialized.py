@@ -3,7 +3,7 @@
 Text without such a prefix takes the plain fold. The others go through an Arrow function that
 walks the value on UTF-8 bytes, rewrites every string value (array keys and property names
 stay) and writes its byte count anew. A value that starts like a serialized one but
-cannot be read to its end is left as it is; ``broken_serialized`` lists such rows. Prose
+cannot be read to its end is left as it is, also inside another one; ``broken_serialized`` lists such rows. Prose
 that only mentions the notation is not a serialized value and takes the plain fold.
 """
 
@@ -35,7 +35,7 @@ from urlshift.session import keep
 # Functions of this module go to workers inside the query, so that they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOKEN = r's:[0-9]+:"'
+TOKEN = r'(?:s:[0-9]+:"|\A[aOCE]:[0-9]+:)'
 OPENING = r'\A(?:[aOCE]|s):[0-9]+:'
 
 
@@ -118,13 +118,13 @@ def apply_plan_by_site_serialized(
 
 
 def broken_serialized(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """``(key, column_name, text)`` of values that start like a serialized one but cannot be read."""
+    """``(key, column_name, text)`` of values that start like a serialized one but cannot be read, or hold such a string."""
     columns = text_columns(df) if columns is None else list(columns)
 
     walk = phpwalk.Rewriter(_small_fold([]))
 
     def readable(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda text: walk(text) is not None, na_action="ignore").astype("boolean")
+        return batch.map(lambda text: walk(text) is not None and not walk.unread, na_action="ignore").astype("boolean")
 
     cells = df.select(
         *key,

@@ -164,6 +164,40 @@ def _replace_serialized(spark, sf):
     return apply_plan_serialized(rows, network_plan(spark, sf))
 
 
+# An object that wrote itself, a serialized value that is cut inside a string, and the link three strings deep.
+_NESTED_SQL = r"""'a:3:{{i:0;C:3:"Foo":' || strlen({o}) || ':{{' || {o} || '}}i:1;s:' || strlen({c}) || ':"' || {c} || '";i:2;s:' || strlen({n2})
+  || ':"' || {n2} || '";}}'"""
+
+
+def _nested_sql(old: str, new: str) -> str:
+    text = lambda u: f"""'s:' || strlen({u}) || ':"' || {u} || '";'"""
+    cut = f"""('a:1:{{i:0;s:' || strlen({old}) || ':"' || {old})"""
+    inner = f"""('a:1:{{i:7;' || {text(new)} || '}}')"""
+    return _NESTED_SQL.format(o=old, c=cut, n2=f"({text(inner)})")
+
+
+@query(
+    "replace_serialized_nested",
+    f"""WITH RECURSIVE {PLAN_SQL}, {POSTS_SQL},
+    cells AS (SELECT page_id AS k, content AS txt FROM posts)
+    {fold_sql('cells')}
+    SELECT page_id, {_nested_sql('posts.content', 'folded.txt')} AS value FROM posts JOIN folded ON k = page_id""",
+)
+def _replace_serialized_nested(spark, sf):
+    """What cannot be read stays byte for byte, and all around it is rewritten."""
+    content = F.col("content")
+
+    def text(value):
+        return F.concat(F.lit("s:"), F.octet_length(value).cast("string"), F.lit(':"'), value, F.lit('";'))
+
+    size = F.octet_length(content).cast("string")
+    own = F.concat(F.lit('C:3:"Foo":'), size, F.lit(":{"), content, F.lit("}"))
+    cut = F.concat(F.lit("a:1:{i:0;s:"), size, F.lit(':"'), content)
+    inner = text(F.concat(F.lit("a:1:{i:7;"), text(content), F.lit("}")))
+    value = F.concat(F.lit("a:3:{i:0;"), own, F.lit("i:1;"), text(cut), F.lit("i:2;"), text(inner), F.lit("}"))
+    return apply_plan_serialized(posts(spark, sf).select("page_id", value.alias("value")), network_plan(spark, sf))
+
+
 @query(
     "replace_serialized_by_site",
     f"""WITH RECURSIVE {PLAN_SQL}, {SITE_POSTS_SQL},
