@@ -1,8 +1,9 @@
 """Running numbers and carried values over ordered rows, without one task holding a whole group.
 
-A window over a site, a project or a file is one task per group, and one group may
-hold a third of the rows. Both functions cut a group into runs of consecutive
-positions, work inside the runs, and correct them by a small table with one row per run.
+A window over a site, a project or a file is one task per group, and one group may hold a third of the rows.
+Numbers come from one sort over range partitions, which Spark places by a sample of the rows, so that positions may be
+dense, sparse, equal or missing; the parts of a group are added up over one row per partition. Carried values are cut
+into runs of consecutive positions, and corrected by a small table with one row per run.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from urlshift.session import keep
+
 RUN_WIDTH = 100_000
 
 _RUN = "__run"
 _BEFORE = "__before"
+_AT = "__at"
+_SALT = "__salt"
 
 
 def _runs(df: DataFrame, position: Column, width: int) -> DataFrame:
@@ -40,26 +45,31 @@ def number_rows(
     keys: Sequence[str] = (),
     ties: Sequence[Column] = (),
     out: str = "seq",
-    width: int = RUN_WIDTH,
 ) -> DataFrame:
-    """Number the rows of each key 1, 2, … in the order of an integer position.
+    """Number the rows of each key 1, 2, … in the order of a position, rows without one first.
 
-    A run holds at most ``width`` distinct positions. ``ties`` order rows with equal position.
+    ``ties`` order rows with equal position; what is equal then too is dealt out in any order, also over partitions.
+    The sorted rows are written to the shared folder: numbers rest on where a row stands in its partition.
     """
     position = F.col(position) if isinstance(position, str) else position
     keys = list(keys)
-    cut = _runs(df, position, width)
+    order = [*keys, position, *ties, _SALT]
+    ranged = df.withColumn(_SALT, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Number of the partition and, in the lower 33 bits, of the row in it.
+    placed = keep(ranged.drop(_SALT).withColumn(_AT, F.monotonically_increasing_id()), "numbered")
+    cut = placed.withColumn(_RUN, F.shiftright(_AT, 33))
     earlier = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
+    # The window sees one row per key and partition.
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0)) - F.col("__first")
     offsets = (
         cut.groupBy(*keys, _RUN)
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .select(*keys, _RUN, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(_BEFORE))
+        .agg(F.count(F.lit(1)).alias("__size"), F.min(_AT).alias("__first"))
+        .select(*keys, _RUN, before.alias(_BEFORE))
     )
-    inside = W.partitionBy(*keys, _RUN).orderBy(position, *ties)
     return (
         _join_runs(cut, offsets, keys)
-        .withColumn(out, (F.row_number().over(inside) + F.col(_BEFORE)).cast("bigint"))
-        .drop(_RUN, _BEFORE)
+        .withColumn(out, (F.col(_AT) + F.col(_BEFORE) + 1).cast("bigint"))
+        .drop(_RUN, _BEFORE, _AT)
     )
 
 

@@ -58,6 +58,17 @@ def _batches_one_site(spark, sf):
     return revisions.delete_batches(ids, keys=())
 
 
+@query(
+    "delete_batches_sparse_ids",
+    f"""WITH {REVISIONS_SQL} SELECT "ID" * 1000003 AS "ID", (row_number() OVER (ORDER BY "ID") - 1) // 500 AS batch
+    FROM posts WHERE post_type = 'revision'""",
+)
+def _batches_sparse_ids(spark, sf):
+    """All revisions in one site with ids far apart."""
+    ids = revisions.find_revisions(revision_posts(spark, sf)).select((F.col("ID") * 1_000_003).alias("ID"))
+    return revisions.delete_batches(ids, keys=())
+
+
 @query(
     "revision_report",
     f"""WITH {REVISIONS_SQL} SELECT blog_id, count(*) FILTER (post_type = 'revision') AS found,
