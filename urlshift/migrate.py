@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlshift import fixed_values as fixed
-from urlshift.functions import sanitize_domain
+from urlshift.functions import is_true, sanitize_domain
 from urlshift.operators import detection, mappings as maps, network, proxy, revisions, settings as conf
 from urlshift.operators.links import site_links
-from urlshift.operators.replace import dry_run_report, plan_slices
-from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized
+from urlshift.operators.replace import plan_slices, site_run_status
+from urlshift.operators.scope import compile_scope, dry_run_scope, rewrite_with_results, site_results
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.session import keep
 from urlshift.sinks.statements import emit_delete_sql, emit_delete_sql_unlisted, emit_update_sql
 from urlshift.sinks.tables import write_tables
-from urlshift.sources.dump import read_sql_dump
+from urlshift.sources.dump import import_dump
 from urlshift.sources.listings import read_option
 from urlshift.sources.project_files import (
     config_constants,
@@ -44,6 +45,7 @@ class Job:
     escape_mode: str = COMPAT
     fill_missing_mappings: bool = True
     transient_patterns: tuple[str, ...] = ()
+    on_reject: str = "fail"  # or "report": what to do with tuples of the dump that fit no table
 
 
 @dataclass
@@ -96,14 +98,24 @@ def migrate(
     """The whole run on a dump or on tables by base name (each with a ``blog_id``).
 
     ``mappings`` are ``(blog_id, old_domain, new_domain, line_no)``; ``facts`` is one row for ``classify_installs``.
-    With ``out`` the tables are stored there, unless it is a dry run.
+    With ``out`` the tables are stored there, unless it is a dry run. Without ``all_tables`` only the tables of sites are
+    searched, in a network each with the steps of its own site. A dump whose tuples do not all fit their tables ends
+    the run, unless ``on_reject`` is ``report``.
     """
     if not job.old_domain or not job.new_domain:
         raise ValueError("old and new domain must not be empty")
+    if job.on_reject not in ("fail", "report"):
+        raise ValueError(f"unknown on_reject {job.on_reject!r}")
+    reports: dict[str, DataFrame] = {}
     if tables is None:
         if dump is None:
             raise ValueError("either a dump or tables are needed")
-        tables = read_sql_dump(spark, dump, prefix=job.prefix, staged=True)
+        imported = import_dump(spark, dump, prefix=job.prefix)
+        tables = imported.tables
+        reports["rejected"] = imported.rejected
+        if imported.counts and job.on_reject == "fail":
+            told = ", ".join(f"{n} of {base or 'undefined tables'}" for base, n in sorted(imported.counts.items()))
+            raise ValueError(f"tuples that fit no table: {told}")
     tables = dict(tables)
     old_domain = _agreed_domain(job, tables, spark)
     clean = spark.range(1).select(sanitize_domain(F.lit(old_domain)), sanitize_domain(F.lit(job.new_domain))).first()
@@ -111,7 +123,6 @@ def migrate(
     if mappings is None:
         mappings = spark.createDataFrame([], "blog_id bigint, old_domain string, new_domain string, line_no bigint")
 
-    reports: dict[str, DataFrame] = {}
     blogs = tables.get("blogs")
     if facts is not None:
         reports["detection"] = detection.validate_detection(detection.classify_installs(facts))
@@ -122,10 +133,12 @@ def migrate(
     is_network = is_network and blogs is not None
 
     # Revisions go first: what is deleted is not searched.
-    if "posts" in tables and "postmeta" in tables:
+    if "posts" in tables:
         before = tables["posts"]
         if job.clear_revisions and not job.dry_run:
-            tables["posts"], tables["postmeta"] = revisions.delete_revisions(before, tables["postmeta"])
+            if "postmeta" in tables:
+                tables["postmeta"] = revisions.delete_revision_meta(before, tables["postmeta"])
+            tables["posts"] = revisions.without_revisions(before)
         elif is_network:
             reports["delete_statements"] = emit_delete_sql(blogs, job.prefix)
         else:
@@ -148,6 +161,9 @@ def migrate(
         updates = network.plan_blog_updates(used, main_id, network_type)
         base = network.network_base(used, main_id)
         reports["update_statements"] = emit_update_sql(updates, base, main_id, job.prefix)
+        results = network.update_results(blogs, updates)
+        reports["update_counts"] = network.update_counts(results)
+        reports["update_failures"] = network.failed_updates(results)
         if not job.dry_run:
             tables["blogs"] = network.update_blogs(blogs, updates)
             if "site" in tables:
@@ -168,15 +184,18 @@ def migrate(
     # An ordinary plan comes to the driver once for all tables; of a larger one no more than two slices do.
     slices = list(islice(plan_slices(plan), 2))
     steps = slices[0] if len(slices) == 1 else plan
-    searched = [name for name in tables if name not in ("blogs", "site")]
+    scopes = compile_scope(tables, job.all_tables, is_network)
     if job.dry_run:
-        reports["replacements"] = dry_run_report({n: tables[n] for n in searched}, steps)
+        reports["replacements"] = dry_run_scope(tables, scopes, plan, steps)
     else:
-        for name in searched:
-            if job.all_tables or "blog_id" not in tables[name].columns or not is_network:
-                tables[name] = apply_plan_serialized(tables[name], steps)
-            else:
-                tables[name] = apply_plan_by_site_serialized(tables[name], plan)
+        counted = []
+        for name, scope in scopes.items():
+            tables[name], found = rewrite_with_results(name, tables[name], scope, plan, steps, None if is_network else 1)
+            counted += [found] if found is not None else []
+        reports["site_results"] = site_results(plan, counted)
+        reports["site_status"] = site_run_status(reports["site_results"])
+        if counted:
+            reports["table_results"] = reduce(DataFrame.unionByName, counted)
         if "options" in tables:
             options = proxy.purge_transients(tables["options"], list(job.transient_patterns))
             if job.setup_stage_proxy:
@@ -188,6 +207,37 @@ def migrate(
     return Outcome(tables, mappings, plan, is_network, main_id, reports, written)
 
 
+def job_from_config(lines: DataFrame, project: str, **changes) -> tuple[Job, DataFrame]:
+    """The job and the site mappings that a project's settings describe, with defaults for what they leave out.
+
+    ``changes`` override settings. A project whose settings do not pass the check is refused.
+    """
+    own = lines.where(F.col("project") == project)
+    problems = config_validate(own).first()
+    if problems is None or problems.errors:
+        raise ValueError(f"project {project!r}: " + ("no settings" if problems is None else "; ".join(problems.errors)))
+    row = conf.settings_with_defaults(parse_settings(own)).select(
+        sanitize_domain("old_domain").alias("old_domain"), sanitize_domain("new_domain").alias("new_domain"),
+        *(is_true(F.col(c)).alias(c) for c in ("all_tables", "dry_run", "clear_revisions", "setup_stage_proxy")),
+    ).first()
+    return Job(**{**row.asDict(), **changes}), site_mappings(own).select("blog_id", "old_domain", "new_domain", "line_no")
+
+
+def migrate_from_config(
+    spark: SparkSession,
+    lines: DataFrame,
+    project: str,
+    dump: str | list[str] | None = None,
+    tables: dict[str, DataFrame] | None = None,
+    facts: DataFrame | None = None,
+    out: str | None = None,
+    **changes,
+) -> Outcome:
+    """``migrate`` as the settings of a project say."""
+    job, mappings = job_from_config(lines, project, **changes)
+    return migrate(spark, job, dump, tables, mappings, facts, out)
+
+
 def revision_sql(spark: SparkSession, sites: DataFrame | None, is_network: bool, prefix: str = fixed.DEFAULT_PREFIX):
     """Delete statements: per listed site, or of the main site where no list is known."""
     if sites is not None:

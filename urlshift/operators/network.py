@@ -71,6 +71,25 @@ def update_outcome(results: DataFrame) -> DataFrame:
     ).withColumn("ok", F.col("failed") == 0)
 
 
+def update_results(blogs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(label, blog_id, ok)`` of every planned catalogue row: it fails where the catalogue has no such site."""
+    known = blogs.select("blog_id").distinct().withColumn("known", F.lit(True))
+    label = F.concat(F.lit("Site ID "), F.col("blog_id").cast("string"))
+    return plan.join(known, "blog_id", "left").select(label.alias("label"), "blog_id", F.coalesce("known", F.lit(False)).alias("ok"))
+
+
+def failed_updates(results: DataFrame) -> DataFrame:
+    """The failures of ``update_results`` or of any ``(label, ok)`` as rows."""
+    return results.where(~F.col("ok"))
+
+
+def update_counts(results: DataFrame) -> DataFrame:
+    """One row ``(executed, failed, ok)``; the failures themselves are the rows of ``failed_updates``."""
+    return results.agg(
+        F.count_if("ok").alias("executed"), F.count_if(~F.col("ok")).alias("failed")
+    ).withColumn("ok", F.col("failed") == 0)
+
+
 # -- main site -------------------------------------------------------------------------
 
 

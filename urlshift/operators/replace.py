@@ -243,16 +243,42 @@ def pattern_hits(
     return reduce(DataFrame.unionByName, parts)
 
 
-def dry_run_report(tables: dict[str, DataFrame], plan: DataFrame | Sequence[Step]) -> DataFrame:
-    """``(table_name, column_name, seq, rows_changed, replacements)``, every step counted on unmodified data."""
-    counted = [
-        pattern_hits(df, steps, key=[], columns=text_columns(df))
-        .groupBy("column_name", "seq")
+def pattern_hits_by_site(
+    df: DataFrame, plan: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``pattern_hits`` of the steps of each row's own site."""
+    columns = text_columns(df) if columns is None else list(columns)
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))
+    rows = with_site_steps(df, plan).where(F.col("__steps").isNotNull())
+    rows = rows.select(*key, "__steps", F.explode(cells).alias("cell")).select(*key, "__steps", "cell.*")
+    counted = F.transform(
+        "__steps",
+        lambda s: F.struct(s["seq"].alias("seq"), count_occurrences(F.col("text"), s["search"]).alias("replacements")),
+    )
+    hits = F.filter(counted, lambda hit: hit["replacements"] > 0)
+    return (
+        rows.where(may_hold_address(F.col("text")))
+        .select(*key, "column_name", F.explode(hits).alias("hit"))
+        .select(*key, "column_name", "hit.*")
+    )
+
+
+def count_report(name: str, hits: DataFrame) -> DataFrame:
+    """``(table_name, column_name, seq, rows_changed, replacements)`` of the hits of one table."""
+    return (
+        hits.groupBy("column_name", "seq")
         .agg(
             F.count(F.lit(1)).alias("rows_changed"),
             F.sum("replacements").cast("bigint").alias("replacements"),
         )
         .select(F.lit(name).alias("table_name"), "column_name", "seq", "rows_changed", "replacements")
+    )
+
+
+def dry_run_report(tables: dict[str, DataFrame], plan: DataFrame | Sequence[Step]) -> DataFrame:
+    """``(table_name, column_name, seq, rows_changed, replacements)``, every step counted on unmodified data."""
+    counted = [
+        count_report(name, pattern_hits(df, steps, key=[], columns=text_columns(df)))
         for steps in plan_slices(plan)
         for name, df in tables.items()
     ]

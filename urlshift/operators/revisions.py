@@ -26,10 +26,13 @@ def delete_revision_meta(posts: DataFrame, postmeta: DataFrame) -> DataFrame:
     return postmeta.join(gone, ["blog_id", "post_id"], "left_anti")
 
 
+def without_revisions(posts: DataFrame) -> DataFrame:
+    return posts.where((F.col("post_type") != fixed.REVISION_TYPE) | F.col("post_type").isNull())
+
+
 def delete_revisions(posts: DataFrame, postmeta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts and metadata after the clean-up."""
-    kept = posts.where((F.col("post_type") != fixed.REVISION_TYPE) | F.col("post_type").isNull())
-    return kept, delete_revision_meta(posts, postmeta)
+    return without_revisions(posts), delete_revision_meta(posts, postmeta)
 
 
 def revisions_per_site(posts: DataFrame) -> DataFrame:
