@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from urlshift import fixed_values as fixed
 from urlshift.functions import is_true, sanitize_domain
 from urlshift.operators import detection, mappings as maps, network, proxy, revisions, settings as conf
 from urlshift.operators.links import site_links
-from urlshift.operators.replace import plan_slices, site_run_status
+from urlshift.operators.replace import site_run_status, small_plan
 from urlshift.operators.scope import compile_scope, dry_run_scope, rewrite_with_results, site_results
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.session import keep
@@ -181,9 +180,9 @@ def migrate(
     reports["warnings"] = plan_warnings(plan)
     reports["clashes"] = pattern_clashes(plan)
 
-    # An ordinary plan comes to the driver once for all tables; of a larger one no more than two slices do.
-    slices = list(islice(plan_slices(plan), 2))
-    steps = slices[0] if len(slices) == 1 else plan
+    # An ordinary plan comes to the driver once for all tables; a larger one stays a table.
+    steps = small_plan(plan)
+    steps = plan if steps is None else steps
     scopes = compile_scope(tables, job.all_tables, is_network)
     if job.dry_run:
         reports["replacements"] = dry_run_scope(tables, scopes, plan, steps)

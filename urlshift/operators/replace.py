@@ -7,7 +7,7 @@ size of the plan:
   read the text once per pattern;
 * more: an Arrow function that finds the patterns present in a text in one pass and applies only
   those, in order, so that its cost hardly grows with the plan;
-* more than ``PLAN_LIMIT``: the plan is cut into consecutive slices, applied one after the other.
+* more than ``PLAN_LIMIT``: the plan stays a table, and each row is joined with the steps its hosts ask for (``bigplan``).
 
 ``strategy="array"`` runs the fold as a higher-order function and stays in the JVM at any size.
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from urlshift import fixed_values as fixed
 from urlshift.functions import count_occurrences
-from urlshift.operators import matching
+from urlshift.operators import bigplan, matching
 from urlshift.session import keep
 
 NESTED_LIMIT = 8  # measured: above it the one-pass search is faster
@@ -81,6 +81,18 @@ def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> It
         yield _checked(steps)
 
 
+def small_plan(plan: DataFrame | Sequence[Step]) -> list[Step] | None:
+    """The steps of a plan that fits the driver; None for a larger table whose searches all have a host as key."""
+    slices = plan_slices(plan)
+    first, second = next(slices), next(slices, None)
+    if second is None:
+        return first
+    if isinstance(plan, DataFrame) and bigplan.keyed(plan).where("key = ''").isEmpty():
+        return None
+    # Search texts without a host have nothing to be joined by.
+    return reduce(list.__add__, slices, first + second)
+
+
 def may_match(text: Column, steps: Sequence[Step]) -> Column:
     """Cheap test a text must pass before any pattern can occur in it."""
     anchors = {next((a for a in ("//", r"\/\/") if a in step.search), "") for step in steps}
@@ -161,12 +173,15 @@ def apply_plan(
     default because existing users rely on the plain literal match.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    for number, steps in enumerate(plan_slices(plan)):
-        if number:
-            df = keep(df, "replaced")  # an oversized plan must not pile up in one job
-        changed = {c: replace_column(F.col(c), steps, boundary, strategy) for c in columns}
-        df = df.withColumns(changed)
-    return df
+    steps = small_plan(plan)
+    if steps is None and not boundary:
+        return bigplan.apply_big_plan(df, plan, columns)
+    if steps is None:
+        for number, steps in enumerate(plan_slices(plan)):
+            df = keep(df, "replaced") if number else df
+            df = df.withColumns({c: replace_column(F.col(c), steps, boundary, strategy) for c in columns})
+        return df
+    return df.withColumns({c: replace_column(F.col(c), steps, boundary, strategy) for c in columns})
 
 
 def with_site_steps(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -221,26 +236,24 @@ def pattern_hits(
 ) -> DataFrame:
     """``(key, column_name, seq, replacements)``: which pattern occurs how often in which row."""
     columns = text_columns(df) if columns is None else list(columns)
-    parts = []
-    for steps in plan_slices(plan):
-        if not steps or not columns:
-            continue
-        cells = df.select(
-            *key,
-            F.explode(
-                F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))
-            ).alias("cell"),
-        ).select(*key, "cell.*")
-        parts.append(
-            cells.where(may_match(F.col("text"), steps))
-            .select(*key, "column_name", F.explode(_hits(F.col("text"), steps)).alias("hit"))
-            .select(*key, "column_name", "hit.*")
-        )
-    if not parts:
+    steps = small_plan(plan)
+    if not columns or steps == []:
         empty = df.select(*key, F.lit("").alias("column_name"), F.lit(0).cast("bigint").alias("seq"),
                           F.lit(0).cast("bigint").alias("replacements"))
         return empty.limit(0)
-    return reduce(DataFrame.unionByName, parts)
+    if steps is None:
+        return bigplan.big_hits(df, plan, key, columns)
+    cells = df.select(
+        *key,
+        F.explode(
+            F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))
+        ).alias("cell"),
+    ).select(*key, "cell.*")
+    return (
+        cells.where(may_match(F.col("text"), steps))
+        .select(*key, "column_name", F.explode(_hits(F.col("text"), steps)).alias("hit"))
+        .select(*key, "column_name", "hit.*")
+    )
 
 
 def pattern_hits_by_site(
@@ -277,9 +290,9 @@ def count_report(name: str, hits: DataFrame) -> DataFrame:
 
 def dry_run_report(tables: dict[str, DataFrame], plan: DataFrame | Sequence[Step]) -> DataFrame:
     """``(table_name, column_name, seq, rows_changed, replacements)``, every step counted on unmodified data."""
+    steps = small_plan(plan)
     counted = [
-        count_report(name, pattern_hits(df, steps, key=[], columns=text_columns(df)))
-        for steps in plan_slices(plan)
+        count_report(name, pattern_hits(df, plan if steps is None else steps, key=[], columns=text_columns(df)))
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, counted)

@@ -18,19 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlshift.operators import matching, phpwalk
+from urlshift.operators import bigplan, matching, phpwalk
 from urlshift.operators.replace import (
     NESTED_LIMIT,
     Step,
     array_fold,
     may_hold_address,
     may_match,
-    plan_slices,
     replace_column,
+    small_plan,
     text_columns,
     with_site_steps,
 )
-from urlshift.session import keep
 
 # Functions of this module go to workers inside the query, so that they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -77,11 +76,10 @@ def apply_plan_serialized(
 ) -> DataFrame:
     """``apply_plan`` that keeps serialized values readable."""
     columns = text_columns(df) if columns is None else list(columns)
-    for number, steps in enumerate(plan_slices(plan)):
-        if number:
-            df = keep(df, "replaced")
-        df = df.withColumns({c: replace_serialized_column(F.col(c), steps) for c in columns})
-    return df
+    steps = small_plan(plan)
+    if steps is None:
+        return bigplan.apply_big_plan(df, plan, columns, TOKEN, OPENING)
+    return df.withColumns({c: replace_serialized_column(F.col(c), steps) for c in columns})
 
 
 def apply_plan_by_site_serialized(

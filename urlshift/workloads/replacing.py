@@ -21,6 +21,7 @@ from urlshift.workloads.tables import (
     posts,
     site_posts,
     sites,
+    table,
 )
 
 TEXTS = ["link", "content", "escaped"]
@@ -74,6 +75,32 @@ def _replace_boundary(spark, sf):
     return rep.apply_plan(posts(spark, sf).select("page_id", "guid", "link", "content"), plan, boundary=True)
 
 
+def large_plan(spark, sf):
+    """The network's plan between four steps for each line of an order, and a last step on what the network's made."""
+    own = network_plan(spark, sf).withColumn("seq", F.col("seq") * 1_000_000_000)
+    host = F.concat(F.lit("//l"), "l_linenumber", F.lit(".o"), "l_orderkey", F.lit(".p"), "l_partkey", F.lit(".example."), "tld")
+    lines = table(spark, sf, "lineitem").withColumn("tld", F.explode(F.array(*(F.lit(t) for t in ("com", "net", "org", "test")))))
+    others = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("seq"), F.col("l_suppkey").alias("blog_id"),
+        F.lit(1).alias("pass"), host.alias("search"), F.lit("//none.example.test").alias("replace"),
+    )
+    last = spark.range(1).select(
+        F.lit(1 << 60).alias("seq"), F.lit(1).cast("bigint").alias("blog_id"), F.lit(1).alias("pass"),
+        F.lit("//example.test/").alias("search"), F.lit("//moved.example.test/").alias("replace"),
+    )
+    return own.unionByName(others).unionByName(last)
+
+
+@query(
+    "replace_large_plan",
+    f"""WITH RECURSIVE {PLAN_SQL}, {POSTS_SQL}, cells AS (SELECT page_id AS k, content AS txt FROM posts) {fold_sql('cells')}
+    SELECT k AS page_id, replace(txt, '//example.test/', '//moved.example.test/') AS content FROM folded""",
+)
+def _replace_large_plan(spark, sf):
+    """A plan above the number of steps that come to the driver; a later step works on what earlier ones wrote."""
+    return rep.apply_plan(posts(spark, sf).select("page_id", "content"), large_plan(spark, sf))
+
+
 _PLAN_COLUMNS = 'seq, blog_id, CAST(pass AS BIGINT) AS pass, search, "replace"'
 
 
