@@ -17,7 +17,7 @@ from urlshift.operators.scope import compile_scope, dry_run_scope, rewrite_with_
 from urlshift.plans.patterns import COMPAT, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.session import keep
 from urlshift.sinks.statements import emit_delete_sql, emit_delete_sql_unlisted, emit_update_sql
-from urlshift.sinks.tables import write_tables
+from urlshift.sinks.tables import write_run, write_tables
 from urlshift.sources.dump import import_dump
 from urlshift.sources.listings import read_option
 from urlshift.sources.project_files import (
@@ -93,11 +93,13 @@ def migrate(
     mappings: DataFrame | None = None,
     facts: DataFrame | None = None,
     out: str | None = None,
+    run_id: str | None = None,
 ) -> Outcome:
     """The whole run on a dump or on tables by base name (each with a ``blog_id``).
 
     ``mappings`` are ``(blog_id, old_domain, new_domain, line_no)``; ``facts`` is one row for ``classify_installs``.
-    With ``out`` the tables are stored there, unless it is a dry run. Without ``all_tables`` only the tables of sites are
+    With ``out`` the tables are stored there, unless it is a dry run; with ``run_id`` as a run that can be continued and
+    has a manifest. Without ``all_tables`` only the tables of sites are
     searched, in a network each with the steps of its own site. A dump whose tuples do not all fit their tables ends
     the run, unless ``on_reject`` is ``report``.
     """
@@ -202,7 +204,11 @@ def migrate(
                 options = proxy.upsert_options(options, proxy.proxy_option_rows(reports["proxy"]))
             tables["options"] = options
     reports["links"] = site_links(after, main_id, is_network)
-    written = write_tables(tables, out, job.dry_run) if out else {}
+    written = {}
+    if out and run_id and not job.dry_run:
+        written = write_run(tables, out, run_id)
+    elif out:
+        written = write_tables(tables, out, job.dry_run)
     return Outcome(tables, mappings, plan, is_network, main_id, reports, written)
 
 

@@ -8,7 +8,7 @@ from urlshift.functions import site_table
 from urlshift.operators.numbering import carry_forward
 from urlshift.operators.settings import setting_or_default, settings_with_defaults, upsert_settings, validate_settings
 from urlshift.session import scratch_path
-from urlshift.sinks.tables import write_tables
+from urlshift.sinks.tables import read_run, write_run, write_tables
 from urlshift.sources import project_files
 from urlshift.sources.catalog import scope_tables, split_table_names
 from urlshift.sources.dump import read_sql_dump
@@ -273,3 +273,15 @@ def _write_tables(spark, sf):
     rows = site_posts(spark, sf).select("blog_id", "page_id", "link", "content")
     written = write_tables({"posts": rows}, scratch_path(spark, "tables"))
     return spark.read.schema(rows.schema).parquet(written["posts"])
+
+
+@query(
+    "write_run",
+    f"WITH {SITES_SQL}, {SITE_POSTS_SQL} SELECT blog_id, page_id, link, content FROM site_posts",
+)
+def _write_run(spark, sf):
+    """Posts and catalogue stored as a run with a manifest and read by it."""
+    rows = site_posts(spark, sf).select("blog_id", "page_id", "link", "content")
+    path = scratch_path(spark, "runs")
+    write_run({"blogs": sites(spark, sf).select("blog_id", "domain", "path"), "posts": rows}, path, "first")
+    return read_run(spark, path, "first")["posts"].select(F.col("blog_id").cast("bigint").alias("blog_id"), "page_id", "link", "content")
