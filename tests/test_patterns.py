@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from urlshift.operators.replace import Step, plan_slices
 from urlshift.plans.patterns import (
+    clash_lines,
     pattern_clashes,
     plan_warnings,
     replacement_plan,
@@ -89,6 +90,24 @@ def test_clashes_and_warnings(spark):
     assert {r.search for r in plan_warnings(plan).collect()} == {"//a.com", "\\\\//a.com"}
 
 
+def test_clash_lines_do_not_multiply(spark):
+    searches = ["//a", "//a", "//a.com", None, "//a.com/x", "//a.com/x", "//b", "//a.com", ""]
+    plan = [(i, s) for i, s in enumerate(searches, 1)]
+    rows = clash_lines(spark.createDataFrame(plan, "seq long, search string")).collect()
+    expected = []
+    for seq, search in plan:
+        found = {}
+        for other, text in plan:
+            if None not in (text, search) and search.startswith(text) and text != search and other < seq:
+                found.setdefault(text, other)
+        if found:
+            text, first = min(found.items(), key=lambda item: item[1])
+            expected.append((seq, search, len(found), first, text))
+    assert sorted(map(tuple, rows)) == expected and len(expected) == 4
+    none = spark.createDataFrame([], "seq long, search string, later_seq int, prefixes int")
+    assert clash_lines(none).collect() == []
+
+
 def test_slices_keep_order(spark):
     plan = spark.createDataFrame(
         [(i, 1, 1, f"//{i}", "//n") for i in range(7, 0, -1)], "seq long, blog_id long, pass int, search string, replace string"

@@ -105,4 +105,3 @@ DELETE_META = (
 )
 DELETE_POSTS = "DELETE FROM `%sposts` WHERE `post_type` = 'revision';"
 DELETE_COMMENT = "-- Blog ID %s (%s) - Tables: %sposts, %spostmeta"
-DELETE_ADVICE = "-- For subsites, replace the table prefix with %sN_ (N is the blog_id)"

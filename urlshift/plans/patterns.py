@@ -142,3 +142,39 @@ def pattern_clashes(plan: DataFrame) -> DataFrame:
         .where(F.col("earlier_seq") < F.col("later_seq"))
         .select("earlier_seq", "later_seq", F.col("search").alias("earlier_search"), "later_search")
     )
+
+
+def clash_lines(plan: DataFrame) -> DataFrame:
+    """One row for each plan line that an earlier, shorter search damages, however often searches repeat.
+
+    ``(later_seq, later_search, n_searches, earlier_seq, earlier_search)``: how many distinct searches are proper
+    prefixes of the line's search and stand before it, and the first of them. Only distinct searches meet, level by
+    level: a search is cut at the lengths that other searches have, and each cut looks for its equal. A search has
+    at most as many prefixes as it has characters, which bounds the list that goes back to its lines. Null searches
+    and searches of one line alone give no row; of equal first places the shorter search is named.
+    """
+    distinct = plan.where(F.col("search").isNotNull()).groupBy("search").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    )
+    levels = distinct.agg(F.collect_set(F.length("search")).alias("levels")).scalar()
+    cuts = distinct.withColumn("levels", levels).select(
+        F.col("search").alias("later_search"),
+        "last_seq",
+        F.explode(F.filter("levels", lambda size: size < F.length("search"))).alias("size"),
+    ).withColumn("search", F.substring(F.col("later_search"), F.lit(1), F.col("size")))
+    prefixes = (
+        cuts.join(distinct.select("search", "first_seq"), "search")
+        .where(F.col("first_seq") < F.col("last_seq"))
+        .groupBy("later_search")
+        .agg(F.collect_list(F.struct("first_seq", "size")).alias("prefixes"))
+    )
+    lines = plan.select(F.col("seq").alias("later_seq"), F.col("search").alias("later_search")).join(prefixes, "later_search")
+    before = F.filter("prefixes", lambda p: p["first_seq"] < F.col("later_seq"))
+    first = F.array_min(F.col("before"))
+    return lines.withColumn("before", before).where(F.size("before") > 0).select(
+        "later_seq",
+        "later_search",
+        F.size("before").cast("bigint").alias("n_searches"),
+        first["first_seq"].alias("earlier_seq"),
+        F.substring(F.col("later_search"), F.lit(1), first["size"]).alias("earlier_search"),
+    )

@@ -12,6 +12,7 @@ from urlshift.functions.text import site_prefix
 from urlshift.operators.numbering import number_rows
 
 _SECTION = 1 << 40
+DELETE_ADVICE = "-- For subsites, replace the table prefix with %sN_ (N is the blog_id)"
 
 
 def emit_update_sql(plan: DataFrame, base: DataFrame, main_id: int, prefix: str = fixed.DEFAULT_PREFIX) -> DataFrame:
@@ -76,7 +77,7 @@ def emit_delete_sql_unlisted(spark: SparkSession, is_network: bool, prefix: str
     """Statements of the main site where no site list is known; a network gets a line of advice."""
     texts = _delete_pair(F.lit(prefix))
     if is_network:
-        texts.append(F.format_string(fixed.DELETE_ADVICE, F.lit(prefix)))
+        texts.append(F.format_string(DELETE_ADVICE, F.lit(prefix)))
     return spark.range(1).select(F.posexplode(F.array(*texts)).alias("pos", "stmt")).select(
         (F.col("pos") + 1).cast("bigint").alias("seq"), "stmt"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from urlshift.operators import replace as rep
 from urlshift.operators.serialized import apply_plan_by_site_serialized, apply_plan_serialized, broken_serialized
-from urlshift.plans.patterns import JSON, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
+from urlshift.plans.patterns import JSON, clash_lines, pattern_clashes, plan_warnings, replacement_plan, single_site_plan
 from urlshift.workloads.registry import query
 from urlshift.workloads.tables import (
     JSON_PLAN_SQL,
@@ -338,6 +338,28 @@ def _pattern_clashes(spark, sf):
     return pattern_clashes(_site_as_plan(spark, sf))
 
 
+_PAGE_PLAN_SQL = r"""paged AS (
+  SELECT page_id AS seq, regexp_extract(url, '^https?:(//[^/?#]+)', 1) AS host,
+         regexp_extract(url, '^https?:(//[^/?#]+/[^/?#]*)', 1) AS deeper FROM pages),
+plan AS (SELECT seq, CASE WHEN seq % 3 = 0 OR deeper = '' THEN host ELSE deeper END AS search FROM paged)"""
+
+
+@query(
+    "pattern_clash_lines",
+    f"""WITH {_PAGE_PLAN_SQL},
+    firsts AS (SELECT search, min(seq) AS first_seq FROM plan GROUP BY search)
+    SELECT b.seq AS later_seq, b.search AS later_search, count(*) AS n_searches, min(a.first_seq) AS earlier_seq,
+      arg_min(a.search, a.first_seq) AS earlier_search
+    FROM plan b JOIN firsts a ON starts_with(b.search, a.search) AND length(b.search) > length(a.search) AND a.first_seq < b.seq
+    GROUP BY b.seq, b.search""",
+)
+def _pattern_clash_lines(spark, sf):
+    """A step for every page that searches its host or its first folder: many equal searches."""
+    host, deeper = (F.regexp_extract("url", f"^https?:(//[^/?#]+{rest})", 1) for rest in ("", "/[^/?#]*"))
+    search = F.when((F.col("page_id") % 3 == 0) | (deeper == ""), host).otherwise(deeper)
+    return clash_lines(table(spark, sf, "pages").select(F.col("page_id").alias("seq"), search.alias("search")))
+
+
 @query(
     "plan_warnings",
     f"""WITH {_CLASH_PLAN_SQL} SELECT seq, search, "replace", 'not idempotent' AS warning FROM plan WHERE contains("replace", search)""",
