@@ -62,6 +62,7 @@ def op4_line_dedup(spark, sf_dir):
     return lines.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id",
         "n_lines",
+        "n_removed",
         removed.alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
