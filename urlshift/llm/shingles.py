@@ -8,9 +8,10 @@ documents of a batch hold put last, so that common passages bring few classes to
 Linking goes in rounds over the lists of classes that share a prefix element. In a round the smallest class of each list
 is its pivot (in the next round the largest), and every other class asks the pivot with which it shares most elements
 whether they are linked. What is linked becomes one component; a list whose classes all lie in one component is done.
-After ``PIVOT_ROUNDS`` rounds all pairs of classes that still lie in different components, and whose sizes and number of
-shared prefix elements allow a link, are asked. So a group of m near copies costs about m questions a round, not m * m, and no link between different
-components is lost.
+After ``PIVOT_ROUNDS`` rounds those pairs of classes are asked that still lie in different components and whose sizes,
+and places of a shared prefix element, allow a link: all that linked sets share begins with the first element they share
+in the order, so that one of them stands early enough in both sets. So a group of m near copies costs about m questions a
+round, not m * m, and no link between different components is lost.
 
 Questions of one class are answered together by DivideSkip: the elements of the asking set that occur in most of the
 asked sets form long lists, the others short ones. Short lists are merged by counting; only sets that reach the required
@@ -127,19 +128,19 @@ NAMES = ["doc_id", "text_hash", "n", "class", "prefix"]
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """(element, class, n) of prefix elements that two classes at least have."""
+    """(element, class, n, place) of prefix elements that two classes at least have; place: how many come before it."""
     classes = sets.where("prefix IS NOT NULL").groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
 
     def run(stream):
         for batch in batches(stream, TEXT_BYTES, 1):
             elements = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            of = pa.array(np.repeat(np.arange(len(elements)), [len(e) for e in elements]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(elements)), batch.column(0).take(of), batch.column(2).take(of)],
-                ["element", "class", "n"],
-            )
+            sizes = np.array([len(e) for e in elements])
+            of = pa.array(np.repeat(np.arange(len(elements)), sizes))
+            place = np.arange(sizes.sum()) - np.repeat(offsets_of(sizes)[:-1], sizes)
+            columns = [pa.array(np.concatenate(elements)), batch.column(0).take(of), batch.column(2).take(of)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place)], ["element", "class", "n", "place"])
 
-    lists = classes.select("class", "prefix", "n").mapInArrow(run, "element bigint, class bigint, n bigint")
+    lists = classes.select("class", "prefix", "n").mapInArrow(run, "element bigint, class bigint, n bigint, place bigint")
     several = lists.groupBy("element").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
     return keep(lists.join(several.select("element"), "element"), "lists")
 
@@ -231,17 +232,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
                                  F.col("p.part_of").alias("pivot_part"), F.col("p.n").alias("pivot_n"))
         else:
             others = open_lists.select("element", F.col("class").alias("pivot"), F.col("part_of").alias("pivot_part"),
-                                       F.col("n").alias("pivot_n"))
-            pairs = open_lists.join(others, "element").where("class < pivot")
+                                       F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"))
+            # Linked sets share no more than what follows the first element they share, so that one passes.
+            needed = f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
+            follows = f"class < pivot AND least(n - place, pivot_n - pivot_place) >= {needed}"
+            pairs = open_lists.join(others, "element").where(follows)
         allowed = f"part_of <> pivot_part AND 100 * least(n, pivot_n) >= {least} * greatest(n, pivot_n)"
-        pairs = pairs.where(allowed).groupBy("class", "pivot").agg(
-            F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n")
-        )
+        pairs = pairs.where(allowed).groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"))
         if number < PIVOT_ROUNDS:  # each class asks the pivot with which it shares most
             pairs = pairs.groupBy("class").agg(F.max_by("pivot", F.struct("shared", F.expr("-pivot"))).alias("pivot"))
-        else:  # both prefixes hold what is shared but for the rest of one of the sets
-            needed = f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
-            pairs = pairs.where(f"shared >= {needed} - (({least} * greatest(n, pivot_n) + 99) div 100 - 1)")
         found = answers(pairs.select("class", "pivot"), texts, n, least)
         links = keep(found if links is None else found.union(links), "links")
         components = keep(smallest_reachable(links), "components")
@@ -249,7 +248,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
             break
         open_lists = (
             lists.join(components.withColumnRenamed("id", "class"), "class", "left")
-            .select("element", "class", "n", F.coalesce("component", "class").alias("part_of"))
+            .select("element", "class", "n", "place", F.coalesce("component", "class").alias("part_of"))
         )
         several = open_lists.groupBy("element").agg(F.min("part_of").alias("a"), F.max("part_of").alias("b")).where("a < b")
         open_lists = keep(open_lists.join(several.select("element"), "element"), "lists")
