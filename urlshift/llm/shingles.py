@@ -67,16 +67,28 @@ class Shingler:
         fresh = list(known)[len(self.hashes) :]
         new = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), np.uint64, len(fresh))
         self.hashes = np.concatenate((self.hashes, new))
-        return [self.grams(self.hashes[c]) for c in coded]
-
-    def grams(self, words: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return words
-        size = min(self.n, len(words))
-        total = np.full(len(words) - size + 1, size, np.uint64)
-        for i in range(size):
-            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(total)])
-        return np.unique(total)
+        if not coded:
+            return []
+        # All windows of the batch at once; those that reach into the next text are left out.
+        words, starts = self.hashes[np.concatenate(coded)], offsets_of([len(c) for c in coded])
+        grams = gram_hashes(words, self.n) if len(words) >= self.n else words[:0]
+        sets = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            found = np.sort(grams[a : b - self.n + 1]) if b - a >= self.n else gram_hashes(words[a:b], b - a)
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+        return sets
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` words: their hashes times odd numbers, added and mixed."""
+    total = np.full(max(0, len(words) - size + 1) if size else 0, size, np.uint64)
+    factor = 1
+    for i in range(size):
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+        total += words[i : i + len(total)] * np.uint64(factor)
+    return mixed(total)
 
 
 def prefix_size(n: int, least: int) -> int:
@@ -109,11 +121,16 @@ def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
         shingle, late = Shingler(n), common.value
         for batch in batches(stream, TEXT_BYTES, 2):
             names, firsts, sizes = [], [], []
-            for elements in shingle(bytes_of(batch.column(2))):
+            sets = shingle(bytes_of(batch.column(2)))
+            every = np.concatenate(sets) if sets else late[:0]
+            at = np.searchsorted(late, every)
+            isin = late[np.minimum(at, len(late) - 1)] == every if len(late) else np.zeros(len(every), bool)
+            start = 0
+            for elements in sets:
+                is_late = isin[start : start + len(elements)]
+                start += len(elements)
                 names.append(int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "big", signed=True))
-                at = np.searchsorted(late, elements)
-                isin = late[np.minimum(at, len(late) - 1)] == elements if len(late) else np.zeros(len(elements), bool)
-                ordered = np.concatenate((elements[~isin], elements[isin]))
+                ordered = np.concatenate((elements[~is_late], elements[is_late]))
                 sizes.append(len(elements))
                 firsts.append(ordered[: prefix_size(len(elements), least)].tobytes() if len(elements) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.binary())]
