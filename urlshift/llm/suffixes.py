@@ -354,6 +354,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     whole = copies.where("n > 1").select("text_hash", F.lit(0).alias("low"), (F.col("bytes") - size).alias("high"))
     found = keep(anchored(rows, size), "anchors")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = keep(several, "several")  # both sides are then plain tables, whose skewed partitions Spark can split
     found = keep(found.join(several, "anchor"), "anchors")
     hashes = found.select("text_hash").distinct()
     texts = with_bitmap(rows, hashes).where("maybe").select("text_hash", "text")
