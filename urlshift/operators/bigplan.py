@@ -15,13 +15,14 @@ import zlib
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlshift.functions import count_occurrences
 from urlshift.operators import phpwalk
+from urlshift.operators.slicing import row_function
 from urlshift.session import keep
 
 # Functions of this module go to workers inside the query, so that they need no copy of the package.
@@ -60,6 +61,18 @@ class Hosts:
         return found
 
 
+class SharedHosts:
+    """Broadcast lengths and bitmap, made ``Hosts`` where they are used: workers need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, hosts: Hosts):
+        self.parts, self.hosts = spark.sparkContext.broadcast((hosts.lengths, hosts.pieces)), None
+
+    def __call__(self) -> Hosts:
+        if self.hosts is None:
+            self.hosts = Hosts(*self.parts.value)
+        return self.hosts
+
+
 def read_hosts(plan: DataFrame) -> Hosts:
     """Lengths and bitmap of the keys of a keyed plan: at most 4,096 rows of 4 KB and one number per length."""
     lengths = [r.n for r in plan.select(F.length("key").alias("n")).distinct().collect()]
@@ -86,13 +99,11 @@ class RowFold:
 
 def _asked(rows: DataFrame, shared, columns: Sequence[str]) -> DataFrame:
     """``(__row, key)``: what the texts of each row ask for."""
-    def ask(*texts: pd.Series) -> pd.Series:
-        hosts = shared.value
-        return pd.Series(
-            [sorted(set().union(*(hosts(t) for t in own if t is not None))) for own in zip(*texts, strict=True)], dtype=object
-        )
+    def ask(*own):
+        hosts = shared()
+        return sorted(set().union(*(hosts(t) for t in own if t is not None)))
 
-    named = F.pandas_udf(ask, "array<string>")(*(F.col(c) for c in columns))
+    named = row_function(ask, "array<string>", pa.list_(pa.string()))(*(F.col(c) for c in columns))
     return rows.select(ROW, named.alias("keys")).select(ROW, F.explode("keys").alias("key"))
 
 
@@ -106,22 +117,22 @@ def _steps(asked: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _folded(rows: DataFrame, columns: Sequence[str], shared, token: str | None, opening: str | None) -> DataFrame:
     """The rows with their steps applied, and the keys that came up on the way."""
-    texts = F.struct(*(F.col(c) for c in columns))
-    kind = "struct<" + ", ".join(f"`c{i}`: string" for i in range(len(columns))) + ", more: array<string>>"
-
-    def rewrite(texts: pd.DataFrame, steps: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        hosts, out = shared.value, []
-        for own, todo, known in zip(texts.itertuples(index=False), steps, keys, strict=True):
-            if todo is None:
-                out.append((*own, []))
-                continue
-            asked = set(known).union(*(hosts(t) for t in own if t is not None))
-            fold = RowFold(hosts, [(s["search"], s["new"]) for s in todo], asked)
-            one = fold if token is None else phpwalk.TextRewriter(fold, token, opening)
-            out.append((*(None if t is None else one(t) for t in own), sorted(fold.more)))
-        return pd.DataFrame(out, columns=[*(f"c{i}" for i in range(len(columns))), "more"])
-
-    done = F.pandas_udf(rewrite, kind)(texts, F.col(STEPS), F.col("__keys"))
+    names = [f"c{i}" for i in range(len(columns))]
+    returned = "struct<" + ", ".join(f"`{n}`: string" for n in names) + ", more: array<string>>"
+    kind = pa.struct([*((n, pa.string()) for n in names), ("more", pa.list_(pa.string()))])
+
+    def rewrite(todo, known, *own):
+        if todo is None:
+            return dict(zip(names, own, strict=True)) | {"more": []}
+        hosts = shared()
+        asked = set(known).union(*(hosts(t) for t in own if t is not None))
+        fold = RowFold(hosts, [(s["search"], s["new"]) for s in todo], asked)
+        one = fold if token is None else phpwalk.TextRewriter(fold, token, opening)
+        done = (None if t is None else one(t) for t in own)
+        return dict(zip(names, done, strict=True)) | {"more": sorted(fold.more)}
+
+    pairs = F.transform(STEPS, lambda s: F.struct(s["search"].alias("search"), s["new"].alias("new")))
+    done = row_function(rewrite, returned, kind)(pairs, F.col("__keys"), *(F.col(c) for c in columns))
     changed = rows.withColumn("__done", done)
     new = {c: F.col("__done")[f"c{i}"] for i, c in enumerate(columns)} | {MORE: F.col("__done")["more"]}
     return changed.withColumns(new).drop("__done", STEPS)
@@ -134,7 +145,7 @@ def apply_big_plan(
     if not columns:
         return df
     plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
-    shared = df.sparkSession.sparkContext.broadcast(read_hosts(plan))
+    shared = SharedHosts(df.sparkSession, read_hosts(plan))
     rows = keep(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     asked = keep(_asked(rows, shared, columns), "asked")
     done = []
@@ -155,7 +166,7 @@ def apply_big_plan(
 def big_hits(df: DataFrame, plan: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(key, column_name, seq, replacements)`` of a plan table of any size on unmodified data."""
     plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
-    shared = df.sparkSession.sparkContext.broadcast(read_hosts(plan))
+    shared = SharedHosts(df.sparkSession, read_hosts(plan))
     rows = keep(df.select(*key, *(c for c in columns if c not in key)).withColumn(ROW, F.monotonically_increasing_id()), "rows")
     steps = _steps(_asked(rows, shared, columns), plan)
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))

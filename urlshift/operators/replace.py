@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 from urlshift import fixed_values as fixed
 from urlshift.functions import count_occurrences
 from urlshift.operators import bigplan, matching
+from urlshift.operators.slicing import row_function, text_function
 from urlshift.session import keep
 
 NESTED_LIMIT = 8  # measured: above it the one-pass search is faster
 PLAN_LIMIT = 200_000
 
 HITS_TYPE = "array<struct<seq: bigint, replacements: bigint>>"
+HITS_KIND = pa.list_(pa.struct([("seq", pa.int64()), ("replacements", pa.int64())]))
 
 
 @dataclass(frozen=True)
@@ -126,13 +128,8 @@ def array_fold(text: Column, steps: Column) -> Column:
 
 
 def _matched_fold(text: Column, steps: Sequence[Step], boundary: bool) -> Column:
-    fold = matching.Folder([(s.search, s.replace) for s in steps], boundary)
-
-    # Series to series, not iterators: Spark then sends all columns of a table to Python together.
-    def rewrite(batch: pd.Series) -> pd.Series:
-        return batch.map(fold, na_action="ignore")
-
-    return F.pandas_udf(rewrite, T.StringType())(text)
+    # Arrays to arrays, not iterators: Spark then sends all columns of a table to Python together.
+    return text_function(matching.Folder([(s.search, s.replace) for s in steps], boundary))(text)
 
 
 def _strategy(steps: Sequence[Step], strategy: str) -> str:
@@ -224,11 +221,7 @@ def _hits(text: Column, steps: Sequence[Step]) -> Column:
         )
         return F.filter(counted, lambda hit: hit["replacements"] > 0)
     counter = matching.Counter([(s.seq, s.search) for s in steps])
-
-    def count(batch: pd.Series) -> pd.Series:
-        return batch.map(counter, na_action="ignore")
-
-    return F.pandas_udf(count, HITS_TYPE)(text)
+    return row_function(lambda text: None if text is None else counter(text), HITS_TYPE, HITS_KIND)(text)
 
 
 def pattern_hits(

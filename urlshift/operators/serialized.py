@@ -12,11 +12,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from urlshift.operators import bigplan, matching, phpwalk
 from urlshift.operators.replace import (
@@ -30,6 +29,7 @@ from urlshift.operators.replace import (
     text_columns,
     with_site_steps,
 )
+from urlshift.operators.slicing import row_function, text_function
 
 # Functions of this module go to workers inside the query, so that they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,11 +63,7 @@ def replace_serialized_column(text: Column, steps: Sequence[Step]) -> Column:
     if small:  # the JVM does all but the serialized values
         candidate = candidate & text.rlike(TOKEN)
     one = _any_text([(s.search, s.replace) for s in steps])
-
-    def rewrite(batch: pd.Series) -> pd.Series:
-        return batch.map(one, na_action="ignore")
-
-    done = F.pandas_udf(rewrite, T.StringType())(F.when(candidate, text))
+    done = text_function(one)(F.when(candidate, text))
     return F.when(candidate, done).otherwise(replace_column(text, steps) if small else text)
 
 
@@ -97,10 +93,7 @@ def apply_plan_by_site_serialized(
             known[pairs] = _any_text(pairs)
         return known[pairs](text)
 
-    def rewrite(texts: pd.Series, owns: pd.Series) -> pd.Series:
-        return pd.Series([one(text, own) for text, own in zip(texts, owns, strict=True)], dtype=object)
-
-    walk = F.pandas_udf(rewrite, T.StringType())
+    walk = row_function(one, "string", pa.string())
     steps = F.col("__steps")
     changed = {}
     for c in columns:
@@ -121,11 +114,11 @@ def broken_serialized(df: DataFrame, key: Sequence[str], columns: Sequence[str]
 
     walk = phpwalk.Rewriter(_small_fold([]))
 
-    def readable(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda text: walk(text) is not None and not walk.unread, na_action="ignore").astype("boolean")
+    def readable(text):
+        return None if text is None else walk(text) is not None and not walk.unread
 
     cells = df.select(
         *key,
         F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))).alias("c"),
     ).select(*key, "c.*")
-    return cells.where(F.col("text").rlike(OPENING)).where(~F.pandas_udf(readable, T.BooleanType())(F.col("text")))
+    return cells.where(F.col("text").rlike(OPENING)).where(~row_function(readable, "boolean", pa.bool_())(F.col("text")))
