@@ -86,3 +86,16 @@ def test_bitmap_lets_all_keys_through(spark):
     plan = bigplan.keyed(spark.createDataFrame([(i, 1, 1, f"//host-{i}.é", "x") for i in range(500)], PLAN))
     hosts = bigplan.read_hosts(plan)
     assert all(hosts(f"see http://host-{i}.é/x") >= {f"host-{i}.é"} for i in range(500))
+
+
+def test_rows_ask_only_for_keys_of_the_plan_however_full_the_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(bigplan, "BITS", 15)
+    monkeypatch.setattr(bigplan.Hosts, "known", lambda self, host: True)  # as full as it gets
+    plan = spark.createDataFrame([(i, 1, 1, f"//{'h' * (i % 9)}{i}.example", "//new.test") for i in range(1, 60)], PLAN)
+    rows = spark.createDataFrame([(1, r"//hhhh4.example/a //other.example/hhhhh \//h1.example é//hhh3.example.au"), (2, None)], "id bigint, body string")
+    rows = rows.withColumnRenamed("id", bigplan.ROW)
+    keyed = bigplan.keyed(plan)
+    asked, met = bigplan._asked(rows, keyed, bigplan.key_lengths(keyed), ["body"])
+    wanted = {"hhhh4.example", "h1.example", "hhh3.example"}
+    assert sorted((r[bigplan.ROW], r.key) for r in asked.collect()) == sorted((1, key) for key in wanted)
+    assert {r.key for r in met.collect()} == wanted

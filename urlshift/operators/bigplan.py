@@ -1,10 +1,10 @@
 """Plans of any size in one pass over the texts: each row meets only the steps that can touch it.
 
 The plan stays a table. Every search text starts with slashes and a host; the host is its key. A row gives up the hosts
-behind the slashes of its texts, cut to the lengths that keys have; a bitmap of fixed size lets through those that may
-be keys, and one join brings the row its steps, which are then folded in order. A replacement can make a host that a
-later step searches. The fold notices such hosts in every text in between; the few rows that have some ask again, for
-the new hosts only, and are folded anew from their first text, until nothing new comes up.
+behind the slashes of its texts; distinct hosts, cut to the lengths that keys have, meet the plan, and joins bring the row
+its steps, which are then folded in order. A replacement can make a host that a later step searches. The fold notices
+such hosts, by a bitmap of fixed size that lets through those that may be keys, in every text in between; the few rows
+that have some ask again, for the new hosts only, and are folded anew from their first text, until nothing new comes up.
 """
 
 from __future__ import annotations
@@ -73,9 +73,13 @@ class SharedHosts:
         return self.hosts
 
 
+def key_lengths(plan: DataFrame) -> list[int]:
+    return [r.n for r in plan.select(F.length("key").alias("n")).distinct().collect()]
+
+
 def read_hosts(plan: DataFrame) -> Hosts:
     """Lengths and bitmap of the keys of a keyed plan: at most 4,096 rows of 4 KB and one number per length."""
-    lengths = [r.n for r in plan.select(F.length("key").alias("n")).distinct().collect()]
+    lengths = key_lengths(plan)
     bit = F.crc32(F.col("key").cast("binary")) % (1 << BITS)
     pieces = plan.groupBy(F.shiftright(bit, 15).alias("piece")).agg(
         F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767).cast("bigint"))).alias("bits")
@@ -97,14 +101,21 @@ class RowFold:
         return text
 
 
-def _asked(rows: DataFrame, shared, columns: Sequence[str]) -> DataFrame:
-    """``(__row, key)``: what the texts of each row ask for."""
-    def ask(*own):
-        hosts = shared()
-        return sorted(set().union(*(hosts(t) for t in own if t is not None)))
+def _asked(rows: DataFrame, plan: DataFrame, lengths: Sequence[int], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``(__row, key)``, the keys that the texts of each row hold, and the steps of the plan with such a key.
 
-    named = row_function(ask, "array<string>", pa.list_(pa.string()))(*(F.col(c) for c in columns))
-    return rows.select(ROW, named.alias("keys")).select(ROW, F.explode("keys").alias("key"))
+    Distinct hosts are cut to the lengths of keys and meet the plan once, so that what a row asks for does not grow
+    with the plan.
+    """
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.array(*(F.coalesce(F.regexp_extract_all(c, F.lit(HOST), F.lit(1)), none) for c in columns)))
+    hosts = keep(rows.select(ROW, F.explode(F.array_distinct(found)).alias("host")), "hosts")
+    sizes = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
+    cuts = hosts.select("host").distinct().select("host", F.explode(F.filter(sizes, lambda n: n <= F.length("host"))).alias("n"))
+    cuts = cuts.select("host", F.substring(F.col("host"), F.lit(1), F.col("n")).alias("key"))
+    met = keep(plan.join(cuts.select("key").distinct(), "key", "left_semi"), "met")
+    held = cuts.join(met.select("key").distinct(), "key")
+    return hosts.join(held, "host").select(ROW, "key").distinct(), met
 
 
 def _steps(asked: DataFrame, plan: DataFrame) -> DataFrame:
@@ -145,11 +156,13 @@ def apply_big_plan(
     if not columns:
         return df
     plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
-    shared = SharedHosts(df.sparkSession, read_hosts(plan))
+    hosts = read_hosts(plan)
+    shared = SharedHosts(df.sparkSession, hosts)
     rows = keep(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    asked = keep(_asked(rows, shared, columns), "asked")
+    asked, met = _asked(rows, plan, hosts.lengths, columns)
+    asked = keep(asked, "asked")
     done = []
-    todo = rows.join(_steps(asked, plan), ROW, "left")
+    todo = rows.join(_steps(asked, met), ROW, "left")
     while True:
         folded = keep(_folded(todo, columns, shared, token, opening), "folded")
         done.append(folded.where(F.size(MORE) == 0).select(*df.columns))
@@ -166,9 +179,8 @@ def apply_big_plan(
 def big_hits(df: DataFrame, plan: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(key, column_name, seq, replacements)`` of a plan table of any size on unmodified data."""
     plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
-    shared = SharedHosts(df.sparkSession, read_hosts(plan))
     rows = keep(df.select(*key, *(c for c in columns if c not in key)).withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    steps = _steps(_asked(rows, shared, columns), plan)
+    steps = _steps(*_asked(rows, plan, key_lengths(plan), columns))
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))
     found = rows.join(steps, ROW).select(*key, STEPS, F.explode(cells).alias("cell")).select(*key, STEPS, "cell.*")
     counted = F.transform(
