@@ -123,3 +123,41 @@ def test_answer_decides_only_below_a_sure_share(spark):
     docs5 = spark.createDataFrame([(5, f"{prose(40)} {holed}. {words[28]} other. {prose(40)}")], table.schema)
     got = {(r.doc_id, r.item_id) for r in latent.leaks(table.union(docs5), bench).collect()}
     assert got == {(1, 7), (2, 7), (4, 7)}
+
+
+def test_words_of_all_texts_at_once_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(latent, "WORD_SLOTS", 8)  # most words meet another one in their slot
+    some = random.Random(3)
+    odd = [[None], ["", None, "a"], [" a\x00 \x00", "x" * 32 + "." + "z" * 33 + " " + "z" * 33, "İΣ ΑΣ", "ΑΣ", ""]]
+    odd += [["".join(some.choice("abc \n\x0b\x85 é.\x00\x1c") for _ in range(some.randint(0, 90))) for _ in range(9)] for _ in range(60)]
+    words = latent.Words()
+    for texts in odd:
+        each = [[latent.xxhash.xxh3_64_intdigest(w) for w in latent.words_of(t)] for t in texts]
+        hashes, starts = words(texts)
+        assert hashes.tolist() == sum(each, [])
+        assert np.diff(starts).tolist() == [len(e) for e in each]
+
+
+def test_sums_of_units_are_those_of_their_words():
+    some = np.random.default_rng(5)
+    table = some.integers(0, 9, (40, 3)).astype(np.float32)
+    for sizes in ([5], [16, 0, 16, 1], [40, 1, 59, 80], [200, 33]):
+        starts = latent.offsets_of(sizes)
+        term = some.integers(0, 40, starts[-1])
+        begin, of = latent.units(starts)
+        for size, sums in latent.window_sums(table, term, begin, of).items():
+            plain = [table[term[b : min(b + size * latent.UNIT, starts[t + 1])]].sum(0) for b, t in zip(begin, of, strict=True)]
+            assert sums.tolist() == [p.tolist() for p in plain]
+
+
+def test_a_batch_takes_few_steps(monkeypatch):
+    """Words are hashed once each, not once a place; before, each place of a word went through Python."""
+    calls = []
+    plain = latent.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(latent.xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or plain(w))
+    looked_up = latent.words_of
+    monkeypatch.setattr(latent, "words_of", lambda t: calls.append(t) or looked_up(t))
+    words = latent.Words()
+    words(["one two three " * 1000] * 3)
+    words(["two three"])
+    assert sorted(calls) == [b"one", b"three", b"two"]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlshift.llm.common import batches, by_value, offsets_of
+from urlshift.llm.common import batches, by_value, mixed, offsets_of
 
 UNIT = 16
 TERMS = 1 << 14
@@ -41,16 +41,14 @@ PREFIX = 3
 LEAST_WORDS = 6
 BLOCK = 500  # items searched together
 TEXT_BYTES = 4 << 20
-KNOWN_WORDS = 300_000
-CACHED = 1 << 11  # rows gathered at a time
+WORD_SLOTS = 1 << 20  # words whose hashes a task remembers
+KEYED = 32  # longer words are hashed each time
+PARTS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+SEEDS = mixed(np.arange(1, KEYED + 2))
+CACHED = 512  # rows gathered at a time
 MARKS = b""".,;:!?"()[]{}<>|*#&%$~=+_/\\-"""
 SEPARATORS = bytes.maketrans(MARKS, b" " * len(MARKS))
-
-
-class Numbering(dict):
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,35 +56,86 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Words:
-    """Hashes of the words of texts, remembering the words."""
+    """Hashes of the words of texts; those of words met before come from a table of fixed size.
+
+    Words are cut and looked up for all texts at once. The table holds, at a place given by a quick 64-bit key of a word,
+    that key and the word's hash. A word that is not there is hashed and takes the place; long ones are always hashed.
+    """
 
     def __init__(self):
-        self.known, self.hashes = Numbering(), np.zeros(0, np.uint64)
+        self.keys, self.hashes = np.zeros(WORD_SLOTS, np.uint64), np.zeros(WORD_SLOTS, np.uint64)
+        self.turns = np.zeros(WORD_SLOTS, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All words as hashes, and where each text begins."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.hashes = Numbering(), np.zeros(0, np.uint64)
-        coded = []
-        for text in texts:
-            words = words_of(text)
-            coded.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        fresh = list(self.known)[len(self.hashes) :]
-        new = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), np.uint64, len(fresh))
-        self.hashes = np.concatenate((self.hashes, new))
-        return self.hashes[np.concatenate(coded)] if coded else self.hashes[:0], offsets_of([len(c) for c in coded])
+        coded = [(text or "").lower().encode() for text in texts]
+        begins = offsets_of([len(t) + 1 for t in coded])
+        joined = b" ".join(coded).translate(SEPARATORS) + b" " * 8
+        data = np.frombuffer(joined, np.uint8)
+        inside = ~SPACE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate((np.zeros(int(inside[0]), np.int64), edges))  # a space comes last
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        keys = word_keys(data, start, size)
+        slots = (keys & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+        hashes = self.hashes[slots]
+        for one in np.flatnonzero(size > KEYED).tolist():
+            hashes[one] = xxhash.xxh3_64_intdigest(joined[start[one] : start[one] + size[one]])
+        left = np.flatnonzero((self.keys[slots] != keys) & (size <= KEYED))
+        while len(left):  # of the words that want a slot, one gets it in each round
+            place = slots[left]
+            self.turns[place] = left
+            one = left[self.turns[place] == left]
+            cuts = zip(start[one].tolist(), (start[one] + size[one]).tolist(), strict=True)
+            self.hashes[slots[one]] = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in cuts), np.uint64, len(one))
+            self.keys[slots[one]] = keys[one]
+            known = self.keys[place] == keys[left]
+            hashes[left[known]] = self.hashes[place[known]]
+            left = left[~known]
+        return hashes, np.searchsorted(start, begins)
+
+
+def word_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word of at most ``KEYED`` bytes, from its bytes by eights; 8 bytes must follow the last word."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    keys = mixed((eights[start] & PARTS[np.minimum(size, 8)]) ^ SEEDS[np.minimum(size, KEYED)])
+    some = np.flatnonzero(size > 8)
+    for at in range(8, KEYED, 8):
+        some = some[size[some] > at]
+        keys[some] = mixed(keys[some] ^ (eights[start[some] + at] & PARTS[np.minimum(size[some] - at, 8)]))
+    return keys
 
 
 def terms(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(TERMS - 1)).astype(np.int64)
 
 
-def units(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def units(starts: np.ndarray, size: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
     """Where each unit begins, and its text; the last unit of a text may be short."""
-    sizes = np.diff(starts)
-    n = -(-sizes // UNIT)
-    of = np.repeat(np.arange(len(sizes)), n)
-    return starts[of] + UNIT * (np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)), of
+    n = -(-np.diff(starts) // size)
+    of = np.repeat(np.arange(len(n)), n)
+    return starts[of] + size * (np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)), of
+
+
+def rows_of(values: np.ndarray, begin: np.ndarray, width: int, none: int) -> np.ndarray:
+    """Values cut where units begin, a unit a row; ``none`` fills up short ones."""
+    end = np.append(begin[1:], len(values))
+    rows = values[np.minimum(begin[:, None] + np.arange(width), len(values) - 1)]
+    short = np.flatnonzero(end - begin < width)
+    rows[short] = np.where(np.arange(width) < (end - begin)[short, None], rows[short], values.dtype.type(none))
+    return rows
+
+
+def gathered_sums(table: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """For each row of places the sum of the table's rows there, in ``out``; as many at a time as stay in the cache."""
+    columns = np.ascontiguousarray(rows.T)
+    buffer = np.empty((CACHED, table.shape[1]), table.dtype)
+    for a in range(0, len(rows), CACHED):
+        own = out[a : a + CACHED]
+        np.take(table, columns[0, a : a + CACHED], 0, own, "clip")
+        for column in columns[1:, a : a + CACHED]:
+            own += np.take(table, column, 0, buffer[: len(own)], "clip")
+    return out
 
 
 def coalesced(docs: DataFrame) -> DataFrame:
@@ -102,13 +151,13 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         words, counts = Words(), np.zeros(TERMS + 1, np.int64)
         for batch in batches(stream, TEXT_BYTES, 0):
             hashes, starts = words(batch.column(0).to_pylist())
-            sizes = np.diff(starts)
-            n = -(-sizes // (4 * UNIT))
-            inside = np.arange(len(hashes)) - np.repeat(starts[:-1], sizes)
-            passage = np.repeat(offsets_of(n)[:-1], sizes) + inside // (4 * UNIT)
-            pairs = np.unique(passage * TERMS + terms(hashes))
-            counts[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
-            counts[TERMS] += n.sum()
+            if not len(hashes):
+                continue
+            passages = np.sort(rows_of(terms(hashes).astype(np.uint16), units(starts, 4 * UNIT)[0], 4 * UNIT, TERMS), 1)
+            first = passages != TERMS
+            first[:, 1:] &= passages[:, 1:] != passages[:, :-1]
+            counts[:TERMS] += np.bincount(passages[first], minlength=TERMS)
+            counts[TERMS] += len(passages)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
 
@@ -121,15 +170,17 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def window_sums(table: np.ndarray, term: np.ndarray, begin: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
     """Sums of the terms' rows over each window of 2 and of 4 units that begins at a unit; cut at the text's end."""
-    single = np.zeros((len(begin), table.shape[1]), np.float32)
-    for a in range(0, len(begin), 128):  # as few rows of the table at a time as stay in the cache
-        b = min(a + 128, len(begin))
-        stop = begin[b] if b < len(begin) else len(term)
-        single[a:b] = np.add.reduceat(table[term[begin[a] : stop]], begin[a:b] - begin[a], axis=0)
-    two = single.copy()
-    two[:-1] += np.where((of[1:] == of[:-1])[:, None], single[1:], 0)
-    four = two.copy()
-    four[:-2] += np.where((of[2:] == of[:-2])[:, None], two[2:], 0)
+    padded = np.concatenate((table, np.zeros((1, table.shape[1]), np.float32)))
+    rows = rows_of(term, begin, UNIT, len(table))
+    two = gathered_sums(padded, rows, np.empty((len(begin), table.shape[1]), np.float32))
+    four = two.copy()  # as yet the sums of single units
+    last = np.flatnonzero(np.append(of[1:] != of[:-1], True))
+    two[:-1] += four[1:]
+    two[last] = four[last]
+    four[:] = two
+    four[:-2] += two[2:]
+    short = np.flatnonzero(np.append(of[2:] != of[:-2], np.ones(min(2, len(of)), bool)))
+    four[short] = two[short]
     return {2: two, 4: four}
 
 
@@ -152,15 +203,14 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
             sketch = window_sums(table, term, begin, of)[4]
             square = np.add.reduceat(weight[term] ** 2, begin)
             sketch /= np.sqrt(np.maximum(square + np.append(square[1:], 0) + 1e-9, 1e-9))[:, None]
-            # Back: each term of a unit gets the sketch of the passage that begins there.
+            # Back: each term of a unit gets the sketch of the passage that begins there; sums of up to UNIT places first.
             order = np.argsort(term.astype(np.uint16), kind="stable")
             unit = np.repeat(np.arange(len(begin)), sizes)[order]
-            ordered = term[order]
-            for a in range(0, len(ordered), CACHED):
-                part = ordered[a : a + CACHED]
-                cut = np.flatnonzero(np.concatenate(([True], np.diff(part) != 0)))
-                sums = np.add.reduceat(sketch[unit[a : a + CACHED]], cut, axis=0)
-                total[part[cut]] += sums * weight[part[cut]][:, None]
+            first, of_term = units(offsets_of(np.bincount(term, minlength=TERMS)))
+            sketch = np.concatenate((sketch, np.zeros((1, width), np.float32)))
+            sums = gathered_sums(sketch, rows_of(unit, first, UNIT, len(begin)), np.empty((len(first), width), np.float32))
+            cut = np.flatnonzero(np.diff(of_term, prepend=-1))
+            total[of_term[cut]] += np.add.reduceat(sums, cut, axis=0) * weight[of_term[cut]][:, None]
         at = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, j]) for j in range(width))], names)
 
@@ -203,9 +253,16 @@ class Items:
         self.words = [words([t])[0] for _, t in rows]
         self.answers = [words([answer_of(t)])[0] for _, t in rows]
         self.known = np.unique(np.concatenate(self.words)) if rows else np.zeros(0, np.uint64)
+        self.places = [np.searchsorted(self.known, item) for item in self.words]
         self.member = np.zeros((len(rows), len(self.known) + 1), bool)  # the last column is for all other words
-        for number, item in enumerate(self.words):
-            self.member[number, np.searchsorted(self.known, item)] = True
+        for number, places in enumerate(self.places):
+            self.member[number, places] = True
+        self.maybe = np.zeros(1 << 22, bool)  # by the lowest bits: false where no known word has them
+        self.maybe[self.known & np.uint64(len(self.maybe) - 1)] = True
+        self.joined = {
+            name: (np.concatenate(lists) if rows else self.known, offsets_of([len(x) for x in lists]))
+            for name, lists in (("words", self.words), ("answers", self.answers), ("places", self.places))
+        }
         self.rare = self.rarest(idf, lcs)
         self.parts = {2: ([], []), 4: ([], [])}
         for number, item in enumerate(self.words):
@@ -246,13 +303,21 @@ class Items:
         """How far the words around a window go beyond it on both sides."""
         return np.maximum([len(x) for x in self.words], UNIT)
 
-    def rows(self, which: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The chosen lists as rows of one array, with their sizes."""
-        sizes = np.array([len(lists[i]) for i in which], np.int64)
-        out = np.zeros((len(which), sizes.max(initial=1)), np.uint64)
-        for row, i in enumerate(which):
-            out[row, : sizes[row]] = lists[i]
-        return out, sizes
+    def spots(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word among the known ones, and one behind them for all others."""
+        spot = np.full(len(hashes), len(self.known), np.int32)
+        some = np.flatnonzero(self.maybe[(hashes & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.known, hashes[some])
+        spot[some] = np.where(self.known[np.minimum(at, len(self.known) - 1)] == hashes[some], at, len(self.known))
+        return spot
+
+    def rows(self, which: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen items' words, answers or places as rows of one array, with their sizes."""
+        values, starts = self.joined[name]
+        sizes = np.diff(starts)[which]
+        column = np.arange(sizes.max(initial=1))
+        at = np.minimum(starts[which][:, None] + column, len(values) - 1)
+        return np.where(column < sizes[:, None], values[at], values.dtype.type(0)), sizes
 
 
 def answer_of(text: str) -> str:
@@ -296,8 +361,7 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
     if not items.words:
         return []
     begin, of = units(starts)
-    spot = np.searchsorted(items.known, hashes)
-    spot = np.where(items.known[np.minimum(spot, len(items.known) - 1)] == hashes, spot, len(items.known)).astype(np.int32)
+    spot = items.spots(hashes)
     unit, which = windows_with_rare_words(items, spot, starts, begin, of)
     wide = len(items.words)
     found = [unit * wide + which]
@@ -330,9 +394,12 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
         high = np.minimum(starts[of[u] + 1], begin[u] + 4 * UNIT + reach[w])
         place = np.minimum(low[:, None] + np.arange((high - low).max())[None, :], len(hashes) - 1)
         near, sizes = hashes[place], high - low
-        item, item_sizes = items.rows(w, items.words)
+        item, item_sizes = items.rows(w, "words")
         # Nor is it longer than the count of the item's words that occur there.
-        there = (item[:, :, None] == np.where(np.arange(near.shape[1]) < sizes[:, None], near, 0)[:, None, :]).any(2)
+        there = np.zeros((len(u), len(items.known) + 1), bool)
+        inside = np.arange(near.shape[1]) < sizes[:, None]
+        there[np.nonzero(inside)[0], spot[place[inside]]] = True
+        there = np.take_along_axis(there, items.rows(w, "places")[0], 1)
         there &= np.arange(item.shape[1]) < item_sizes[:, None]
         some = np.flatnonzero(there.sum(1) >= lcs_least * item_sizes)
         u, w, near, sizes, item, item_sizes = (x[some] for x in (u, w, near, sizes, item, item_sizes))
@@ -341,7 +408,7 @@ def leaks_in_batch(items: Items, table: np.ndarray, hashes: np.ndarray, starts:
         share = common_subsequences(item, item_sizes, near, sizes) / item_sizes
         good = np.flatnonzero(share >= lcs_least)
         if len(good):
-            answer, answer_sizes = items.rows(w[good], items.answers)
+            answer, answer_sizes = items.rows(w[good], "answers")
             part = common_subsequences(answer, answer_sizes, near[good], sizes[good]) / np.maximum(answer_sizes, 1)
             cos = items.cosines(sums, u, w)
             for g, p in zip(good.tolist(), part.tolist(), strict=True):
