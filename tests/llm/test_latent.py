@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from urlshift.llm import latent
+from urlshift.llm import common, latent
 
 SOME = random.Random(4)
 VOCABULARY = ["".join(SOME.choice("abcdefghij") for _ in range(SOME.randint(3, 8))) for _ in range(900)]
@@ -126,13 +126,13 @@ def test_answer_decides_only_below_a_sure_share(spark):
 
 
 def test_words_of_all_texts_at_once_are_those_of_each(monkeypatch):
-    monkeypatch.setattr(latent, "WORD_SLOTS", 8)  # most words meet another one in their slot
+    monkeypatch.setattr(common, "WORD_SLOTS", 8)  # most words meet another one in their slot
     some = random.Random(3)
     odd = [[None], ["", None, "a"], [" a\x00 \x00", "x" * 32 + "." + "z" * 33 + " " + "z" * 33, "İΣ ΑΣ", "ΑΣ", ""]]
     odd += [["".join(some.choice("abc \n\x0b\x85 é.\x00\x1c") for _ in range(some.randint(0, 90))) for _ in range(9)] for _ in range(60)]
     words = latent.Words()
     for texts in odd:
-        each = [[latent.xxhash.xxh3_64_intdigest(w) for w in latent.words_of(t)] for t in texts]
+        each = [[common.xxhash.xxh3_64_intdigest(w) for w in latent.words_of(t)] for t in texts]
         hashes, starts = words(texts)
         assert hashes.tolist() == sum(each, [])
         assert np.diff(starts).tolist() == [len(e) for e in each]
@@ -153,8 +153,8 @@ def test_sums_of_units_are_those_of_their_words():
 def test_a_batch_takes_few_steps(monkeypatch):
     """Words are hashed once each, not once a place; before, each place of a word went through Python."""
     calls = []
-    plain = latent.xxhash.xxh3_64_intdigest
-    monkeypatch.setattr(latent.xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or plain(w))
+    plain = common.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(common.xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or plain(w))
     looked_up = latent.words_of
     monkeypatch.setattr(latent, "words_of", lambda t: calls.append(t) or looked_up(t))
     words = latent.Words()

@@ -1,9 +1,11 @@
 """Substring dedup against a table of all windows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from urlshift.llm import suffixes
@@ -64,3 +66,15 @@ def test_suffix_order():
 
 def test_empty_table(spark):
     assert suffixes.dedup_substrings(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_memory_of_a_chunk_is_bounded():
+    some = np.random.default_rng(8)
+    rows = pa.RecordBatch.from_pydict({"text_hash": [*range(600)], "text": [some.bytes(10_000) for _ in range(600)]})
+    peak = 0
+    for batch in suffixes.batches([rows], suffixes.TEXT_BYTES, 1):
+        tracemalloc.start()
+        suffixes.segments(suffixes.bytes_of(batch.column(1)), 400)
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak < 64 << 20

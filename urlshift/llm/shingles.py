@@ -31,46 +31,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlshift.llm.common import batches, by_value, bytes_of, keep, mixed, offsets_of
+from urlshift.llm.common import WordHashes, batches, by_value, bytes_of, keep, mixed, offsets_of
 from urlshift.llm.components import smallest_reachable
 
 PIVOT_ROUNDS = 2
 TEXT_BYTES = 8 << 20
-KNOWN_WORDS = 500_000
+PART_BYTES = 1 << 20  # of texts or prefixes worked on together where rows do not meet
 COMMON = 4  # documents of a batch that hold an element: then it may come late in the order
 LATE = 1 << 16  # elements that come late; which ones only changes the speed
 SLOTS = 1 << 20  # bits of the filter on texts
 ASKED = 256  # classes that ask one pivot together
 
 
-class Numbering(dict):
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
-
-
 class Shingler:
     """Sets of texts as sorted arrays of 64-bit hashes."""
 
     def __init__(self, n: int):
         self.n = n
-        self.words, self.hashes = Numbering(), np.zeros(0, np.uint64)
+        self.hashed = WordHashes()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) > KNOWN_WORDS:
-            self.words, self.hashes = Numbering(), np.zeros(0, np.uint64)
-        known = self.words
-        coded = []
-        for text in texts:
-            words = text.lower().split()  # ASCII letters only; cuts at 0x20 and 0x09-0x0D
-            coded.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        fresh = list(known)[len(self.hashes) :]
-        new = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), np.uint64, len(fresh))
-        self.hashes = np.concatenate((self.hashes, new))
-        if not coded:
+        if not texts:
             return []
         # All windows of the batch at once; those that reach into the next text are left out.
-        words, starts = self.hashes[np.concatenate(coded)], offsets_of([len(c) for c in coded])
+        words, starts = self.hashed([text.lower() for text in texts])  # ASCII letters only
         grams = gram_hashes(words, self.n) if len(words) >= self.n else words[:0]
         sets = []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -119,7 +103,7 @@ def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
 
     def run(stream):
         shingle, late = Shingler(n), common.value
-        for batch in batches(stream, TEXT_BYTES, 2):
+        for batch in batches(stream, PART_BYTES, 2):
             names, firsts, sizes = [], [], []
             sets = shingle(bytes_of(batch.column(2)))
             every = np.concatenate(sets) if sets else late[:0]
@@ -149,7 +133,7 @@ def shared_lists(sets: DataFrame) -> DataFrame:
     classes = sets.where("prefix IS NOT NULL").groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
 
     def run(stream):
-        for batch in batches(stream, TEXT_BYTES, 1):
+        for batch in batches(stream, PART_BYTES, 1):
             elements = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(e) for e in elements])
             of = pa.array(np.repeat(np.arange(len(elements)), sizes))
