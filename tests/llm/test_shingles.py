@@ -68,3 +68,35 @@ def test_reaching_is_the_definition():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert shingles.jaccard_components(docs).collect() == []
+
+
+def test_sketches_bound_what_sets_do_not_share():
+    some = np.random.default_rng(2)
+    sets = [np.unique(some.integers(0, 1 << 63, k).astype(np.uint64)) * np.uint64(2) for k in (1, 3, 40, 400)]
+    sets += [np.sort(np.concatenate((sets[-1][:k], sets[2]))) for k in (100, 390, 399)] + [sets[0][:0]]
+    rows = shingles.sketches(np.concatenate(sets), [len(s) for s in sets]).to_pylist()
+    for a, x in zip(sets, rows, strict=True):
+        for b, y in zip(sets, rows, strict=True):
+            differ = sum(((x[c] ^ y[c]) & (1 << 64) - 1).bit_count() for c in shingles.CELLS)
+            assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2
+    assert sum(((rows[3][c] ^ rows[2][c]) & (1 << 64) - 1).bit_count() for c in shingles.CELLS) > 100
+
+
+def test_texts_that_share_a_passage_are_not_asked(spark, monkeypatch):
+    asked = []
+
+    def counted(df, name):
+        if name == "questions":
+            asked.append(df.count())
+        return keep(df, name)
+
+    keep = shingles.keep
+    monkeypatch.setattr(shingles, "keep", counted)
+    monkeypatch.setattr(shingles, "COMMON", 1_000)  # the passage stays in the prefixes
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(100))) for i in range(60)]
+    rows += [(100, rows[7][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in shingles.jaccard_components(docs, 4, 85).collect()}
+    assert got == {i: i for i in range(60)} | {100: 7}
+    assert sum(asked) < 10

@@ -13,6 +13,11 @@ and places of a shared prefix element, allow a link: all that linked sets share
 in the order, so that one of them stands early enough in both sets. So a group of m near copies costs about m questions a
 round, not m * m, and no link between different components is lost.
 
+Each class has a sketch: its elements are dealt by hash to ``PARITIES`` cells, of which each keeps whether it got an odd
+number. A cell can only differ between two sets if an element that one of them lacks fell into it, so that the number of
+cells that differ is at most the number of such elements. Pairs with more of them than a link allows are not linked and
+not asked; the sketch never decides that two sets are linked. Texts are read for the classes of the other pairs alone.
+
 Questions of one class are answered together by DivideSkip: the elements of the asking set that occur in most of the
 asked sets form long lists, the others short ones. Short lists are merged by counting; only sets that reach the required
 overlap less the number of long lists are probed for each long list by binary search; those that reach the required
@@ -41,6 +46,7 @@ COMMON = 4  # documents of a batch that hold an element: then it may come late i
 LATE = 1 << 16  # elements that come late; which ones only changes the speed
 SLOTS = 1 << 20  # bits of the filter on texts
 ASKED = 256  # classes that ask one pivot together
+PARITIES = 512  # cells of a sketch, a power of two; about half of them differ between sets that have little in common
 
 
 class Shingler:
@@ -80,6 +86,30 @@ def prefix_size(n: int, least: int) -> int:
     return n - -(-least * n // 100) + 1
 
 
+def sketches(elements: np.ndarray, sizes: list[int]) -> pa.StructArray:
+    """Per set (of so many elements each, one behind the other) the parities of its cells, 64 to a number."""
+    cell = (elements >> np.uint64(65 - PARITIES.bit_length())).astype(np.int64)
+    cell += np.repeat(np.arange(len(sizes)) * PARITIES, sizes)
+    odd = np.bincount(cell, minlength=len(sizes) * PARITIES) & 1
+    numbers = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), len(CELLS))
+    return pa.StructArray.from_arrays([pa.array(x) for x in numbers.T], CELLS)
+
+
+CELLS = [f"s{i}" for i in range(PARITIES // 64)]
+SKETCH = "struct<" + ", ".join(f"{c}: bigint" for c in CELLS) + ">"
+
+
+def may_link(least: int) -> str:
+    """Can sets of n and pivot_n elements with these sketches be linked? As SQL."""
+    differ = " + ".join(f"bit_count(sketch.{c} ^ pivot_sketch.{c})" for c in CELLS)
+    return f"{differ} <= n + pivot_n - 2 * ({needed_overlap(least)})"
+
+
+def needed_overlap(least: int) -> str:
+    """How many elements linked sets of n and pivot_n have in common at least. As SQL."""
+    return f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
+
+
 def common_elements(docs: DataFrame, n: int) -> np.ndarray:
     """At most ``LATE`` elements that most documents hold, sorted. Counts cover all texts."""
 
@@ -98,7 +128,7 @@ def common_elements(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """(doc_id, text_hash, n, class, prefix): size, identity and first elements of each document's set."""
+    """(doc_id, text_hash, n, class, prefix, sketch): size, identity, first elements and sketch of each document's set."""
     common = docs.sparkSession.sparkContext.broadcast(common_elements(docs, n))
 
     def run(stream):
@@ -118,14 +148,15 @@ def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
                 sizes.append(len(elements))
                 firsts.append(ordered[: prefix_size(len(elements), least)].tobytes() if len(elements) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.binary())]
+            columns.append(sketches(every, sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], NAMES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].cast("string"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, class bigint, prefix binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, class bigint, prefix binary, sketch {SKETCH}")
 
 
-NAMES = ["doc_id", "text_hash", "n", "class", "prefix"]
+NAMES = ["doc_id", "text_hash", "n", "class", "prefix", "sketch"]
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
@@ -146,14 +177,15 @@ def shared_lists(sets: DataFrame) -> DataFrame:
     return keep(lists.join(several.select("element"), "element"), "lists")
 
 
-def texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(text_hash, text), once each, of the texts with these hashes.
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, text): a text for each class, from a table (class, text_hash).
 
-    A bitmap of fixed size goes to all tasks first, so that few other texts are shuffled to the exact join.
+    A bitmap of fixed size goes to all tasks first, so that few other texts are shuffled to the exact join. That join is
+    not a semi join, which Spark would move before the bitmap.
     """
     slot = F.pmod(F.xxhash64("text_hash", F.lit(7)), F.lit(SLOTS))
     cells = (
-        hashes.withColumn("slot", slot)
+        classes.withColumn("slot", slot)
         .select(F.expr("slot div 64").alias("cell"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("bit"))
         .groupBy("cell")
         .agg(F.bit_or("bit").alias("bits"))
@@ -162,8 +194,8 @@ def texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     rows = rows.withColumn("slot", slot).withColumn("cell", F.expr("slot div 64"))
     # SLOTS / 64 rows at most
     rows = rows.join(F.broadcast(cells), "cell").where("(shiftrightunsigned(bits, CAST(slot % 64 AS INT)) & 1) = 1")
-    wanted = hashes.select("text_hash").distinct()
-    return rows.select("text_hash", "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    rows = rows.select("text_hash", "text").join(classes.select("class", "text_hash"), "text_hash")
+    return rows.dropDuplicates(["text_hash", "class"]).select("class", "text")
 
 
 def reaching(asked: np.ndarray, sets: list[np.ndarray], least: int) -> np.ndarray:
@@ -191,25 +223,40 @@ def reaching(asked: np.ndarray, sets: list[np.ndarray], least: int) -> np.ndarra
     return hopeful[counts[hopeful] >= needed[hopeful]]
 
 
-def answers(questions: DataFrame, texts: DataFrame, n: int, least: int) -> DataFrame:
-    """(class, pivot) of the questions whose sets are linked. A pivot's questions are dealt out over several tasks."""
+def answers(questions: DataFrame, docs: DataFrame, classes: DataFrame, n: int, least: int) -> DataFrame:
+    """(class, pivot) of the questions whose sets are linked. A pivot's questions are dealt out over several tasks.
+
+    ``classes`` has the hash of a text of each class.
+    """
     groups = questions.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"))
     dealt = questions.join(groups, "pivot").select(
         "class", "pivot", F.expr(f"pmod(xxhash64(class, 3), ceil(many / {ASKED}))").alias("part")
     )
     dealt = keep(dealt, "questions")
     pivots = dealt.select("pivot", "part").distinct().select(F.col("pivot").alias("class"), "pivot", "part")
-    rows = dealt.select("class", "pivot", "part").union(pivots).join(texts, "class")
+    both = dealt.select("class", "pivot", "part").union(pivots)
+    asked = keep(classes.select("class", "text_hash").join(both.select("class").distinct(), "class"), "asked")
+    # Several pivots that get few questions are answered together.
+    several = max(1, -(-dealt.count() // ASKED))
+    rows = both.join(texts_of(docs, asked), "class").withColumn("deal", F.expr(f"pmod(xxhash64(pivot, part), {several})"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, pivot = table.column("class").to_numpy(), table.column("pivot")[0].as_py()
-        sets = Shingler(n)(bytes_of(table.column("text").combine_chunks()))
-        own = int(np.flatnonzero(ids == pivot)[0])
-        others = np.flatnonzero(ids != pivot)
-        linked = others[reaching(sets[own], [sets[i] for i in others], least)] if len(others) else others
-        return pa.table({"class": ids[linked], "pivot": np.full(len(linked), pivot)})
-
-    return rows.groupBy("pivot", "part").applyInArrow(run, "class bigint, pivot bigint")
+        ids, pivot, part = (table.column(c).to_numpy() for c in ("class", "pivot", "part"))
+        shingle, sets = Shingler(n), []
+        for batch in batches(table.select(["text"]).combine_chunks().to_batches(), PART_BYTES, 0):
+            sets += shingle(bytes_of(batch.column(0)))
+        linked = [np.zeros(0, np.int64)]
+        order = np.lexsort((part, pivot))
+        new = (np.diff(pivot[order]) != 0) | (np.diff(part[order]) != 0)
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            others = rows[ids[rows] != pivot[rows]]
+            if len(others):
+                own = int(rows[ids[rows] == pivot[rows]][0])
+                linked.append(others[reaching(sets[own], [sets[i] for i in others], least)])
+        linked = np.concatenate(linked)
+        return pa.table({"class": ids[linked], "pivot": pivot[linked]})
+
+    return rows.groupBy("deal").applyInArrow(run, "class bigint, pivot bigint")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
@@ -220,9 +267,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
     sets = keep(document_sets(docs, n, least), "sets")
     lists = shared_lists(sets)
     in_lists = lists.select("class").distinct()
-    hashes = sets.join(in_lists, "class", "left_semi").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
-    hashes = keep(hashes, "classes")
-    texts = keep(texts_of(docs, hashes).join(hashes, "text_hash").select("class", "text"), "texts")
+    first = F.min_by(F.struct("text_hash", "sketch"), "text_hash").alias("one")
+    classes = sets.join(in_lists, "class", "left_semi").groupBy("class").agg(first).select("class", "one.*")
+    classes = keep(classes, "classes")
+    sketch = classes.select("class", "sketch")
+    pivot_sketch = classes.select(F.col("class").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
     open_lists, links = lists.withColumn("part_of", F.col("class")), None
     components = None
     for number in range(PIVOT_ROUNDS + 1):
@@ -232,17 +281,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
             pairs = asked.select("class", "part_of", "n", F.col("p.class").alias("pivot"),
                                  F.col("p.part_of").alias("pivot_part"), F.col("p.n").alias("pivot_n"))
         else:
-            others = open_lists.select("element", F.col("class").alias("pivot"), F.col("part_of").alias("pivot_part"),
-                                       F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"))
+            # Sketches go with the lists, so that a list doesn't become all pairs of its classes.
+            sketched = open_lists.join(sketch, "class")
+            others = sketched.select("element", F.col("class").alias("pivot"), F.col("part_of").alias("pivot_part"),
+                                     F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"),
+                                     F.col("sketch").alias("pivot_sketch"))
             # Linked sets share no more than what follows the first element they share, so that one passes.
-            needed = f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
-            follows = f"class < pivot AND least(n - place, pivot_n - pivot_place) >= {needed}"
-            pairs = open_lists.join(others, "element").where(follows)
+            follows = f"class < pivot AND least(n - place, pivot_n - pivot_place) >= {needed_overlap(least)}"
+            pairs = sketched.join(others, "element").where(f"{follows} AND {may_link(least)}")
         allowed = f"part_of <> pivot_part AND 100 * least(n, pivot_n) >= {least} * greatest(n, pivot_n)"
-        pairs = pairs.where(allowed).groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = pairs.where(allowed)
         if number < PIVOT_ROUNDS:  # each class asks the pivot with which it shares most
-            pairs = pairs.groupBy("class").agg(F.max_by("pivot", F.struct("shared", F.expr("-pivot"))).alias("pivot"))
-        found = answers(pairs.select("class", "pivot"), texts, n, least)
+            pairs = pairs.groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"),
+                                                        F.first("pivot_n").alias("pivot_n"))
+            best = F.max_by(F.struct("pivot", "n", "pivot_n"), F.struct("shared", F.expr("-pivot"))).alias("best")
+            pairs = pairs.groupBy("class").agg(best).select("class", "best.*")
+            pairs = pairs.join(sketch, "class").join(pivot_sketch, "pivot").where(may_link(least))
+        found = answers(pairs.select("class", "pivot").distinct(), docs, classes, n, least)
         links = keep(found if links is None else found.union(links), "links")
         components = keep(smallest_reachable(links), "components")
         if number == PIVOT_ROUNDS:
