@@ -100,3 +100,42 @@ def test_texts_that_share_a_passage_are_not_asked(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in shingles.jaccard_components(docs, 4, 85).collect()}
     assert got == {i: i for i in range(60)} | {100: 7}
     assert sum(asked) < 10
+
+
+def test_long_texts_that_share_a_passage_are_not_asked(spark, monkeypatch):
+    asked = []
+
+    def counted(df, name):
+        if name == "questions":
+            asked.append(df.count())
+        return keep(df, name)
+
+    keep = shingles.keep
+    monkeypatch.setattr(shingles, "keep", counted)
+    monkeypatch.setattr(shingles, "COMMON", 1_000)  # the passage stays in the prefixes
+    passage = " ".join(f"p{i}" for i in range(500))  # sketches of so many elements do not tell such texts apart
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(1_600))) for i in range(30)]
+    rows += [(100, rows[7][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in shingles.jaccard_components(docs, 4, 85).collect()}
+    assert got == {i: i for i in range(30)} | {100: 7}
+    assert sum(asked) < 90  # 30 texts make 435 pairs
+
+
+@pytest.mark.parametrize("least", [50, 80, 85])
+def test_sets_of_other_sizes_without_pivots(spark, monkeypatch, least):
+    monkeypatch.setattr(shingles, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(shingles, "TEXT_BYTES", 3_000)
+    some = random.Random(least)
+    rows = []
+    for family in range(6):
+        base = [f"{family}b{i}" for i in range(some.randint(20, 120))]
+        shared = [f"s{i}" for i in range(some.randint(5, 40))]
+        for _ in range(8):
+            cut = some.randint(0, len(base) // 3)
+            text = base[cut:] + shared[: some.randint(0, len(shared))] + [f"own{len(rows)}x{i}" for i in range(some.randint(0, 12))]
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in shingles.jaccard_components(docs, 3, least).collect())
+    assert got == brute(rows, 3, least)
+    assert len({part for _, _, part in got}) < len(rows)

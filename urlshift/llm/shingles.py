@@ -6,12 +6,14 @@ Jaccard similarity of at least ``least`` share one of the first ``n - ceil(least
 documents of a batch hold put last, so that common passages bring few classes together.
 
 Linking goes in rounds over the lists of classes that share a prefix element. In a round the smallest class of each list
-is its pivot (in the next round the largest), and every other class asks the pivot with which it shares most elements
-whether they are linked. What is linked becomes one component; a list whose classes all lie in one component is done.
+is its pivot (in the next round another one in each list), and every other class asks, of the pivots it may be linked with, the one with
+which it shares most elements. What is linked becomes one component; a list whose classes all lie in one component is done.
 After ``PIVOT_ROUNDS`` rounds those pairs of classes are asked that still lie in different components and whose sizes,
 and places of a shared prefix element, allow a link: all that linked sets share begins with the first element they share
-in the order, so that one of them stands early enough in both sets. So a group of m near copies costs about m questions a
-round, not m * m, and no link between different components is lost.
+in the order, so that one of them stands early enough in both sets. Of two sets the one whose prefix ends first in the order
+shares no element of its prefix that is in no open list: the other one's prefix would hold that element, too. So texts with
+long passages of their own meet few others. A group of m near copies costs about m questions a round, not m * m, and no
+link between different components is lost.
 
 Each class has a sketch: its elements are dealt by hash to ``PARITIES`` cells, of which each keeps whether it got an odd
 number. A cell can only differ between two sets if an element that one of them lacks fell into it, so that the number of
@@ -33,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlshift.llm.common import WordHashes, batches, by_value, bytes_of, keep, mixed, offsets_of
@@ -45,6 +47,7 @@ PART_BYTES = 1 << 20  # of texts or prefixes worked on together where rows do no
 COMMON = 4  # documents of a batch that hold an element: then it may come late in the order
 LATE = 1 << 16  # elements that come late; which ones only changes the speed
 SLOTS = 1 << 20  # bits of the filter on texts
+BEFORE = ["before_a", "before_b"]
 ASKED = 256  # classes that ask one pivot together
 PARITIES = 512  # cells of a sketch, a power of two; about half of them differ between sets that have little in common
 
@@ -110,6 +113,18 @@ def needed_overlap(least: int) -> str:
     return f"({least} * (n + pivot_n) + {99 + least}) div {100 + least}"
 
 
+def first_shared(least: int) -> str:
+    """Can linked sets first share this element, at these places of theirs? As SQL.
+
+    Sets with an equal one of ``BEFORE``, the smallest of the open elements before it (as numbers, and hashed one to one),
+    share that one already and meet in its list.
+    ``reach`` is the most a set can share from this place on with sets whose prefix ends later in the order.
+    """
+    most = "CASE WHEN last < pivot_last THEN least(reach, pivot_n - pivot_place) "
+    most += "WHEN last > pivot_last THEN least(n - place, pivot_reach) ELSE least(n - place, pivot_n - pivot_place) END"
+    return " AND ".join([f"{most} >= {needed_overlap(least)}", *(f"NOT coalesce({c} = pivot_{c}, false)" for c in BEFORE)])
+
+
 def common_elements(docs: DataFrame, n: int) -> np.ndarray:
     """At most ``LATE`` elements that most documents hold, sorted. Counts cover all texts."""
 
@@ -124,17 +139,20 @@ def common_elements(docs: DataFrame, n: int) -> np.ndarray:
 
     counted = docs.select(docs["text"].cast("string")).mapInArrow(run, "element bigint, n bigint")
     top = counted.groupBy("element").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "element").limit(LATE)
-    return np.sort(np.array([r.element for r in top.collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("element").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """(doc_id, text_hash, n, class, prefix, sketch): size, identity, first elements and sketch of each document's set."""
+    """(doc_id, text_hash, n, class, prefix, last, sketch): size, identity, first elements and sketch of each document's set.
+
+    ``last`` says where in the order the prefix ends; the lowest bit of the element is lost.
+    """
     common = docs.sparkSession.sparkContext.broadcast(common_elements(docs, n))
 
     def run(stream):
         shingle, late = Shingler(n), common.value
         for batch in batches(stream, PART_BYTES, 2):
-            names, firsts, sizes = [], [], []
+            names, firsts, lasts, sizes = [], [], [], []
             sets = shingle(bytes_of(batch.column(2)))
             every = np.concatenate(sets) if sets else late[:0]
             at = np.searchsorted(late, every)
@@ -146,17 +164,21 @@ def document_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
                 names.append(int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "big", signed=True))
                 ordered = np.concatenate((elements[~is_late], elements[is_late]))
                 sizes.append(len(elements))
-                firsts.append(ordered[: prefix_size(len(elements), least)].tobytes() if len(elements) else None)
+                first = ordered[: prefix_size(len(elements), least)]
+                firsts.append(first.tobytes() if len(elements) else None)
+                early = len(first) <= len(elements) - np.count_nonzero(is_late)
+                lasts.append((int(first[-1]) >> 1) - (early << 63) if len(elements) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.binary())]
-            columns.append(sketches(every, sizes))
+            columns += [pa.array(lasts, pa.int64()), sketches(every, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], NAMES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].cast("string"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, class bigint, prefix binary, sketch {SKETCH}")
+    schema = f"doc_id {kind}, text_hash bigint, n bigint, class bigint, prefix binary, last bigint, sketch {SKETCH}"
+    return rows.mapInArrow(run, schema)
 
 
-NAMES = ["doc_id", "text_hash", "n", "class", "prefix", "sketch"]
+NAMES = ["doc_id", "text_hash", "n", "class", "prefix", "last", "sketch"]
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
@@ -267,7 +289,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
     sets = keep(document_sets(docs, n, least), "sets")
     lists = shared_lists(sets)
     in_lists = lists.select("class").distinct()
-    first = F.min_by(F.struct("text_hash", "sketch"), "text_hash").alias("one")
+    first = F.min_by(F.struct("text_hash", "last", "sketch"), "text_hash").alias("one")
     classes = sets.join(in_lists, "class", "left_semi").groupBy("class").agg(first).select("class", "one.*")
     classes = keep(classes, "classes")
     sketch = classes.select("class", "sketch")
@@ -276,27 +298,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80) -> DataFram
     components = None
     for number in range(PIVOT_ROUNDS + 1):
         if number < PIVOT_ROUNDS:
-            pick = (F.max if number % 2 else F.min)(F.struct("class", "part_of", "n"))
+            order = F.xxhash64("class", "element") if number % 2 else F.col("class")
+            pick = F.min_by(F.struct("class", "part_of", "n"), F.struct(order, "class"))
             asked = open_lists.join(open_lists.groupBy("element").agg(pick.alias("p")), "element")
             pairs = asked.select("class", "part_of", "n", F.col("p.class").alias("pivot"),
                                  F.col("p.part_of").alias("pivot_part"), F.col("p.n").alias("pivot_n"))
         else:
             # Sketches go with the lists, so that a list doesn't become all pairs of its classes.
-            sketched = open_lists.join(sketch, "class")
+            after = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("place")))  # open elements from here on
+            reach = after + F.expr(f"({least} * n + 99) div 100 - 1")  # and all behind the prefix
+            before = {c: F.min(h).over(Window.partitionBy("class").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+                      for c, h in zip(BEFORE, (F.col("element"), F.xxhash64("element")), strict=True)}
+            sketched = open_lists.withColumns({"reach": reach, **before}).join(classes.select("class", "last", "sketch"), "class")
             others = sketched.select("element", F.col("class").alias("pivot"), F.col("part_of").alias("pivot_part"),
-                                     F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"),
-                                     F.col("sketch").alias("pivot_sketch"))
-            # Linked sets share no more than what follows the first element they share, so that one passes.
-            follows = f"class < pivot AND least(n - place, pivot_n - pivot_place) >= {needed_overlap(least)}"
-            pairs = sketched.join(others, "element").where(f"{follows} AND {may_link(least)}")
+                                     *(F.col(c).alias(f"pivot_{c}") for c in ("n", "place", "reach", "last", "sketch", *BEFORE)))
+            pairs = sketched.join(others, "element").where(f"class < pivot AND {first_shared(least)} AND {may_link(least)}")
         allowed = f"part_of <> pivot_part AND 100 * least(n, pivot_n) >= {least} * greatest(n, pivot_n)"
         pairs = pairs.where(allowed)
-        if number < PIVOT_ROUNDS:  # each class asks the pivot with which it shares most
+        if number < PIVOT_ROUNDS:  # each class asks, of the pivots it may be linked with, the one with which it shares most
             pairs = pairs.groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"),
                                                         F.first("pivot_n").alias("pivot_n"))
-            best = F.max_by(F.struct("pivot", "n", "pivot_n"), F.struct("shared", F.expr("-pivot"))).alias("best")
-            pairs = pairs.groupBy("class").agg(best).select("class", "best.*")
             pairs = pairs.join(sketch, "class").join(pivot_sketch, "pivot").where(may_link(least))
+            best = F.max_by("pivot", F.struct("shared", F.expr("-pivot"))).alias("pivot")
+            pairs = pairs.groupBy("class").agg(best)
         found = answers(pairs.select("class", "pivot").distinct(), docs, classes, n, least)
         links = keep(found if links is None else found.union(links), "links")
         components = keep(smallest_reachable(links), "components")
