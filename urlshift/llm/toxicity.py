@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from urlshift.llm.common import batches, by_value, bytes_of, offsets_of
+from urlshift.llm.common import batches, by_value, bytes_of, give_back, offsets_of
 from urlshift.llm.labelled import Adam, Sample, drawn, labelled_sample, sigmoid
 
 WORDS = 1 << 13  # rows of the word table
@@ -235,6 +235,7 @@ def fit(sample: Sample, seed: int = 5) -> dict[str, np.ndarray]:
         most = np.maximum.reduceat(logits, first)
         chosen = np.array([np.flatnonzero((of == i) & (logits == most[i]))[0] for i in range(len(rows))])
         adam.step(gradients(weights, coded, chosen, sample.labels[rows]))
+    give_back()  # the driver goes on for long
     return weights | {"offset": np.float32(sample.odds - np.log(ones / zeros))}
 
 
