@@ -4,7 +4,9 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from urlshift.llm import ctw
@@ -152,3 +154,34 @@ def test_full_scores_of_an_empty_table_and_without_training_rows(spark):
     assert ctw.full_scores(docs.limit(0), training_row("doc_id", 5, 1)).collect() == []
     (row,) = ctw.full_scores(docs, training_row("doc_id", 1, 0)).collect()
     assert row.score == pytest.approx(6 * 8 * math.log10(0.5))
+
+
+def stored(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+
+
+def test_disk_of_full_scores_is_below_twice_the_texts(spark, tmp_path, monkeypatch):
+    """Kept tables and shuffle files together; code lengths take 5 bytes, and grams go once."""
+    some = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + x) for x in some.integers(0, 26, n)) for n in some.integers(2, 9, 3000)])
+    texts = [" ".join(words[np.minimum(some.zipf(1.3, 200) - 1, 2999)]) for _ in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr("urlshift.session.shared_folder", lambda _: str(tmp_path))
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before = sum(map(stored, local))
+    n = ctw.full_scores(docs, training_row("doc_id", 5, 1)).where("score < 0").count()
+    assert n == len(texts)
+    taken = stored(tmp_path) + sum(map(stored, local)) - before
+    assert taken < 2 * sum(map(len, texts)), taken / sum(map(len, texts))
+
+
+def test_chunks_of_any_size_give_the_same_scores(spark, monkeypatch):
+    """Batches are put together, texts above the size of a chunk stay whole, and pieces hold whole buckets."""
+    docs = spark.createDataFrame([(i, f"Wörter {i} " * (i % 7) + "ab\tcd " * 30) for i in range(60)], "doc_id bigint, text string").coalesce(2)
+    train = training_row("doc_id", 5, 1)
+    whole = sorted(map(tuple, ctw.full_scores(docs, train).collect()))
+    for size, piece in ((40, 64), (2000, 1000)):
+        monkeypatch.setattr(ctw, "FULL_BYTES", size)
+        monkeypatch.setattr(ctw, "PIECE", piece)
+        for a, b in zip(sorted(map(tuple, ctw.full_scores(docs, train).collect())), whole, strict=True):
+            assert a == pytest.approx(b, rel=1e-8)
