@@ -63,3 +63,24 @@ def test_one_group_of_near_copies(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = vectors.near_vectors(frame).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(299, 0)} and sum(r.kept for r in got) == 1
+
+
+def test_a_dense_group_in_bounded_steps(spark, monkeypatch):
+    """Links join the forest a few at a time, and parts are dealt over pairs."""
+    monkeypatch.setattr(vectors, "PENDING", 50)
+    monkeypatch.setattr(vectors, "CELLS", 900)
+    monkeypatch.setattr(vectors, "PART", 70)
+    some = np.random.default_rng(6)
+    base = some.normal(size=32)
+    rows = [(i, (base + some.normal(size=32) * 0.33).tolist()) for i in range(200)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, x int")
+    got = Counter(tuple(r) for r in vectors.near_vectors(frame, LEAST).collect())
+    assert got == brute(rows)
+
+
+def test_each_vector_goes_to_each_part_once(spark):
+    """Not once for each of its subspaces and cells (time and shuffle of large tables)."""
+    assert vectors.parts_for({64: 600_000, 4096: 5_000}, 12) == {64: 6, 4096: 3}
+    frame = spark.createDataFrame([(i, 1, [float(i), 1.0]) for i in range(30)], "class bigint, n bigint, vector array<float>")
+    rows = vectors.routed(frame, {2: 3}).groupBy("class").count().collect()
+    assert {r["count"] for r in rows} == {3} and len(rows) == 30

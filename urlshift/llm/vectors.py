@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by a pigeonhole over subspaces.
+"""Near-duplicate vectors by a bound in a subspace, then exactly.
 
 Vectors become unit vectors and are turned by a fixed random rotation; the coordinates are split into blocks of about
-``BLOCK``. Two unit vectors with cosine c differ by 2 - 2c in squared length, so in at least one block they differ by no
-more than that block's share of it. Each block is a range join: a grid over its first two coordinates with cells as wide
-as the block's reach; a vector is at home in its cell and visits those later cells that lie within reach. Candidates are
-then compared exactly, in double precision, and a pair counts in the first block that finds it.
+``BLOCK``, and half of the blocks are a subspace. Two unit vectors with cosine c differ by 2 - 2c in squared length, and in
+a subspace by no more. All pairs meet in matrix products over the subspace, in single precision with a margin for its
+rounding; the few small matrices in which a pair passes are done over all coordinates, and pairs too close to the limit
+are compared in double precision.
 
-Equal vectors are collapsed into one class with a count before that. A crowded cell is split into parts, and each part
-visits the later ones, so that no task holds more than about ``PART`` vectors at home. Tasks return, per vector, how
-many it is linked with, and a spanning forest of the links found, never all pairs.
+Equal vectors are collapsed into one class with a count before that. Classes are dealt into parts of at most ``PART``
+vectors or ``NUMBERS`` coordinates, and a task has one pair of parts. Tasks return, per vector, how
+many it is linked with, and a spanning forest of the links found, never all pairs. The products grow with the square of the
+vectors; the memory of a task does not.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
 different lengths; rows without an id neither; each is a component of its own (null where the id is). Repeated rows are
@@ -17,53 +18,48 @@ vectors of their own. An empty table gives an empty one; other columns are left
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlshift.llm.common import by_value, keep, mixed
+from urlshift.llm.common import by_value, keep, partitions_for
 from urlshift.llm.components import smallest_reachable
 
 BLOCK = 8
-PART = 20_000
-CELLS = 1 << 20  # numbers in one matrix of distances
-ROWS = 2_000  # vectors routed together
+PART = 100_000  # vectors in a part at most
+NUMBERS = 1 << 23  # coordinates in a part at most
+FEW = 10_000  # vectors in a part at least, where there are more tasks than pairs of parts
+CELLS = 1 << 19  # numbers in one matrix of products
+PENDING = 1 << 18  # links that wait to join the forest
 SLACK = 1e-9
 SEED = 20_240_601
 
 
 class Blocks:
-    """The rotation for vectors of one length, and the blocks with their reach (squared)."""
+    """The rotation for vectors of one length, and where its blocks begin."""
 
     def __init__(self, size: int, least: float):
         q, r = np.linalg.qr(np.random.default_rng(SEED + size).normal(size=(size, size)))
         self.turn = q * np.sign(np.diag(r))
         n = max(1, round(size / BLOCK))
         self.cuts = [size * i // n for i in range(n + 1)]
-        self.reach = [(2 - 2 * least + SLACK) * (b - a) / size for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-
-    def __len__(self):
-        return len(self.reach)
+        self.margin = 1.2e-7 * (size + 8)  # more than single precision loses in a product of unit vectors
+        self.least = least
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
-        return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.turn
-
-    def part(self, turned: np.ndarray, block: int) -> np.ndarray:
-        return turned[:, self.cuts[block] : self.cuts[block + 1]]
+        return vectors @ self.turn
 
-    def cells(self, turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of each vector, and its place within the cell in units of the cell's width."""
-        two = self.part(turned, block)[:, :2] / np.sqrt(self.reach[block])
-        if two.shape[1] < 2:
-            two = np.column_stack((two, np.zeros(len(two))))
-        cell = np.floor(two).astype(np.int64)
-        return cell, two - cell
+    def subspace(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in the first half of the blocks, and two more: minus half the square of their length, and 1.
 
-    def within(self, x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
-        """Do these pairs differ by no more than the block's share? Same answer in every task."""
-        gap = self.part(x, block) - self.part(y, block)
-        return np.einsum("ij,ij->i", gap, gap) <= self.reach[block]
+        The product with the second form, in which these two are swapped, is minus half the squared difference.
+        """
+        some = turned[:, : self.cuts[len(self.cuts) // 2]]
+        half, one = -0.5 * np.einsum("ij,ij->i", some, some), np.ones(len(some))
+        return tuple(np.column_stack((some, *two)).astype(np.float32) for two in ((half, one), (one, half)))
 
 
 def usable(vector: Column) -> Column:
@@ -73,89 +69,20 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(big, lambda x: x != 0), F.lit(False))
 
 
-LATER = ((0, 1), (1, -1), (1, 0), (1, 1))
-
-
-def visited(spot: np.ndarray, step: tuple[int, int]) -> np.ndarray:
-    """Which vectors, by their place in the cell, reach the cell that lies this step away."""
-    gap = np.zeros(len(spot))
-    for axis, move in enumerate(step):
-        gap += {0: 0.0, 1: 1 - spot[:, axis], -1: spot[:, axis]}[move] ** 2
-    return gap <= 1 + SLACK
-
-
-def cell_key(size: int, block: int, cell: np.ndarray) -> np.ndarray:
-    """One number for vector length, block and cell."""
-    start = np.uint64((size << 20) ^ block)
-    first = mixed(cell[:, 0].astype(np.uint64) + start * np.uint64(0x9E3779B97F4A7C15))
-    return mixed(first + cell[:, 1].astype(np.uint64)).view(np.int64)
-
-
-def grouped_by_size(batch: pa.RecordBatch):
-    """Rows of a batch (class, n, vector) by the vectors' length: places and a matrix."""
-    vectors = batch.column(2)
-    sizes = np.asarray(vectors.value_lengths())
-    for size in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == size)
-        yield size, at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
-
-
-def homes(classes: DataFrame, least: float) -> DataFrame:
-    """(key, n): how many classes are at home in each cell; the number of cells depends on the vectors' length alone."""
-
-    def run(stream):
-        for batch in stream:
-            for size, _, matrix in grouped_by_size(batch):
-                blocks = Blocks(size, least)
-                turned = blocks.turned(matrix)
-                keys = np.concatenate([cell_key(size, b, blocks.cells(turned, b)[0]) for b in range(len(blocks))])
-                found, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
-
-    return classes.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def routed(classes: DataFrame, least: float, parts: dict[int, int]) -> DataFrame:
-    """A row for each cell part in which a class is at home or visits: (key, part, block, home, class, n, vector)."""
-
-    def run(stream):
-        for batch in (b.slice(i, ROWS) for b in stream for i in range(0, b.num_rows, ROWS)):
-            ids = batch.column(0).to_numpy()
-            for size, at, matrix in grouped_by_size(batch):
-                blocks = Blocks(size, least)
-                turned, own, of = blocks.turned(matrix), mixed(ids[at].view(np.uint64)), batch.take(pa.array(at))
-                rows, keys, part, home, block = [], [], [], [], []
-
-                def put(who, key, which, is_home, b, rows=rows, keys=keys, part=part, home=home, block=block):
-                    rows.append(who), keys.append(key), part.append(which)
-                    home.append(np.full(len(who), is_home)), block.append(np.full(len(who), b, np.int32))
-
-                for b in range(len(blocks)):
-                    cell, spot = blocks.cells(turned, b)
-                    key = cell_key(size, b, cell)
-                    n = np.array([parts.get(k, 1) for k in key.tolist()])
-                    mine = (own % n.astype(np.uint64)).astype(np.int64)
-                    put(np.arange(len(at)), key, mine, True, b)
-                    for later in range(1, n.max(initial=1)):
-                        who = np.flatnonzero((mine < later) & (later < n))
-                        put(who, key[who], np.full(len(who), later), False, b)
-                    for step in LATER:
-                        who = np.flatnonzero(visited(spot, step))
-                        there = cell_key(size, b, cell[who] + step)
-                        n = np.array([parts.get(k, 0) for k in there.tolist()], np.int64)
-                        for later in range(n.max(initial=0)):
-                            some = later < n
-                            put(who[some], there[some], np.full(some.sum(), later), False, b)
-                rows = pa.array(np.concatenate(rows))
-                columns = [pa.array(np.concatenate(x)) for x in (keys, part, block, home)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, *of.take(rows).columns], ["key", "part", "block", "home", "class", "n", "vector"]
-                )
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    return classes.mapInArrow(
-        run, f"key bigint, part bigint, block int, home boolean, class bigint, n bigint, vector {kind}"
-    )
+def routed(classes: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """A row for each pair of parts (size, first, second) that a class is in: its own ``part``, class, n, vector.
+
+    ``parts`` has the number of parts for each length of vectors.
+    """
+    spark = classes.sparkSession
+    counts = F.broadcast(spark.createDataFrame(list(parts.items()), "size int, parts int"))
+    tiles = sum(p * (p + 1) // 2 for p in parts.values())
+    rows = classes.withColumn("size", F.size("vector")).join(counts, "size")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("size", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "class", "n", "vector")
+    # Some more tasks than pairs of parts, so that few get two.
+    return rows.repartition(max(1, 4 * min(tiles, partitions_for(classes))), "size", "first", "second")
 
 
 def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,40 +101,71 @@ def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_in_cell(table: pa.Table, least: float) -> pa.Table:
-    """Rows (class, linked): sums of links, and rows (class, other): a spanning forest, of one part of a cell."""
-    order = np.argsort(~table.column("home").to_numpy(), kind="stable")
-    n_home = int(table.column("home").to_numpy().sum())
-    table = table.take(pa.array(order))
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; zeros where a length is no number that divides."""
+    found = np.empty(vectors.shape, np.float32)
+    with np.errstate(all="ignore"):
+        for at in range(0, len(vectors), 4096):
+            some = vectors[at : at + 4096].astype(np.float64)
+            some /= np.linalg.norm(some, axis=1, keepdims=True)
+            found[at : at + 4096] = np.where(np.isfinite(some).all(1, keepdims=True), some, 0)
+    return found
+
+
+def are_links(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Exactly, in double precision."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    with np.errstate(all="ignore"):
+        return np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= least
+
+
+def links_between(table: pa.Table, least: float) -> pa.Table:
+    """Rows (class, linked): sums of links, and rows (class, other): a spanning forest, of one pair of parts."""
+    part, first, second = (table.column(name).to_numpy() for name in ("part", "first", "second"))
+    order = np.argsort(part, kind="stable")
+    n_first, same = int((part == first[0]).sum()), bool(first[0] == second[0])
+    table = table.take(pa.array(order)).combine_chunks()
     ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-    vectors = table.column("vector").combine_chunks()
-    matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-    blocks, block = Blocks(matrix.shape[1], least), table.column("block")[0].as_py() if len(ids) else 0
-    turned, norm = blocks.turned(matrix), np.linalg.norm(matrix, axis=1)
-    here = blocks.part(turned, block)
-    square = np.einsum("ij,ij->i", here, here)
-    firsts, seconds = [], []
-    step = max(1, CELLS // max(1, len(ids)))
-    for start in range(0, n_home, step):
-        stop = min(start + step, n_home)
-        gap = square[start:stop, None] + square[None, start:] - 2 * here[start:stop] @ here[start:].T
-        a, b = np.nonzero(gap <= blocks.reach[block] + SLACK)
-        a, b = a + start, b + start
-        a, b = a[a < b], b[a < b]  # a row meets itself and earlier rows of the slice too
-        cosine = np.einsum("ij,ij->i", matrix[a], matrix[b]) / (norm[a] * norm[b])
-        a, b = a[cosine >= least], b[cosine >= least]
-        # The same order of the two rows in every task, so that each block gives one answer.
-        swap = ids[a] > ids[b]
-        x, y = turned[np.where(swap, b, a)], turned[np.where(swap, a, b)]
-        good = blocks.within(x, y, block)
-        for earlier in range(block):
-            good &= ~blocks.within(x, y, earlier)
-        firsts.append(a[good]), seconds.append(b[good])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
-    linked = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
-    some = np.flatnonzero(linked)
-    label = smallest_labels(len(ids), a, b)
-    leaf = np.flatnonzero(label != np.arange(len(ids)))
+    matrix = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    blocks, unit = Blocks(matrix.shape[1], least), units(matrix)
+    near, far = blocks.subspace(blocks.turned(unit))
+    limit = np.float32(least - 1 - 2 * blocks.margin)  # minus half the squared difference
+    begin = 0 if same else n_first
+    columns = max(1, int((2 * CELLS) ** 0.5))
+    rows = max(1, CELLS // columns)
+    linked, label = np.zeros(len(ids)), np.arange(len(ids))
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> np.ndarray:
+        leaf = np.flatnonzero(label != np.arange(len(ids)))
+        a, b = (np.concatenate(x) for x in zip((leaf, label[leaf]), *pending, strict=True))
+        pending.clear()
+        return smallest_labels(len(ids), a, b)
+
+    for i in range(0, n_first, rows):
+        j_first = begin + (i // columns * columns if same else 0)
+        for j in range(j_first, len(ids), columns):
+            i_end, j_end = min(i + rows, n_first), j + columns
+            if (near[i:i_end] @ far[j:j_end].T).max(initial=-2) < limit:
+                continue
+            cosine = unit[i:i_end] @ unit[j:j_end].T
+            a, b = np.nonzero(cosine >= least - blocks.margin)
+            unsure = np.flatnonzero(cosine[a, b] < least + blocks.margin)
+            a, b = a + i, b + j
+            good = a < b if same else np.ones(len(a), bool)
+            unsure = unsure[good[unsure]]
+            for at in range(0, len(unsure), 1 << 14):
+                some = unsure[at : at + (1 << 14)]
+                good[some] = are_links(matrix[a[some]], matrix[b[some]], least)
+            a, b = a[good], b[good]
+            linked += np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids)) if len(a) else 0
+            new = label[a] != label[b]
+            if new.any():
+                pending.append((a[new], b[new]))
+                if sum(len(x) for x, _ in pending) > PENDING:
+                    label = joined()
+    label = joined()
+    some, leaf = np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(ids)))
     other = np.concatenate((np.zeros(len(some), np.int64), ids[label[leaf]]))
     missing = np.arange(len(other)) < len(some)
     return pa.table(
@@ -219,6 +177,12 @@ def links_in_cell(table: pa.Table, least: float) -> pa.Table:
     )
 
 
+def parts_for(sizes: dict[int, int], tasks: int) -> dict[int, int]:
+    """Into how many parts the vectors of each length (and their number) go."""
+    most = {size: max(1, min(PART, NUMBERS // size)) for size in sizes}
+    return {size: max(-(-n // most[size]), min(-(-n // FEW), math.isqrt(tasks) + 1)) for size, n in sizes.items()}
+
+
 def near_vectors(
     table: DataFrame, least: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding"
 ) -> DataFrame:
@@ -233,10 +197,10 @@ def near_vectors(
     )
     classes = keep(classes, "classes")
     plain = classes.select("class", "n", "vector")
-    # One row a cell: a number that the vectors' length and the reach bound.
-    parts = {r.key: -(-r.n // PART) for r in homes(plain, least).toLocalIterator()}
-    found = routed(plain, least, parts).groupBy("key", "part").applyInArrow(
-        lambda group: links_in_cell(group, least), "class bigint, linked bigint, other bigint"
+    sizes = plain.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("many"))
+    parts = parts_for({r["size"]: r.many for r in sizes.collect()}, partitions_for(plain))
+    found = routed(plain, parts).groupBy("size", "first", "second").applyInArrow(
+        lambda group: links_between(group, least), "class bigint, linked bigint, other bigint"
     )
     found = keep(found, "links")
     counts = found.where("other IS NULL").groupBy("class").agg(F.sum("linked").alias("linked"))
