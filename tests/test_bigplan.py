@@ -99,3 +99,49 @@ def test_rows_ask_only_for_keys_of_the_plan_however_full_the_bitmap(spark, monke
     wanted = {"hhhh4.example", "h1.example", "hhh3.example"}
     assert sorted((r[bigplan.ROW], r.key) for r in asked.collect()) == sorted((1, key) for key in wanted)
     assert {r.key for r in met.collect()} == wanted
+
+
+def test_a_large_plan_is_neither_sorted_nor_read_again_for_later_rounds(spark, monkeypatch):
+    """The plan's source is read for its size and for the stored copy; rounds look up keys that came up, not the old ones."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(rep.plan_slices, "__defaults__", (4,))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    looked_up, before = [], bigplan.steps_met
+
+    def steps_met(plan, keys):
+        looked_up.append({r.key for r in keys.collect()})
+        return before(plan, keys)
+
+    monkeypatch.setattr(bigplan, "steps_met", steps_met)
+    steps = [(i, 1, 1, f"//h{i}.example", f"//h{i + 1}.example") for i in range(12)] + [(100 + i, 1, 1, f"//other{i}.example", "//x") for i in range(200)]
+    plan = spark.createDataFrame(steps, PLAN).repartition(4).withColumn("search", seen("search"))
+    df = spark.createDataFrame([(1, "http://h0.example/ http://other7.example"), (2, "no address"), (3, None)], "i int, t string")
+    got = {r.i: r.t for r in rep.apply_plan(df, plan).collect()}
+    assert got == {1: "http://h12.example/ http:" + "//x", 2: "no address", 3: None}
+    assert read.value <= 2 * len(steps)  # one sort alone reads it twice, and it was read again after that
+    assert len(looked_up) > 1
+    assert all(not a & b for i, a in enumerate(looked_up) for b in looked_up[:i])
+
+
+def test_plan_in_order_whatever_the_order_of_its_rows(spark):
+    rows = [(2, None, 1, "//b", "//c"), (1, 2, 2, "//x", "//a"), (1, 2, 1, "//y", "//b"), (1, None, 1, "//z", "//d")]
+    steps = rep.small_plan(spark.createDataFrame(rows, PLAN).repartition(3))
+    assert [s.search for s in steps] == ["//z", "//y", "//x", "//b"]
+    assert rep.small_plan(spark.createDataFrame([], PLAN)) == []
+
+
+def test_without_a_bitmap_the_same(spark, monkeypatch):
+    monkeypatch.setattr(rep.plan_slices, "__defaults__", (4,))
+    monkeypatch.setattr(bigplan, "FULL", 0)
+    plan = [(i, 1, 1, f"//h{i}.com", f"//h{i + 1}.com") for i in range(8)]
+    texts = ["http://h0.com.au/x //h5.com", "//none.example", "plain", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.t for r in rep.apply_plan(df, spark.createDataFrame(plan, PLAN)).collect()}
+    assert got == {i: None if t is None else folded(t, plan) for i, t in enumerate(texts)}

@@ -30,6 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HOST = r"""[\\/]+([^\\/?#"'<> \t\n\r\f\x0B]+)"""
 BITS = 27  # of the bitmap of keys: 16 MB whatever the plan
+FULL = 2  # steps for each bit from which on the bitmap tells nothing
 ROW, STEPS, MORE = "__row", "__steps", "__more"
 
 
@@ -38,14 +39,21 @@ def keyed(plan: DataFrame) -> DataFrame:
     return plan.withColumn("key", F.regexp_extract("search", "^" + HOST, 1))
 
 
+def stored(plan: DataFrame) -> DataFrame:
+    """The keyed plan, written once."""
+    return plan if "key" in plan.columns else keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
+
+
 class Hosts:
     """The keys that a text may hold."""
 
-    def __init__(self, lengths: Sequence[int], pieces: dict[int, bytes]):
+    def __init__(self, lengths: Sequence[int], pieces: dict[int, bytes] | None):
         self.lengths, self.pieces = sorted(lengths), pieces
         self.pattern = re.compile(HOST)
 
     def known(self, host: str) -> bool:
+        if self.pieces is None:
+            return True
         bit = zlib.crc32(host.encode("utf-8", "replace")) % (1 << BITS)
         piece = self.pieces.get(bit >> 15)
         return bool(piece) and bool(piece[(bit & 32767) >> 3] >> (bit & 7) & 1)
@@ -78,8 +86,13 @@ def key_lengths(plan: DataFrame) -> list[int]:
 
 
 def read_hosts(plan: DataFrame) -> Hosts:
-    """Lengths and bitmap of the keys of a keyed plan: at most 4,096 rows of 4 KB and one number per length."""
+    """Lengths and bitmap of the keys of a stored, keyed plan: at most 4,096 rows of 4 KB and one number per length.
+
+    So many steps that they would set nearly all bits get no bitmap: any key may then be one, and the lookup decides.
+    """
     lengths = key_lengths(plan)
+    if plan.count() > FULL << BITS:
+        return Hosts(lengths, None)
     bit = F.crc32(F.col("key").cast("binary")) % (1 << BITS)
     pieces = plan.groupBy(F.shiftright(bit, 15).alias("piece")).agg(
         F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767).cast("bigint"))).alias("bits")
@@ -113,11 +126,16 @@ def _asked(rows: DataFrame, plan: DataFrame, lengths: Sequence[int], columns: Se
     sizes = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
     cuts = hosts.select("host").distinct().select("host", F.explode(F.filter(sizes, lambda n: n <= F.length("host"))).alias("n"))
     cuts = cuts.select("host", F.substring(F.col("host"), F.lit(1), F.col("n")).alias("key"))
-    met = keep(plan.join(cuts.select("key").distinct(), "key", "left_semi"), "met")
+    met = steps_met(plan, cuts.select("key").distinct())
     held = cuts.join(met.select("key").distinct(), "key")
     return hosts.join(held, "host").select(ROW, "key").distinct(), met
 
 
+def steps_met(plan: DataFrame, keys: DataFrame) -> DataFrame:
+    """The steps of a plan with one of these keys."""
+    return keep(plan.join(keys, "key", "left_semi"), "met")
+
+
 def _steps(asked: DataFrame, plan: DataFrame) -> DataFrame:
     """``(__row, __steps, __keys)``: the steps of each row in order, and the keys it asked for."""
     step = F.struct("seq", "blog_id", "pass", "search", F.col("replace").alias("new"))
@@ -155,12 +173,13 @@ def apply_big_plan(
     """The table after all steps of a plan table of any size; with ``token`` and ``opening`` serialized values are walked."""
     if not columns:
         return df
-    plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
+    plan = stored(plan)
     hosts = read_hosts(plan)
     shared = SharedHosts(df.sparkSession, hosts)
     rows = keep(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     asked, met = _asked(rows, plan, hosts.lengths, columns)
     asked = keep(asked, "asked")
+    sought = met.select("key").distinct()
     done = []
     todo = rows.join(_steps(asked, met), ROW, "left")
     while True:
@@ -169,16 +188,19 @@ def apply_big_plan(
         again = folded.where(F.size(MORE) > 0).select(ROW, F.explode(F.array_union("__keys", MORE)).alias("key"))
         if again.isEmpty():
             return reduce(DataFrame.unionByName, done)
+        # Of the plan only steps of keys that came up now are looked for; the rows' other steps are known.
+        new = keep(again.select("key").distinct(), "new").join(sought, "key", "left_anti")
+        met, sought = met.unionByName(steps_met(plan, new)), keep(sought.union(new), "sought")
         own = asked.join(again.select(ROW).distinct(), ROW, "left_semi")
         # A key that no step has is asked for once too, and noted by a step-less answer.
         asked = keep(own.union(again).distinct(), "asked")
-        steps = _steps(asked, plan).drop("__keys").join(asked.groupBy(ROW).agg(F.collect_set("key").alias("__keys")), ROW)
+        steps = _steps(asked, met).drop("__keys").join(asked.groupBy(ROW).agg(F.collect_set("key").alias("__keys")), ROW)
         todo = rows.join(steps, ROW)
 
 
 def big_hits(df: DataFrame, plan: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(key, column_name, seq, replacements)`` of a plan table of any size on unmodified data."""
-    plan = keep(keyed(plan.select("seq", "blog_id", "pass", "search", "replace")), "plan")
+    plan = stored(plan)
     rows = keep(df.select(*key, *(c for c in columns if c not in key)).withColumn(ROW, F.monotonically_increasing_id()), "rows")
     steps = _steps(*_asked(rows, plan, key_lengths(plan), columns))
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns))

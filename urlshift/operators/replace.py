@@ -83,16 +83,30 @@ def plan_slices(plan: DataFrame | Sequence[Step], limit: int = PLAN_LIMIT) -> It
         yield _checked(steps)
 
 
+def sized_plan(plan: DataFrame | Sequence[Step]) -> tuple[list[Step] | None, DataFrame | Sequence[Step]]:
+    """The steps of a plan that fits the driver; None and the keyed table where a larger one has a host as key in all searches.
+
+    Whether a plan fits is known from so many of its rows and one more; a large table is neither sorted nor read twice.
+    """
+    if not isinstance(plan, DataFrame):
+        slices = plan_slices(plan)
+        return reduce(list.__add__, slices, next(slices)), plan
+    (limit,) = plan_slices.__defaults__
+    rows = plan.select("seq", "blog_id", "pass", "search", "replace").limit(limit + 1).collect()
+    if len(rows) <= limit:
+        ordered = sorted(rows, key=lambda row: [(value is not None, value) for value in row])
+        return _checked([Step(*row) for row in ordered]), plan
+    del rows
+    plan = bigplan.stored(plan)
+    if plan.where("key = ''").isEmpty():
+        return None, plan
+    # Search texts without a host have nothing to be joined by.
+    return reduce(list.__add__, plan_slices(plan)), plan
+
+
 def small_plan(plan: DataFrame | Sequence[Step]) -> list[Step] | None:
     """The steps of a plan that fits the driver; None for a larger table whose searches all have a host as key."""
-    slices = plan_slices(plan)
-    first, second = next(slices), next(slices, None)
-    if second is None:
-        return first
-    if isinstance(plan, DataFrame) and bigplan.keyed(plan).where("key = ''").isEmpty():
-        return None
-    # Search texts without a host have nothing to be joined by.
-    return reduce(list.__add__, slices, first + second)
+    return sized_plan(plan)[0]
 
 
 def may_match(text: Column, steps: Sequence[Step]) -> Column:
@@ -170,7 +184,7 @@ def apply_plan(
     default because existing users rely on the plain literal match.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    steps = small_plan(plan)
+    steps, plan = sized_plan(plan)
     if steps is None and not boundary:
         return bigplan.apply_big_plan(df, plan, columns)
     if steps is None:
@@ -229,7 +243,7 @@ def pattern_hits(
 ) -> DataFrame:
     """``(key, column_name, seq, replacements)``: which pattern occurs how often in which row."""
     columns = text_columns(df) if columns is None else list(columns)
-    steps = small_plan(plan)
+    steps, plan = sized_plan(plan)
     if not columns or steps == []:
         empty = df.select(*key, F.lit("").alias("column_name"), F.lit(0).cast("bigint").alias("seq"),
                           F.lit(0).cast("bigint").alias("replacements"))
@@ -283,7 +297,7 @@ def count_report(name: str, hits: DataFrame) -> DataFrame:
 
 def dry_run_report(tables: dict[str, DataFrame], plan: DataFrame | Sequence[Step]) -> DataFrame:
     """``(table_name, column_name, seq, rows_changed, replacements)``, every step counted on unmodified data."""
-    steps = small_plan(plan)
+    steps, plan = sized_plan(plan)
     counted = [
         count_report(name, pattern_hits(df, plan if steps is None else steps, key=[], columns=text_columns(df)))
         for name, df in tables.items()

@@ -25,7 +25,7 @@ from urlshift.operators.replace import (
     may_hold_address,
     may_match,
     replace_column,
-    small_plan,
+    sized_plan,
     text_columns,
     with_site_steps,
 )
@@ -72,7 +72,7 @@ def apply_plan_serialized(
 ) -> DataFrame:
     """``apply_plan`` that keeps serialized values readable."""
     columns = text_columns(df) if columns is None else list(columns)
-    steps = small_plan(plan)
+    steps, plan = sized_plan(plan)
     if steps is None:
         return bigplan.apply_big_plan(df, plan, columns, TOKEN, OPENING)
     return df.withColumns({c: replace_serialized_column(F.col(c), steps) for c in columns})
