@@ -145,3 +145,10 @@ def test_without_a_bitmap_the_same(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.t for r in rep.apply_plan(df, spark.createDataFrame(plan, PLAN)).collect()}
     assert got == {i: None if t is None else folded(t, plan) for i, t in enumerate(texts)}
+
+
+def test_a_large_plan_with_a_missing_search_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(rep.plan_slices, "__defaults__", (4,))
+    plan = spark.createDataFrame([(None, 1, 1, None, "//x")] + [(i, 1, 1, f"//h{i}.com", "//x") for i in range(9)], PLAN)
+    with pytest.raises(ValueError, match="must not be empty"):
+        rep.apply_plan(spark.createDataFrame([("//h1.com",)], "t string"), plan)

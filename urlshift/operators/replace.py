@@ -98,9 +98,9 @@ def sized_plan(plan: DataFrame | Sequence[Step]) -> tuple[list[Step] | None, Dat
         return _checked([Step(*row) for row in ordered]), plan
     del rows
     plan = bigplan.stored(plan)
-    if plan.where("key = ''").isEmpty():
+    if plan.where("key = '' OR key IS NULL").isEmpty():
         return None, plan
-    # Search texts without a host have nothing to be joined by.
+    # Search texts without a host have nothing to be joined by; missing ones are refused there.
     return reduce(list.__add__, plan_slices(plan)), plan
 
 
