@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HOST = r"""[\\/]+([^\\/?#"'<> \t\n\r\f\x0B]+)"""
 BITS = 27  # of the bitmap of keys: 16 MB whatever the plan
-FULL = 2  # steps for each bit from which on the bitmap tells nothing
+FULL = 1 / 8  # steps for each bit from which on most hosts have a prefix whose bit is set
 ROW, STEPS, MORE = "__row", "__steps", "__more"
 
 
@@ -88,10 +88,10 @@ def key_lengths(plan: DataFrame) -> list[int]:
 def read_hosts(plan: DataFrame) -> Hosts:
     """Lengths and bitmap of the keys of a stored, keyed plan: at most 4,096 rows of 4 KB and one number per length.
 
-    So many steps that they would set nearly all bits get no bitmap: any key may then be one, and the lookup decides.
+    Of so many steps that it would let most hosts through there is no bitmap: any key may be one, and the lookup decides.
     """
     lengths = key_lengths(plan)
-    if plan.count() > FULL << BITS:
+    if plan.count() > FULL * (1 << BITS):
         return Hosts(lengths, None)
     bit = F.crc32(F.col("key").cast("binary")) % (1 << BITS)
     pieces = plan.groupBy(F.shiftright(bit, 15).alias("piece")).agg(
